@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import orc_output, packing, simhash
+from . import decontaminate, orc_output, packing, quality, simhash, toxicity
 from .common import Scratch, table
 
 
@@ -19,14 +19,28 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op9_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-ids").path("orc")
     orc_output.write_orc(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), ranges=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return orc_output.ids_crc32(orc_output.read_orc(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_pivots, op9_orc_token_ids)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_pivots, op6_toxicity_fm, op8_decontamination, op9_orc_token_ids, op10_quality_qda)}
 
 
 def oracle_sql() -> dict[str, str]:
