@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, orc_output, packing, quality, simhash, toxicity
+from . import decontaminate, orc_output, packing, quality, simhash, substring_dedup, toxicity
 from .common import Scratch, table
 
 
@@ -23,6 +23,10 @@ def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.mark(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
@@ -40,7 +44,7 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_pivots, op6_toxicity_fm, op8_decontamination, op9_orc_token_ids, op10_quality_qda)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_pivots, op6_toxicity_fm, op7_substring_doubling, op8_decontamination, op9_orc_token_ids, op10_quality_qda)}
 
 
 def oracle_sql() -> dict[str, str]:
