@@ -8,6 +8,8 @@ Texts whose white space is irregular (runs, tabs, exotic blanks) are encoded who
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -15,6 +17,20 @@ import numpy as np
 CACHE_WORDS = 500_000
 _ODD_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 _ODD = re.compile(r"\s\s|[^\S \n]")
+#: A run of letters, and the marks after it: no vocabulary merges across the two.
+_CORE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?$%&*#]*)")
+#: Words on which a direct call of the merge model must agree with the whole tokenizer before it is used.
+_PROBES = ["a", "The", "network", "straßen", "élève", "Zürich", "ñandú", "unforgettableness", "ÀÉÎ", "thntondersh"]
+
+
+def _letters_of_bytes() -> list[str]:
+    """The published byte alphabet: printable bytes stand for themselves, the others for letters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+_BYTE_LETTER = _letters_of_bytes()
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -41,17 +57,53 @@ class WordEncoder:
 
         self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}  # words without a space before them
         self.newline = self._whole(["\n"])[0]
+        self.lead = next((x for x in (_BYTE_LETTER[32], "") if self._agrees(x)), None)
+        self.one_case = self._whole([" AbC"]) == self._whole([" abc"])
         mark = np.frombuffer(self._whole([" " + self.MARK])[0], "<u4")
         self.mark = int(mark[0]) if len(mark) == 1 else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _direct(self, core: str, lead: str) -> bytes:
+        """A run of letters needs no splitting: the merge model alone gives its ids."""
+        spelled = core if core.isascii() else "".join([_BYTE_LETTER[b] for b in core.encode()])
+        return array("I", [t.id for t in self.model.tokenize(lead + spelled)]).tobytes()
+
+    def _agrees(self, lead: str) -> bool:
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            return False
+        probes = [p.lower() for p in _PROBES] if self._whole([" AbC"]) == self._whole([" abc"]) else _PROBES
+        return [self._direct(p, lead) for p in probes] == self._whole([" " + p for p in probes])
+
     def _learn(self, words: set[str]) -> None:
+        """Encode each new run of letters once, in either case if the vocabulary has only one, and compose the words."""
+        composed, base = [], set()
+        for w in words:
+            m = _CORE.fullmatch(w)
+            if m:
+                core = m[1].lower() if self.one_case else m[1]
+                if core not in self.words:
+                    if self.lead is None or not _CORE.fullmatch(core):
+                        base.add(core)
+                    else:
+                        self.words[core] = self._direct(core, self.lead)
+                if core != w:
+                    composed.append((w, core, m[2]))
+            else:
+                base.add(w)
+        self._encode_words(base)
+        tails = list({t for _, _, t in composed} - self.heads.keys())
+        self.heads.update(zip(tails, self._whole(tails)))
+        for w, core, tail in composed:
+            self.words[w] = self.words[core] + self.heads[tail]
+
+    def _encode_words(self, words: set[str]) -> None:
         """Encode many words in one call: a marker word between them shows where each one ends."""
         plain = [w for w in words if self.MARK not in w] if self.mark is not None else []
         for i in range(0, len(plain), 20_000):
@@ -60,7 +112,7 @@ class WordEncoder:
             raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
             if len(ends) != len(part):  # a vocabulary in which the marker isn't one of its own
                 self.mark = None
-                return self._learn(words)
+                return self._encode_words(words)
             at = 0
             for w, end in zip(part, ends):
                 self.words[w] = raw[at:end]
