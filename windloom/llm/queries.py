@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, orc_output, packing, quality, simhash, substring_dedup, toxicity
+from . import chroma, decontaminate, html_extract, license_scan, orc_output, packing, quality, simhash, substring_dedup, toxicity
 from .common import Scratch, table
 
 
@@ -19,6 +20,19 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = chroma.fingerprints(chroma.recordings(table(spark, sf_dir, "embeddings")))
+    return chroma.linked(prints, F.coalesce(F.col("media_id") % 100 == 0, F.lit(False)))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.labels(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op5_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +58,7 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_pivots, op6_toxicity_fm, op7_substring_doubling, op8_decontamination, op9_orc_token_ids, op10_quality_qda)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_pivots, op3_chroma_fingerprints, op4_license_scan, op5_html_min_cut, op6_toxicity_fm, op7_substring_doubling, op8_decontamination, op9_orc_token_ids, op10_quality_qda)}
 
 
 def oracle_sql() -> dict[str, str]:
