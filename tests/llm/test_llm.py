@@ -215,7 +215,8 @@ def test_recordings_align_at_their_offset(spark):
     rows = [(i, x.astype("<i2").tobytes()) for i, x in enumerate(audio)] + [(100, None), (101, b""), (102, b"abc")]
     prints = chroma.fingerprints(spark.createDataFrame(rows, "media_id long, audio binary"))
     found = {(r.query_id, r.match_id): r for r in chroma.align(prints, chroma.F.col("media_id") < 2).collect()}
-    assert {m for q, m in found if q == 0} == {6, 7} and found[0, 7].offset == -7 and found[0, 6].offset == 0
+    # a little noise changes no integer: 6 is of the class of 0
+    assert {m for q, m in found if q == 0} == {0, 7} and found[0, 7].offset == -7 and found[0, 0].n_copies == 1
     assert {m for q, m in found if q == 1} == {1} and found[1, 1].n_copies == 1
     linked = {r.media_id: r for r in chroma.linked(prints, chroma.F.col("media_id") < 2).collect()}
     assert len(linked) == 12 and linked[0].n_links == 2 and linked[100].n_steps == 0 and linked[5].n_links is None
