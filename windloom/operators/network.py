@@ -125,14 +125,14 @@ def cable_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voltage change from the substation to each turbine: the sum over its path of the edges' changes, in percent."""
+    """Voltage change from the substation to each turbine: the sum over its path of the edges' changes, in millionths of a percent."""
     tree, key = feeder_tree(spark, sf_dir), ["project", "feeder"]
     parent = tree.select(*key, F.col("node").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"))
     edge = tree.join(parent, [*key, "parent"], "left").join(_loads(spark, sf_dir), [*key, "node"])
     km = (F.abs(F.col("x") - F.coalesce("px", F.lit(10000))) + F.abs(F.col("y") - F.coalesce("py", F.lit(10000)))) / 1000.0
     change = 3**0.5 * current_a(F.col("downstream_kw")) * (R_PER_KM * POWER_FACTOR + X_PER_KM * (1 - POWER_FACTOR**2) ** 0.5) * km / (KV * 1000) * 100
-    edge = edge.select(*key, F.col("node").alias("above"), F.round(change, 6).alias("change"))
-    return ancestors(tree, key, 4).join(edge, [*key, "above"]).groupBy(*key, "node").agg(F.round(F.sum("change"), 4).alias("change_pct"), F.max("depth").alias("depth"))
+    edge = edge.select(*key, F.col("node").alias("above"), F.round(change * 1e6).cast("long").alias("change"))  # whole numbers add up alike in any order
+    return ancestors(tree, key, 4).join(edge, [*key, "above"]).groupBy(*key, "node").agg(F.sum("change").alias("change_micropct"), F.max("depth").alias("depth"))
 
 
 def nearest_substation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ SQL = {
     "complete_graph": f"WITH {TURBINES} SELECT a.project, a.feeder, count(*) AS n_edges, CAST(sum((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS BIGINT) AS sum_sq FROM turbines a JOIN turbines b ON a.project = b.project AND a.feeder = b.feeder AND a.k < b.k GROUP BY 1, 2",
     "downstream_power": f"WITH RECURSIVE {TREE} SELECT * FROM loads",
     "cable_sizing": f"WITH RECURSIVE {TREE} SELECT project, feeder, node, round(round({_AMPS}, 6), 3) AS amps, CASE {_CABLE} END AS cable FROM loads",
-    "path_voltage": f"WITH RECURSIVE {TREE}, edge AS (SELECT t.project, t.feeder, t.k AS above, round({_CHANGE}, 6) AS change FROM turbines t LEFT JOIN turbines p ON p.project = t.project AND p.feeder = t.feeder AND p.k = t.k // 2 JOIN loads l ON l.project = t.project AND l.feeder = t.feeder AND l.node = t.k) SELECT project, feeder, node, round(sum(change), 4) AS change_pct, max(depth) AS depth FROM above JOIN edge USING (project, feeder, above) GROUP BY 1, 2, 3",
+    "path_voltage": f"WITH RECURSIVE {TREE}, edge AS (SELECT t.project, t.feeder, t.k AS above, CAST(round(({_CHANGE}) * 1e6) AS BIGINT) AS change FROM turbines t LEFT JOIN turbines p ON p.project = t.project AND p.feeder = t.feeder AND p.k = t.k // 2 JOIN loads l ON l.project = t.project AND l.feeder = t.feeder AND l.node = t.k) SELECT project, feeder, node, CAST(sum(change) AS BIGINT) AS change_micropct, max(depth) AS depth FROM above JOIN edge USING (project, feeder, above) GROUP BY 1, 2, 3",
     "nearest_substation": f"WITH {TURBINES}, s AS (SELECT s_suppkey AS substation_id, s_nationkey AS project, s_suppkey * 6151 % 20000 AS sx, s_suppkey * 3079 % 20000 AS sy FROM supplier), d AS (SELECT turbine_id, substation_id, (x - sx) * (x - sx) + (y - sy) * (y - sy) AS distance_sq FROM turbines JOIN s USING (project)) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY turbine_id ORDER BY distance_sq, substation_id) = 1",
     "polyline_length": f"WITH {TURBINES}, v AS (SELECT *, x / 10000.0::DOUBLE AS lon, y / 10000.0::DOUBLE AS lat FROM turbines), l AS (SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM v WINDOW w AS (PARTITION BY project, feeder ORDER BY k)) SELECT project, feeder, round(coalesce(sum({_HAV}), 0.0), 2) AS length_m, count(*) AS n_vertices FROM l GROUP BY 1, 2",
     "deflection_angles": f"WITH {TURBINES}, v AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM turbines WINDOW w AS (PARTITION BY project, feeder ORDER BY k)), l AS (SELECT *, sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0)) AS la, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS lb FROM v WHERE x0 IS NOT NULL AND x2 IS NOT NULL), a AS (SELECT *, round(CASE WHEN la < 1e-9 OR lb < 1e-9 THEN 0.0::DOUBLE ELSE degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ((x - x0) * (x2 - x) + (y - y0) * (y2 - y)) / (la * lb))))) END, 4) AS angle FROM l) SELECT project, feeder, k, angle, angle >= {POLE_ANGLE} AS angle_pole FROM a",
