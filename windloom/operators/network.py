@@ -1,4 +1,4 @@
-"""Survey classification, feeder trees, cable sizing, geometry and poles."""
+"""Feeder trees, cable sizing, geometry and poles."""
 
 from __future__ import annotations
 
@@ -18,56 +18,6 @@ R_PER_KM, X_PER_KM = 0.03, 0.10
 EARTH_M = 6_371_000.0
 
 
-def normalised_id(name: Column) -> Column:
-    """Upper case without white space, underscores, hyphens and dots."""
-    return F.regexp_replace(F.upper(F.trim(name)), "[\\s_\\-.]", "")
-
-
-def folder_parts(path: Column) -> Column:
-    """Folder names leaf first, up to the user's own places, without noise names."""
-    parts = F.reverse(F.split(path, "\\s+/\\s+"))
-    stop = F.array_position(F.transform(parts, F.lower), "my places")
-    kept = F.when(stop > 0, F.slice(parts, 1, (stop - 1).cast("int"))).otherwise(parts)
-    return F.filter(kept, lambda p: ~F.lower(p).isin("temporary places", "documents", "points"))
-
-
-def classified(features: DataFrame) -> DataFrame:
-    """Type by folder keywords, leaf first, then by the id's pattern."""
-
-    def keyword(p: Column) -> Column:
-        return F.when(p.rlike("(?i)survey|borehole"), "SURVEY_POINT").when(p.rlike("(?i)tower|evacuation"), "TOWER").when(p.rlike("(?i)substation|pss"), "SUBSTATION").when(p.rlike("(?i)wtg|turbine"), "TURBINE")
-
-    by_folder = F.get(F.filter(F.transform("parts", keyword), lambda t: t.isNotNull()), 0)
-    name = F.col("external_id")
-    by_name = F.when(name.rlike("(?i)^bh-"), "SURVEY_POINT").when(name.rlike("(?i)^(ap\\d+|gantry\\b)|/\\d"), "TOWER").when(name.rlike("(?i)\\bpss\\b"), "SUBSTATION").when(name.rlike("(?i)^wtg"), "TURBINE")
-    rows = features.withColumn("parts", folder_parts(F.col("folder"))).withColumn("by_folder", by_folder).withColumn("by_name", by_name)
-    rule = F.when(F.col("by_folder").isNotNull(), "FOLDER").when(F.col("by_name").isNotNull(), "NAME").otherwise("NONE")
-    return rows.withColumn("asset_type", F.coalesce("by_folder", "by_name", F.lit("UNKNOWN"))).withColumn("rule", rule)
-
-
-def folder_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bindings.features(spark, sf_dir).select("ordinal", F.array_join(folder_parts(F.col("folder")), " < ").alias("parts"))
-
-
-def classify_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(bindings.features(spark, sf_dir)).select("ordinal", "asset_type", "rule")
-
-
-def import_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features by what an import does with them."""
-    kind = F.col("asset_type")
-    what = F.when(kind == "SURVEY_POINT", "DROPPED_SURVEY").when(kind == "UNKNOWN", "UNRESOLVED").otherwise("IMPORTED")
-    return classified(bindings.features(spark, sf_dir)).groupBy("project", what.alias("disposition")).agg(F.count("*").alias("n"))
-
-
-def normalised_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first feature in document order of each normalised id, unless a turbine of that number exists."""
-    rows = bindings.features(spark, sf_dir).withColumn("key", normalised_id(F.col("external_id")))
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("project", "key").orderBy("ordinal"))).where("n = 1")
-    known = bindings.turbines(spark, sf_dir).where("turbine_id <= 100").select(F.concat(F.lit("WTG"), F.col("turbine_id").cast("string")).alias("key")).distinct()
-    return first.join(known, "key", "left_anti").select("project", "ordinal", "key")
-
-
 def geojson_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features written as GeoJSON text and parsed back with an explicit schema; coordinates out of range are dropped."""
     text = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array((F.col("x") / 100).cast("int"), (F.col("y") / 200).cast("int")).alias("coordinates")).alias("geometry"), F.struct(F.col("turbine_id").cast("string").alias("id"), F.col("kw")).alias("properties")))
@@ -226,4 +176,4 @@ def feeder_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bindings.turbines(spark, sf_dir).select("project", "feeder", "turbine_id", "x", "y").groupBy("project", "feeder").applyInPandas(grow, "project int, feeder int, u long, v long, length_m double")
 
 
-QUERIES = (folder_segments, classify_points, import_disposition, normalised_dedup, geojson_parse, complete_graph, downstream_power, cable_sizing, path_voltage, nearest_substation, polyline_length, deflection_angles, span_plan, grid_cells, point_in_polygon, login_window, feeder_mst)
+QUERIES = (geojson_parse, complete_graph, downstream_power, cable_sizing, path_voltage, nearest_substation, polyline_length, deflection_angles, span_plan, grid_cells, point_in_polygon, login_window, feeder_mst)

@@ -3,21 +3,33 @@
 from __future__ import annotations
 
 from windloom.operators.network import CABLES, EARTH_M, KV, MAX_SPAN, POLE_ANGLE, POWER_FACTOR, R_PER_KM, TARGET_SPAN, X_PER_KM
+from windloom.operators.survey_rules import BOUNDARY, NOISE_FOLDERS, POINT_FOLDERS, POINT_NAMES
 from windloom.plans.oracle import SEGMENTS, TURBINES
 
 FEATURES = """features AS (
   SELECT p_partkey AS ordinal, p_size % 5 AS project, ['WTG-', 'T/', 'AP', 'GANTRY ', 'PSS ', 'BH-', 'CP_', 'Misc '][CAST(p_partkey % 8 + 1 AS INT)] || (p_partkey % 400) AS external_id,
     ['Project / Approved WTGs', 'My Places / Proposed WTG / Points', 'Survey / Boreholes', 'Evacuation / Towers', 'Grid / Substations', 'Documents', 'Rejected / Turbines', 'Temporary Places / Registration'][CAST(p_partkey // 8 % 8 + 1 AS INT)] AS folder FROM part)"""
+
+
+def folder_kind(words: list) -> str:
+    case = " ".join(f"WHEN {' OR '.join(f"contains(lower(x), '{w}')" for w in each)} THEN '{kind}'" for kind, each in words)
+    return f"list_filter(list_transform(parts, lambda x: CASE {case} END), lambda t: t IS NOT NULL)[1]"
+
+
+def name_kind(name: str, patterns: list) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(trim({name}), '{p}') THEN '{kind}'" for kind, p in patterns) + " END"
+
+
 PARTS = (
     FEATURES
-    + """, split AS (SELECT *, list_reverse(string_split(folder, ' / ')) AS p FROM features),
-cut AS (SELECT * EXCLUDE (p), CASE WHEN list_contains(p, 'My Places') THEN p[1:list_position(p, 'My Places') - 1] ELSE p END AS p FROM split),
-parts AS (SELECT * EXCLUDE (p), list_filter(p, lambda x: lower(x) NOT IN ('temporary places', 'documents', 'points')) AS parts FROM cut)"""
+    + f""", split AS (SELECT *, list_filter(list_reverse(string_split(folder, ' / ')), lambda x: x <> '') AS p FROM features),
+cut AS (SELECT * EXCLUDE (p), list_transform(p, lambda x: lower(x)) AS low, p FROM split),
+short AS (SELECT * EXCLUDE (p, low), CASE WHEN list_contains(low, '{BOUNDARY}') THEN p[1:list_position(low, '{BOUNDARY}') - 1] ELSE p END AS p FROM cut),
+parts AS (SELECT * EXCLUDE (p), list_filter(p, lambda x: lower(x) NOT IN ({", ".join(f"'{n}'" for n in NOISE_FOLDERS)})) AS parts FROM short)"""
 )
 CLASSIFIED = (
     PARTS
-    + """, typed AS (SELECT *, list_filter(list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '(?i)survey|borehole') THEN 'SURVEY_POINT' WHEN regexp_matches(x, '(?i)tower|evacuation') THEN 'TOWER' WHEN regexp_matches(x, '(?i)substation|pss') THEN 'SUBSTATION' WHEN regexp_matches(x, '(?i)wtg|turbine') THEN 'TURBINE' END), lambda t: t IS NOT NULL)[1] AS by_folder,
-  CASE WHEN regexp_matches(external_id, '(?i)^bh-') THEN 'SURVEY_POINT' WHEN regexp_matches(external_id, '(?i)^(ap[0-9]+|gantry\\b)|/[0-9]') THEN 'TOWER' WHEN regexp_matches(external_id, '(?i)\\bpss\\b') THEN 'SUBSTATION' WHEN regexp_matches(external_id, '(?i)^wtg') THEN 'TURBINE' END AS by_name FROM parts),
+    + f""", typed AS (SELECT *, {folder_kind(POINT_FOLDERS)} AS by_folder, {name_kind("external_id", POINT_NAMES)} AS by_name FROM parts),
 classified AS (SELECT *, coalesce(by_folder, by_name, 'UNKNOWN') AS asset_type, CASE WHEN by_folder IS NOT NULL THEN 'FOLDER' WHEN by_name IS NOT NULL THEN 'NAME' ELSE 'NONE' END AS rule FROM typed)"""
 )
 TREE = (
