@@ -9,14 +9,14 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from windloom.operators import decide, network, report, survey_rules
-from windloom.plans import oracle, oracle_network, oracle_rules
+from windloom.operators import decide, economics, network, report, routing, survey_rules, topology
+from windloom.plans import oracle, oracle_economics, oracle_network, oracle_routing, oracle_rules, oracle_topology
 from windloom.sources import survey
 from windloom.streaming import lockout
 
 SF = "/root/testdata/sf0.001"
-SQL = oracle.SQL | oracle_network.SQL | oracle_rules.SQL | lockout.SQL
-QUERIES = {f.__name__: f for f in (*report.QUERIES, *decide.QUERIES, *network.QUERIES, *survey_rules.QUERIES, *lockout.QUERIES)}
+SQL = oracle.SQL | oracle_network.SQL | oracle_rules.SQL | oracle_economics.SQL | oracle_topology.SQL | oracle_routing.SQL | lockout.SQL
+QUERIES = {f.__name__: f for f in (*report.QUERIES, *decide.QUERIES, *network.QUERIES, *survey_rules.QUERIES, *economics.QUERIES, *topology.QUERIES, *routing.QUERIES, *lockout.QUERIES)}
 
 
 def plain(value):
