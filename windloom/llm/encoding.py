@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 import sys
 from array import array
+from itertools import islice
 
 import numpy as np
 
-#: Words kept in a worker's memory; beyond it the memory is emptied and filled anew.
+#: Words kept in a worker's memory; beyond it the later half goes, as the most frequent words come first.
 CACHE_WORDS = 500_000
 _ODD_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 _ODD = re.compile(r"\s\s|[^\S \n]")
@@ -122,8 +123,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) + len(self.heads) > self.limit:
-            self.words.clear()
-            self.heads.clear()
+            self.words, self.heads = (dict(islice(d.items(), self.limit // 2)) for d in (self.words, self.heads))
         out: list[bytes | None] = [None] * len(texts)
         jobs, want, want_heads, odd = [], set(), set(), []
         get, head = self.words.get, self.heads.get
