@@ -106,6 +106,21 @@ def test_grouping_is_close_to_the_best_of_small_sites():
         assert grouping.cost_of(xy, label) <= 2.5 * best
 
 
+def test_changes_are_the_cheapest_of_all():
+    rng = np.random.default_rng(9)
+    xy, kw, label = rng.integers(0, 20000, (9, 2)).astype(float), rng.integers(20, 50, 9) * 100.0, np.array([0, 1, 2] * 3)
+    every = []
+    for i in range(9):
+        every += [np.where(np.arange(9) == i, j, label) for j in range(3) if j != label[i]]
+        for o in range(i):
+            if label[i] != label[o]:
+                other = label.copy()
+                other[i], other[o] = label[o], label[i]
+                every.append(other)
+    want = sorted(grouping.cost_of(xy, m) for m in every if np.bincount(m, weights=kw).max() <= grouping.CAPACITY)[: grouping.NEIGHBOURS]
+    assert np.allclose([grouping.cost_of(xy, m) for m in grouping.changes(xy, kw, label)], want)
+
+
 def test_beam_search_never_worsens(spark):
     rows = grouping.beam_search(spark, SF).collect()
     assert rows and all(r.best_cost <= r.first_cost for r in rows)

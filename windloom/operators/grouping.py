@@ -76,20 +76,34 @@ def group(xy: np.ndarray, kw: np.ndarray) -> np.ndarray:
 
 
 def changes(xy: np.ndarray, kw: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
-    """The cheapest moves and exchanges that keep all feeders within capacity."""
-    load = np.bincount(label, weights=kw)
+    """The cheapest moves and exchanges that keep all feeders within capacity.
+
+    A feeder's share of the cost is its summed squares less the square of its sum over its size, so a change is priced from sums.
+    """
+    xy, k = xy - xy.mean(axis=0), int(label.max()) + 1
+    load, size = np.bincount(label, weights=kw), np.bincount(label)
+    total = np.array([xy[label == j].sum(axis=0) for j in range(k)])
+    part = lambda sums, n: (sums**2).sum(axis=-1) / np.maximum(n, 1)
+    held = part(total, size)
+    move = held[label][:, None] + held[None] - part(total[label] - xy, size[label] - 1)[:, None] - part(total[None] + xy[:, None], size[None] + 1)
+    move[(load[None] + kw[:, None] > CAPACITY) | (label[:, None] == np.arange(k))] = np.inf
+    shift, watts = xy[None] - xy[:, None], kw[None] - kw[:, None]  # what the first one's feeder gains
+    own, other = label[:, None], label[None]
+    swap = held[own] + held[other] - part(total[own] + shift, size[own]) - part(total[other] - shift, size[other])
+    swap[(own >= other) | (load[own] + watts > CAPACITY) | (load[other] - watts > CAPACITY)] = np.inf
+    price = np.round(np.concatenate([move.ravel(), swap.ravel()]), 3)
     found = []
-    for i in range(len(xy)):
-        for j in range(len(load)):
-            if j != label[i] and load[j] + kw[i] <= CAPACITY:
-                found.append(np.where(np.arange(len(xy)) == i, j, label))
-        for o in range(i + 1, len(xy)):
-            a, b = label[i], label[o]
-            if a != b and load[a] - kw[i] + kw[o] <= CAPACITY and load[b] - kw[o] + kw[i] <= CAPACITY:
-                other = label.copy()
-                other[i], other[o] = b, a
-                found.append(other)
-    return sorted(found, key=lambda m: (cost_of(xy, m), m.tolist()))[:NEIGHBOURS]
+    for at in np.argsort(price, kind="stable")[:NEIGHBOURS]:
+        if np.isinf(price[at]):
+            break
+        new = label.copy()
+        if at < move.size:
+            new[at // k] = at % k
+        else:
+            i, o = divmod(at - move.size, len(xy))
+            new[i], new[o] = label[o], label[i]
+        found.append(new)
+    return found
 
 
 def _points(turbines) -> tuple[np.ndarray, np.ndarray]:
