@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows of one Python step inside an Arrow batch, so that a batch of long texts is worked off in bounded memory.
 STEP_ROWS = 512
 
+#: A key is heavy if it holds over one in HEAVY of the rows, so that there are always fewer than HEAVY heavy keys.
+HEAVY = 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset (tests)."""
@@ -44,6 +47,18 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def join_heavy(rows: DataFrame, side: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` (``total`` of them) with ``side``, where one key may hold a large part of the rows.
+
+    Column ``n`` of ``side`` tells how many of the rows have its key. The side's few heavy keys are broadcast, so their rows
+    stay where they are; all other rows meet by a shuffle. ``side`` should be a written table of few rows a key.
+    """
+    heavy = side.where(F.col(n) > total // HEAVY)
+    hot = rows.join(F.broadcast(heavy), on)
+    cold = rows.join(F.broadcast(heavy.select(*on).distinct()), on, "left_anti").join(side.where(F.col(n) <= total // HEAVY), on)
+    return hot.unionByName(cold)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

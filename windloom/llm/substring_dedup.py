@@ -15,6 +15,7 @@ document for each kind of run is read again and its full windows are compared by
 
 Hashes are 64 bits at each level and a window is matched under two of them (its short window's and its own), 128 bits
 together. Counts and minima are aggregations; no group of rows is ever gathered except a single document's own spans.
+A passage may be in a third of all documents, so joins by window or run broadcast the few heaviest of them.
 
 Defined results: null texts have no words; texts of fewer words than ``width`` are never touched; rows without doc_id
 never count as the smaller document and are never touched; rows with one doc_id are one document as a source, and each is
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, steps, text_or_empty
+from .common import Scratch, join_heavy, steps, text_or_empty
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -138,21 +139,28 @@ def repeated_spans(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     short = max(1, width // 4)
     table = scratch.save(run_table(docs, width, short), "runs")
     # level 1: short windows of more than one document
-    shared = table.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    alive = scratch.save(table.join(shared, "key"), "alive")
+    counted = table.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows"))
+    shared = scratch.save(counted.where("lo < hi").select("key", "rows"), "shared")
+    alive = scratch.save(join_heavy(table, shared, ["key"], "rows", table.count()).drop("rows"), "alive")
     scratch.drop("runs")
+    n_alive = alive.count()
     # level 2: equal runs
-    kinds = scratch.save(alive.groupBy("key", "run").agg(F.min("doc_id").alias("first_doc"), F.min_by("start", F.struct("doc_id", "start")).alias("start"), F.first("n").alias("n")), "kinds")
-    equal = alive.drop("n").withColumnRenamed("start", "at").join(kinds, ["key", "run"]).where(F.col("doc_id") > F.col("first_doc")).select("doc_id", F.col("at").alias("start"), (F.col("n") + width - 1).alias("n"))
+    kinds = scratch.save(alive.groupBy("key", "run").agg(F.min("doc_id").alias("first_doc"), F.min_by("start", F.struct("doc_id", "start")).alias("start"), F.first("n").alias("n"), F.count("*").alias("rows")), "kinds")
+    met = join_heavy(alive.drop("n").withColumnRenamed("start", "at"), kinds, ["key", "run"], "rows", n_alive)
+    equal = met.where(F.col("doc_id") > F.col("first_doc")).select("doc_id", F.col("at").alias("start"), (F.col("n") + width - 1).alias("n"))
     # level 3: full windows of the runs' first documents where kinds differ
-    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("first_doc").alias("lo"), F.max("first_doc").alias("hi")).where("kinds > 1 and lo < hi").select("key")
-    wanted = kinds.join(mixed, "key").select(F.col("first_doc").alias("doc_id"), "key", "run", "start", "n")
+    per_key = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("first_doc").alias("lo"), F.max("first_doc").alias("hi"))
+    mixed = scratch.save(per_key.where("kinds > 1 and lo < hi").select("key", "kinds"), "mixed")
+    wanted = join_heavy(kinds, mixed, ["key"], "kinds", kinds.count()).select(F.col("first_doc").alias("doc_id"), "key", "run", "start", "n")
     windows = scratch.save(full_windows(docs, wanted, width).distinct(), "windows")
+    n_each = windows.agg(F.sum(F.size("windows"))).first()[0] or 0
     each = windows.select("doc_id", "key", "run", F.posexplode("windows").alias("at", "window"))
-    twice = scratch.save(each.groupBy("key", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "window", "lo"), "twice")
-    late = scratch.save(each.join(twice, ["key", "window"]).where(F.col("doc_id") > F.col("lo")).select("key", "run", "at", "lo"), "late")
+    twice = scratch.save(each.groupBy("key", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("key", "window", "lo", "rows"), "twice")
+    again = join_heavy(each, twice, ["key", "window"], "rows", n_each).where(F.col("doc_id") > F.col("lo")).select("key", "run", "at", "lo")
+    late = scratch.save(again.join(kinds.select("key", "run", "rows"), ["key", "run"]), "late")
     # what is late in a kind's first document is late in all documents of that kind
-    differ = alive.select("doc_id", "key", "run", "start").join(late, ["key", "run"]).where(F.col("doc_id") > F.col("lo")).select("doc_id", (F.col("start") + F.col("at")).alias("start"), F.lit(width).alias("n"))
+    of_kind = join_heavy(alive.select("doc_id", "key", "run", "start"), late, ["key", "run"], "rows", n_alive)
+    differ = of_kind.where(F.col("doc_id") > F.col("lo")).select("doc_id", (F.col("start") + F.col("at")).alias("start"), F.lit(width).alias("n"))
     return equal.unionByName(differ)
 
 
