@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, steps, text_or_empty
+from .common import Scratch, join_heavy, steps, text_or_empty
 from .components import components
 
 BUCKET = 48
@@ -108,7 +108,7 @@ def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v) between fingerprints; transitively they join just those within RADIUS bits of each other."""
     rows = classes.select("fp", pivot_row(F.col("fp")).alias("pivots"), F.explode(bucket_keys(F.col("fp"))).alias("key"))
     sizes = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    met = scratch.save(rows.join(sizes, "key"), "bucket-rows")
+    met = scratch.save(join_heavy(rows, sizes, ["key"], "n", 6 * classes.count()), "bucket-rows")
     cold = met.where(F.col("n") <= BUCKET)
     pairs = cold.alias("a").join(cold.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _near("a", "b", RADIUS) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS))
     near = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
@@ -126,7 +126,8 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     rows = scratch.save(fingerprints(docs, width), "fingerprints")
     classes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies")), "classes")
     labels = components(links(classes, scratch), scratch)
-    joined = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n_copies", "first_id", F.coalesce("label", "fp").alias("label"))
-    least = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = joined.join(least, "label").select("fp", "component_id", "n_copies")
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
+    joined = scratch.save(classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n_copies", "first_id", F.coalesce("label", "fp").alias("label")), "labelled")
+    least = scratch.save(joined.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_classes")), "least-ids")
+    answers = scratch.save(join_heavy(joined, least, ["label"], "n_classes", joined.count()).select("fp", "component_id", "n_copies"), "answers")
+    found = join_heavy(rows, answers, ["fp"], "n_copies", rows.count())
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
