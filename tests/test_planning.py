@@ -130,3 +130,31 @@ def test_folder_rules(spark):
     rows = spark.createDataFrame([(1, "Penna River", "Sheet1 / Untitled"), (2, None, ""), (3, "Untitled Polygon", "A / My Places / Land"), (4, "x", None)], "ordinal int, name string, folder string")
     got = {r.ordinal: (r.kind, r.rule) for r in survey_rules._classify(rows, survey_rules.AREA_FOLDERS, survey_rules.AREA_NAMES).collect()}
     assert got == {1: ("RESTRICTED_AREA", "NAME"), 2: ("UNKNOWN", "NONE"), 3: ("PARCEL", "FOLDER"), 4: ("UNKNOWN", "NONE")}
+
+
+def test_a_staged_import_is_taken_once_and_in_time(spark):
+    from windloom.streaming.staging import STAGED_US, settle
+
+    rows = [("a", 0, 1, 7, True), ("a", 5, 2, 8, False), ("a", STAGED_US, 3, 7, False), ("a", STAGED_US, 4, 7, False), ("b", 1, 5, 7, False), ("c", 0, 6, 7, True), ("c", STAGED_US + 1, 7, 7, False), ("c", STAGED_US + 2, 8, 7, True), ("c", STAGED_US + 3, 9, 7, False)]
+    got = {r.id: r.result for r in settle(spark.createDataFrame(rows, "handle string, at long, id long, project int, staged boolean")).collect()}
+    assert got == {2: "OTHER_PROJECT", 3: "COMMITTED", 4: "EXPIRED", 5: "EXPIRED", 7: "EXPIRED", 9: "COMMITTED"}
+
+
+def test_sessions_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    from windloom.sources.bindings import table
+    from windloom.streaming.staging import sessions
+
+    events = table(spark, "/root/testdata/sf0.001", "events").select("user_id", "ts", "event_id", "event_type")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = sessions(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    run = stream.writeStream.format("memory").queryName("progress_test").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got, whole = {tuple(r) for r in spark.table("progress_test").collect()}, {tuple(r) for r in sessions(events).collect()}
+    assert got and got <= whole and len(whole) - len(got) <= 20  # the last ones are still open
+
+
+def test_reports_of_no_candidates(spark):
+    from windloom.operators.decision_report import compare, winners
+
+    rows = spark.createDataFrame([], "cohort int, candidate_id long, total double, length_m long, losses_kw long, cost decimal(16,2), parcels long, crossings long")
+    assert winners(rows).collect() == [] and compare(rows, rows).collect() == []

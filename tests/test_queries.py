@@ -9,14 +9,14 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from windloom.operators import decide, economics, grouping, loadflow, network, report, routing, survey_rules, topology
-from windloom.plans import oracle, oracle_economics, oracle_network, oracle_routing, oracle_rules, oracle_topology
+from windloom.operators import corridors, decide, decision_report, economics, grouping, loadflow, network, report, routing, survey_rules, topology
+from windloom.plans import oracle, oracle_economics, oracle_network, oracle_report, oracle_routing, oracle_rules, oracle_topology
 from windloom.sources import survey
-from windloom.streaming import lockout
+from windloom.streaming import lockout, staging
 
 SF = "/root/testdata/sf0.001"
-SQL = oracle.SQL | oracle_network.SQL | oracle_rules.SQL | oracle_economics.SQL | oracle_topology.SQL | oracle_routing.SQL | lockout.SQL
-QUERIES = {f.__name__: f for f in (*report.QUERIES, *decide.QUERIES, *network.QUERIES, *survey_rules.QUERIES, *economics.QUERIES, *topology.QUERIES, *routing.QUERIES, *loadflow.QUERIES, *grouping.QUERIES, *lockout.QUERIES)}
+SQL = oracle.SQL | oracle_network.SQL | oracle_rules.SQL | oracle_economics.SQL | oracle_topology.SQL | oracle_routing.SQL | oracle_report.SQL | lockout.SQL | staging.SQL
+QUERIES = {f.__name__: f for f in (*report.QUERIES, *decide.QUERIES, *network.QUERIES, *survey_rules.QUERIES, *economics.QUERIES, *topology.QUERIES, *routing.QUERIES, *loadflow.QUERIES, *grouping.QUERIES, *decision_report.QUERIES, *corridors.QUERIES, *lockout.QUERIES, *staging.QUERIES)}
 
 
 def plain(value):
