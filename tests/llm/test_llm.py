@@ -1,6 +1,7 @@
 """The corpus operators against brute-force versions, and their defined results for odd input."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -222,6 +223,40 @@ def test_recordings_align_at_their_offset(spark):
     assert len(linked) == 12 and linked[0].n_links == 2 and linked[100].n_steps == 0 and linked[5].n_links is None
 
 
+def slow_links(prints, queries):
+    """The least error over all offsets that overlap by half of the shorter one or more, where it is accepted."""
+    found = {}
+    for q, m in itertools.product(queries, prints):
+        a, b = prints[q], prints[m]
+        if q != m and len(a) and len(b):
+            for o in range(1 - len(b), len(a)):
+                first = max(o, 0)
+                n = min(len(a) - first, len(b) - first + o)
+                if n >= max(chroma.MIN_OVERLAP, min(len(a), len(b)) // 2):
+                    error = int(np.bitwise_count(a[first : first + n] ^ b[first - o : first - o + n]).sum()) / (32 * n)
+                    if error <= min(chroma.MAX_ERROR, found.get((q, m), (1, 0))[0]):
+                        found[q, m] = error, o
+    return found
+
+
+def test_links_of_noisy_shifted_and_steady_recordings(spark):
+    rng, rnd = np.random.default_rng(3), random.Random(3)
+    prints = {i: chroma.fingerprint(tone_track(rnd).astype("<i2").tobytes()) for i in range(20)}
+    for i in range(20):
+        for k, (share, shift) in enumerate([(0.05, 0), (0.1, 9), (0.15, 0), (0.15, 20), (0.19, 5)]):
+            flips = np.packbits(rng.random((len(prints[i]), 32)) < share, axis=1).view(np.uint32).ravel()
+            prints[100 + 5 * i + k] = (prints[i] ^ flips)[shift:]
+    steady = prints[0][:1]
+    prints |= {20: np.full(50, steady[0]), 300: np.full(30, steady[0]), 301: np.full(70, steady[0]), 302: np.full(2, steady[0])}
+    rows = [(i, p.view(np.int32).tolist()) for i, p in prints.items()]
+    got = chroma.align(spark.createDataFrame(rows, "media_id long, chroma array<int>"), chroma.F.col("media_id") <= 20).collect()
+    got, want = {(r.query_id, r.match_id): r for r in got}, slow_links(prints, range(21))
+    assert len(want) >= 80 and sum(k in got for k in want) >= 0.9 * len(want)
+    assert sum(k in got and got[k].offset == o for k, (_, o) in want.items() if k[0] < 20) >= 0.9 * sum(q < 20 for q, _ in want)
+    assert (got[20, 300].offset, got[20, 300].error, got[20, 301].error) == (0, 0.0, 0.0) and (20, 302) not in got
+    assert all(r.error <= chroma.MAX_ERROR and r.votes >= chroma.MIN_VOTES for r in got.values())
+
+
 def test_integral_image_sums_rectangles():
     frames = np.random.default_rng(2).random((40, 12))
     values = chroma.packed_integers(frames)

@@ -4,9 +4,11 @@ A recording (binary, 16-bit little-endian mono samples) becomes frames of twelve
 over (time x pitch class) gives the sum of any rectangle in four look-ups; sixteen filters compare two or three such
 rectangles each, and each comparison is quantised to two bits, so that every time step gives one packed 32-bit integer.
 
-Recordings are aligned through these integers. Two consecutive equal integers vote for an offset between two recordings;
-the histogram of offsets names the best one, and the share of differing bits over the whole overlap at that offset
-decides. Recordings of equal fingerprints are one class from the start: classes are compared, copies are only counted.
+Recordings are aligned through these integers. Two integers that agree in two of their four bytes or more, held tones
+included, vote for an offset between two recordings; the histogram of offsets names the best one, and the share of
+differing bits over the whole overlap at that offset decides. Recordings of equal fingerprints are one class from the
+start: classes are compared, copies are only counted. Queries and classes meet block by block, so that votes are counted
+where they arise and only links leave a task.
 
 Defined results: a null, empty or too short recording has no integers and matches nothing; an odd last byte is ignored;
 ties between offsets go to the one with the least absolute value, then the lower; repeated rows are copies of one class;
@@ -15,6 +17,8 @@ rows without an id are fingerprinted but are never queries; an empty table gives
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +33,12 @@ SPAN = 12
 #: A quantiser's borders, in the logarithm of the ratio of two energies.
 BORDERS = (-0.25, 0.0, 0.25)
 MIN_VOTES, MAX_ERROR = 2, 0.2
+#: Least overlap in steps: what two votes of consecutive integers span.
+MIN_OVERLAP = 3
+#: The two bytes of a key; at a fifth of wrong bits one integer in eight still agrees in two bytes.
+KEYS = list(combinations(range(4), 2))
+#: Recordings of a block, query steps indexed at once and votes counted at once.
+BLOCK, INDEXED, AT_ONCE = 2048, 1 << 18, 1 << 21
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -97,20 +107,85 @@ def fingerprints(media: DataFrame, key: str = "media_id", audio: str = "audio")
     return media.select(key, audio).mapInArrow(run, f"`{key}` {media.schema[key].dataType.simpleString()}, chroma array<int>")
 
 
-def _votes(rows: DataFrame, name: str, at: str) -> DataFrame:
-    """A row for each two consecutive integers, where they differ (a held tone says nothing about an offset)."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size("chroma") - 1), lambda i: F.struct(i.alias("at"), F.element_at("chroma", i).alias("a"), F.element_at("chroma", i + 1).alias("b")))
-    each = rows.where(F.size("chroma") > 1).select(F.col("kind").alias(name), F.explode(F.filter(pairs, lambda p: p["a"] != p["b"])).alias("p"))
-    return each.select(name, F.col("p.at").alias(at), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-
-
-def bit_error_rate(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
-    """(steps of overlap, share of differing bits) where b's step 0 meets a's step ``offset``."""
-    first = F.greatest(offset, F.lit(0))
-    n = F.least(F.size(a) - first, F.size(b) - (first - offset))
-    one, two = F.slice(a, first + 1, n), F.slice(b, first - offset + 1, n)
-    bits = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return n, bits / (32.0 * n)
+def _key(values: np.ndarray, k: int) -> np.ndarray:
+    a, b = KEYS[k]
+    byte = lambda i: values >> np.uint32(8 * i) & np.uint32(255)
+    return (byte(a) << np.uint32(8) | byte(b)).astype(np.int64)
+
+
+class Index:
+    """Queries by the keys of their integers."""
+
+    def __init__(self, prints: list[np.ndarray]):
+        self.size = np.array([len(p) for p in prints], np.int64)
+        self.start = self.size.cumsum() - self.size
+        self.values = np.concatenate(prints)
+        self.owner = np.repeat(np.arange(len(prints)), self.size)
+        self.order, self.first = [], []
+        for k in range(len(KEYS)):
+            key = _key(self.values, k)
+            self.order.append(np.argsort(key, kind="stable"))
+            self.first.append(np.searchsorted(key[self.order[k]], np.arange(65537)))
+
+    def histogram(self, other: np.ndarray) -> np.ndarray:
+        """Votes by query and offset: query i's offset o is at start[i] + (i + 1) * len(other) + o."""
+        n = len(other)
+        votes = np.zeros(len(self.values) + n * len(self.size) + 1, np.int64)
+        for k, (a, b) in enumerate(KEYS):
+            key = _key(other, k)
+            first, many = self.first[k][key], self.first[k][key + 1] - self.first[k][key]
+            ends = many.cumsum()
+            for lo in range(0, int(ends[-1]), AT_ONCE):
+                place = np.arange(lo, min(lo + AT_ONCE, int(ends[-1])))
+                j = np.searchsorted(ends, place, "right")
+                at = self.order[k][first[j] + place - (ends[j] - many[j])]
+                differ, once = self.values[at] ^ other[j], np.ones(len(at), bool)
+                for c in range(b):  # an earlier key has counted these
+                    if c != a:
+                        once &= (differ >> np.uint32(8 * c) & np.uint32(255)) != 0
+                at, j = at[once], j[once]
+                votes += np.bincount(at + n * (self.owner[at] + 1) - j, minlength=len(votes))
+        return votes
+
+    def links(self, other: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(query, offset, votes, overlap, error) of the queries that align with another recording."""
+        n, votes = len(other), self.histogram(other)
+        at = np.flatnonzero(votes >= MIN_VOTES)
+        base = self.start + n * np.arange(1, len(self.size) + 1)
+        q = np.searchsorted(base - n, at, "right") - 1
+        offset = at - base[q]
+        first = np.maximum(offset, 0)
+        overlap = np.minimum(self.size[q] - first, n - (first - offset))
+        order = np.lexsort((offset, abs(offset), -votes[at], q))
+        order = order[overlap[order] >= MIN_OVERLAP]
+        best = order[np.flatnonzero(np.diff(q[order], prepend=-1))]
+        q, offset, first, overlap, many = q[best], offset[best], first[best], overlap[best], votes[at[best]]
+        if not len(q):
+            return q, offset, many, overlap, np.zeros(0)
+        begin = overlap.cumsum() - overlap
+        step = np.arange(int(overlap.sum())) - np.repeat(begin, overlap)
+        one, two = self.values[np.repeat(self.start[q] + first, overlap) + step], other[np.repeat(first - offset, overlap) + step]
+        error = np.add.reduceat(np.bitwise_count(one ^ two).astype(np.int64), begin) / (32.0 * overlap)
+        near = error <= MAX_ERROR
+        return q[near], offset[near], many[near], overlap[near], error[near]
+
+
+LINK = "q long, m long, offset int, votes long, overlap int, error double"
+
+
+def block_links(asked: pa.Table, classes: pa.Table) -> pa.Table:
+    """Links between a block of queries and a block of classes."""
+    read = lambda t, kind: [(k, np.array(c, np.int32).view(np.uint32)) for k, c in zip(t[kind].to_pylist(), t[f"{kind}_chroma"].to_pylist())] if t.num_rows else []
+    queries, others, found = sorted(read(asked, "q"), key=lambda r: r[0]), read(classes, "m"), []
+    ends = np.cumsum([len(c) for _, c in queries], dtype=np.int64)
+    for part in np.split(np.arange(len(queries)), np.flatnonzero(np.diff(ends // INDEXED)) + 1) if queries else []:
+        index, kinds = Index([queries[i][1] for i in part]), np.array([queries[i][0] for i in part], np.int64)
+        for kind, chroma in others:
+            q, *rest = index.links(chroma)
+            keep = kinds[q] != kind
+            found.append([kinds[q][keep], np.full(int(keep.sum()), kind, np.int64), *(x[keep] for x in rest)])
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [[]] * 6
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64()))], names=["q", "m", "offset", "votes", "overlap", "error"])
 
 
 def align(prints: DataFrame, is_query: Column, key: str = "media_id") -> DataFrame:
@@ -123,13 +198,17 @@ def align(prints: DataFrame, is_query: Column, key: str = "media_id") -> DataFra
     kind = F.xxhash64("chroma")
     rows = scratch.save(prints.select(F.col(key).alias("id"), is_query.alias("asked"), kind.alias("kind"), "chroma"), "prints")
     classes = scratch.save(rows.groupBy("kind").agg(F.min("id").alias("match_id"), F.count("*").alias("rows"), F.max("asked").alias("asked"), F.first("chroma").alias("chroma")), "classes")
-    votes = _votes(classes.where("asked"), "q", "q_at").join(_votes(classes, "m", "m_at"), ["a", "b"]).where("q <> m")
-    tally = votes.groupBy("q", "m", (F.col("q_at") - F.col("m_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = tally.groupBy("q", "m").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("low"))).alias("best")).select("q", "m", F.col("best.votes").alias("votes"), (-F.col("best.low")).alias("offset")).where(F.col("votes") >= MIN_VOTES)
-    asked, other = classes.select(F.col("kind").alias("q"), F.col("chroma").alias("q_chroma")), classes.select(F.col("kind").alias("m"), "match_id", "rows", F.col("chroma").alias("m_chroma"))
-    overlap, error = bit_error_rate(F.col("q_chroma"), F.col("m_chroma"), F.col("offset"))
-    pairs = best.join(asked, "q").join(other, "m").select("q", "match_id", F.col("rows").alias("n_copies"), "offset", "votes", overlap.alias("overlap"), error.alias("error")).where(F.col("error") <= MAX_ERROR)
-    own = classes.where("asked and rows > 1 and size(chroma) > 0").select(F.col("kind").alias("q"), "match_id", (F.col("rows") - 1).alias("n_copies"), F.lit(0).alias("offset"), F.greatest(F.size("chroma") - 1, F.lit(0)).cast("long").alias("votes"), F.size("chroma").alias("overlap"), F.lit(0.0).alias("error"))
+    voting = classes.where(F.size("chroma") >= MIN_OVERLAP).select("kind", "chroma", "asked")
+    blocks = lambda rows: max(1, -(-rows.count() // BLOCK))
+    q_blocks, m_blocks = blocks(voting.where("asked")), blocks(voting)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda n: F.pmod("kind", F.lit(n)).cast("int")
+    asked = voting.where("asked").select(block(q_blocks).alias("qb"), every(m_blocks).alias("mb"), F.col("kind").alias("q"), F.col("chroma").alias("q_chroma"))
+    other = voting.select(every(q_blocks).alias("qb"), block(m_blocks).alias("mb"), F.col("kind").alias("m"), F.col("chroma").alias("m_chroma"))
+    met = asked.groupBy("qb", "mb").cogroup(other.groupBy("qb", "mb"))
+    found = met.applyInArrow(block_links, LINK)
+    pairs = found.join(classes.select(F.col("kind").alias("m"), "match_id", "rows"), "m").select("q", "match_id", F.col("rows").alias("n_copies"), "offset", "votes", "overlap", "error")
+    own = classes.where("asked and rows > 1 and size(chroma) > 0").select(F.col("kind").alias("q"), "match_id", (F.col("rows") - 1).alias("n_copies"), F.lit(0).alias("offset"), F.size("chroma").cast("long").alias("votes"), F.size("chroma").alias("overlap"), F.lit(0.0).alias("error"))
     queries = rows.where("asked").select(F.col("id").alias("query_id"), F.col("kind").alias("q")).distinct()
     return queries.join(pairs.unionByName(own), "q").drop("q")
 
