@@ -285,6 +285,47 @@ def test_license_places_and_labels(spark):
     assert rows[6].labels == "apache-2.0" and rows[6].score == 0.95 and rows[8].labels == "mit" and rows[7].labels == ""
 
 
+def examples(pattern):
+    """Texts that take every alternative of a pattern (of a class, its first and last character)."""
+
+    def texts(parts):
+        out = [""]
+        for op, arg in parts:
+            if str(op) == "LITERAL":
+                found = [chr(arg)]
+            elif str(op) == "IN":
+                ends = [c for o, a in arg for c in (a if str(o) == "RANGE" else (a,))]
+                found = [chr(c) for c in (ends[0], ends[-1])]
+            elif str(op) == "BRANCH":
+                found = [t for branch in arg[1] for t in texts(branch)]
+            elif str(op) == "SUBPATTERN":
+                found = texts(arg[3])
+            else:
+                assert str(op) == "MAX_REPEAT"
+                found = [t * n for n in {arg[0], arg[1]} for t in texts(arg[2])]
+            out = [a + b for a in out for b in dict.fromkeys(found)]
+        return out
+
+    return list(dict.fromkeys(texts(re._parser.parse(pattern))))
+
+
+def test_every_alternative_of_every_license_rule_is_found(spark):
+    rules = license_scan.rules()
+    assert all(keyword in text for _, keyword, name in license_scan.NAMES for text in examples(name))
+    cases = [(label, text) for label, _, pattern, priority, _ in rules[: len(license_scan.NAMES)] for text in examples(pattern)]
+    cases += [(label, text) for label, pattern in license_scan.SPDX for text in examples(f"spdx license identifier (?:{pattern})")]
+    for form, priority, _ in license_scan.FORMS[1:]:
+        cases += [(label, text) for label, _, name in license_scan.NAMES for text in examples(form.format(re.escape(examples(name)[-1])))]
+    rows = {r.doc_id: r.labels for r in license_scan.labels(license_scan.scan(documents(spark, [t for _, t in cases]))).collect()}
+    assert [(label, text) for i, (label, text) in enumerate(cases) if label not in rows[i].split(",")] == []
+
+
+def test_spdx_lines(spark):
+    ids = ["MIT", "ISC", "Zlib", "MPL-2.0", "EPL-2.0", "GPL-2.0-or-later", "Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "MIT-0"]
+    rows = license_scan.scan(documents(spark, [f"// SPDX-License-Identifier: {i}" for i in ids])).orderBy("doc_id").collect()
+    assert [[(d.label, d.priority, d.start) for d in r.detections] for r in rows] == [[("gpl-2.0" if "GPL" in i else i.lower(), 5, 0)] for i in ids]
+
+
 def test_contained_detections_give_way(spark):
     rows = license_scan.scan(documents(spark, ["licensed under the Apache License, Version 2.0", "GNU General Public License version 2"])).orderBy("doc_id").collect()
     assert [(d.label, d.start, d.end) for d in rows[0].detections] == [("apache-2.0", 0, 8)]

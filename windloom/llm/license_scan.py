@@ -25,13 +25,15 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 NAMES = [
     ("apache-1.1", "apache", "apache (?:software )?licen[sc]e(?: version)? 1 1"),
     ("apache-2.0", "apache", "apache (?:software )?licen[sc]e(?: version)? 2(?: 0)?|apache 2 0"),
-    ("mit", "mit licen", "(?:the )?(?:mit|expat) licen[sc]e"),
+    ("mit", "mit licen", "(?:the )?mit licen[sc]e"),
+    ("mit", "expat licen", "(?:the )?expat licen[sc]e"),
     ("x11", "x11 licen", "x11 licen[sc]e"),
     ("isc", "isc licen", "isc licen[sc]e"),
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[sc]e)?"),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[sc]e)?"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[sc]e)?"),
-    ("bsd", "bsd licen", "bsd(?: style)? licen[sc]e"),
+    ("bsd", "bsd licen", "bsd licen[sc]e"),
+    ("bsd", "bsd style licen", "bsd style licen[sc]e"),
     ("gpl-1.0", "gpl", "gpl v?1(?: 0)?"),
     ("gpl-2.0", "gpl", "gpl ?v?2(?: 0)?(?: only| or later)?|gplv2"),
     ("gpl-3.0", "gpl", "gpl ?v?3(?: 0)?(?: only| or later)?|gplv3"),
@@ -43,7 +45,8 @@ NAMES = [
     ("lgpl-any", "lesser general public licen", "(?:gnu )?lesser general public licen[sc]e(?:(?: version| v)? [23](?: [01])?)?"),
     ("agpl-3.0", "agpl", "agpl ?v?3(?: 0)?(?: only| or later)?"),
     ("agpl-any", "affero general public licen", "(?:gnu )?affero general public licen[sc]e(?:(?: version| v)? 3(?: 0)?)?"),
-    ("mpl-1.1", "mozilla", "mozilla public licen[sc]e(?: version| v)? 1 1|mpl 1 1"),
+    ("mpl-1.1", "mozilla", "mozilla public licen[sc]e(?: version| v)? 1 1"),
+    ("mpl-1.1", "mpl 1 1", "mpl 1 1"),
     ("mpl-2.0", "mozilla", "mozilla public licen[sc]e(?: version| v)? 2(?: 0)?"),
     ("epl-1.0", "eclipse public", "eclipse public licen[sc]e(?: version| v)? 1(?: 0)?"),
     ("epl-2.0", "eclipse public", "eclipse public licen[sc]e(?: version| v)? 2(?: 0)?"),
@@ -63,7 +66,8 @@ NAMES = [
     ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
     ("unlicense", "unlicense", "(?:the )?unlicense"),
     ("wtfpl", "wtfpl", "wtfpl(?: v?2)?"),
-    ("zlib", "zlib licen", "zlib licen[sc]e|zlib libpng licen[sc]e"),
+    ("zlib", "zlib licen", "zlib licen[sc]e"),
+    ("zlib", "zlib libpng licen", "zlib libpng licen[sc]e"),
     ("bsl-1.0", "boost software licen", "boost software licen[sc]e(?:(?: version| v)? 1(?: 0)?)?"),
     ("artistic-2.0", "artistic licen", "artistic licen[sc]e(?:(?: version| v)? 2(?: 0)?)?"),
     ("ofl-1.1", "open font licen", "(?:sil )?open font licen[sc]e(?:(?: version| v)? 1 1)?"),
@@ -75,12 +79,22 @@ NAMES = [
     ("afl-3.0", "academic free licen", "academic free licen[sc]e(?:(?: version| v)? 3(?: 0)?)?"),
     ("osl-3.0", "open software licen", "open software licen[sc]e(?:(?: version| v)? 3(?: 0)?)?"),
     ("ecl-2.0", "educational community licen", "educational community licen[sc]e(?:(?: version| v)? 2(?: 0)?)?"),
-    ("odbl-1.0", "open database licen", "open database licen[sc]e|odbl"),
+    ("odbl-1.0", "open database licen", "open database licen[sc]e"),
+    ("odbl-1.0", "odbl", "odbl"),
     ("public-domain", "public domain", "(?:in|into|to) the public domain"),
     ("proprietary", "proprietary", "proprietary and confidential"),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
 ]
 
+#: SPDX identifiers: label, pattern after "spdx license identifier".
+SPDX = [
+    *[(label, label.replace("-", " ").replace(".", " ")) for label in (
+        "apache-1.1 apache-2.0 mit mit-0 x11 isc bsd-2-clause bsd-3-clause bsd-4-clause mpl-1.1 mpl-2.0 epl-1.0 epl-2.0 cddl-1.0 eupl-1.2 "
+        "cc-by-3.0 cc-by-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cc-by-nc-4.0 cc-by-nd-4.0 cc-by-nc-sa-4.0 cc-by-nc-nd-4.0 cc0-1.0 unlicense wtfpl zlib "
+        "bsl-1.0 artistic-2.0 ofl-1.1 ms-pl psf-2.0 php-3.01 postgresql ncsa afl-3.0 osl-3.0 ecl-2.0 odbl-1.0").split()],
+    *[(f"{kind}-{version}", f"{kind} {version.replace('.', ' ')}(?: only| or later)?") for kind, version in (("gpl", "1.0"), ("gpl", "2.0"), ("gpl", "3.0"), ("lgpl", "2.1"), ("lgpl", "3.0"), ("agpl", "3.0"))],
+]
+
 #: Ways in which a name is stated: pattern around it, priority, confidence.
 FORMS = [
     ("{}", 1, 0.6),
@@ -89,18 +103,21 @@ FORMS = [
     ("(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:{})", 4, 0.95),
     ("spdx license identifier (?:{})", 5, 1.0),
 ]
+SPDX_FORM = ("spdx license identifier", *FORMS[-1][1:])
 
 #: A text without any of these holds no keyword of any rule.
-GATES = ["licen", "gpl", "cc by", "cc0", "bsd", "apache", "mozilla", "public", "creative commons", "copyright", "rights reserved", "proprietary", "wtfpl", "common development"]
+GATES = ["licen", "gpl", "cc by", "cc0", "bsd", "apache", "mozilla", "public", "creative commons", "copyright", "rights reserved", "proprietary", "wtfpl", "common development", "mpl 1 1", "odbl"]
 
 _NON_WORD = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _OPEN, _CLOSE = "\x01", "\x02"  # no word holds them
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """label, keyword, pattern, priority, confidence of every rule: each name in each form, in that order."""
-    assert all(any(g in keyword for g in GATES) for _, keyword, _ in NAMES)
-    return [(label, keyword, form.format(name if form != "{}" else f"(?:{name})"), priority, confidence) for form, priority, confidence in FORMS for label, keyword, name in NAMES]
+    """label, keyword, pattern, priority, confidence of every rule: each name in each form, in that order, then SPDX identifiers."""
+    phrase, *rank = SPDX_FORM
+    assert all(any(g in keyword for g in GATES) for keyword in (phrase, *(keyword for _, keyword, _ in NAMES)))
+    named = [(label, keyword, form.format(name if form != "{}" else f"(?:{name})"), priority, confidence) for form, priority, confidence in FORMS for label, keyword, name in NAMES]
+    return named + [(label, phrase, f"{phrase} {pattern}", *rank) for label, pattern in SPDX]
 
 
 def whole_words(pattern: str) -> str:
@@ -149,7 +166,7 @@ def scan(docs: DataFrame) -> DataFrame:
         longer = lambda e: (e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (e["end"] - e["start"] > d["end"] - d["start"]))
         return ~F.exists("found", lambda e: (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & longer(e))
 
-    return rows.select("doc_id", "n_words", F.coalesce("base", F.array().cast("array<struct<label:string,start:long,end:long>>")).alias("base"), F.coalesce(F.filter("found", stands), F.array().cast("array<struct<label:string,priority:int,confidence:double,start:long,end:long>>")).alias("detections"))
+    return rows.select("doc_id", "n_words", F.coalesce("base", F.array().cast("array<struct<label:string,start:long,end:long>>")).alias("base"), F.coalesce(F.array_distinct(F.filter("found", stands)), F.array().cast("array<struct<label:string,priority:int,confidence:double,start:long,end:long>>")).alias("detections"))
 
 
 def labels(scanned: DataFrame) -> DataFrame:
