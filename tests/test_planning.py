@@ -60,6 +60,16 @@ def test_every_edge_is_routed_or_named(spark):
     assert all(refined[r.project, r.feeder, r.node].n_vertices <= r.n_vertices for r in rows)
 
 
+def test_routes_detour_over_the_whole_site(spark, monkeypatch):
+    edges = "project int, feeder int, node int, x1 int, y1 int, x2 int, y2 int"
+    monkeypatch.setattr(routing, "tree_edges", lambda *_: spark.createDataFrame([(0, 3, 1, 5250, 5250, 7250, 5250), (1, 3, 1, 5250, 5250, 7250, 5250), (2, 3, 1, 5250, 5250, 7250, 5250)], edges))
+    wall = [(0, r, 12, True, 0.0) for r in range(39)] + [(1, r, 12, False, 9000.0) for r in range(39)]  # open in row 39 only
+    monkeypatch.setattr(routing, "raster_constraints", lambda *_: spark.createDataFrame(wall, "project int, row long, col long, blocked boolean, added double"))
+    got = {r.project: r for r in routing.astar_routes(spark, SF).collect()}
+    want = [routing.least_cost_path({(r, 12): dear for r in range(39)}, (10, 10), (10, 14), (0, 39, 0, 39))[0] for dear in (np.inf, 9001.0, 1.0)]
+    assert want[1] < 9001.0 * routing.CELL and [(got[p].state, got[p].cost) for p in range(3)] == [("ROUTED", round(w, 3)) for w in want]
+
+
 def test_load_flow_balances_power():
     parent, kw, km = np.array([-1, 0, 0, 1]), np.array([3000.0, 2500.0, 4000.0, 2000.0]), np.array([5.0, 2.0, 3.0, 1.0])
     cable = loadflow.smallest(parent, kw)

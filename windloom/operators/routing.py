@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,10 @@ from pyspark.sql.window import Window
 from windloom.operators.network import feeder_tree
 from windloom.sources import bindings
 
-#: Width of a cell and of the search margin round an edge, in metres; extent of a site.
-CELL, MARGIN, EXTENT = 500, 2000, 20000
+#: Width of a cell and extent of a site, in metres.
+CELL, EXTENT = 500, 20000
+#: Feeders whose edges one task's group holds.
+FEEDERS = 10
 #: Fixed value: weight that a soft layer adds to a cell.
 SOFT_WEIGHT = 20.0
 ROOT = 10000
@@ -48,7 +51,7 @@ def least_cost_path(cost: dict[tuple[int, int], float], start: tuple[int, int],
     ``cost`` holds cells unlike 1; infinite ones are blocked. Equal estimates leave in order of arrival.
     """
     at = lambda c: cost.get(c, 1.0)
-    left = lambda c: CELL * float(np.hypot(c[0] - goal[0], c[1] - goal[1]))
+    left = lambda c: CELL * math.hypot(c[0] - goal[0], c[1] - goal[1])
     best, came, heap, n = {start: 0.0}, {}, [(left(start), 0, start)], 0
     done = set()
     while heap:
@@ -103,38 +106,33 @@ def shorten(path: list[tuple[int, int]], cost: dict[tuple[int, int], float]) ->
 
 
 def _routes(spark: SparkSession, sf_dir: str, refine: bool) -> DataFrame:
-    """A task's group is one edge with the cells of its box: edges spread evenly, whatever the size of a project."""
-    edges = tree_edges(spark, sf_dir)
-    cell = lambda c: F.floor(F.col(c) / CELL)
-    lo = lambda a, b: F.greatest(F.lit(0), F.least(cell(a), cell(b)) - MARGIN // CELL)
-    hi = lambda a, b: F.least(F.lit(EXTENT // CELL - 1), F.greatest(cell(a), cell(b)) + MARGIN // CELL)
-    edges = edges.withColumns({"r1": cell("y1"), "c1": cell("x1"), "r2": cell("y2"), "c2": cell("x2"), "rlo": lo("y1", "y2"), "rhi": hi("y1", "y2"), "clo": lo("x1", "x2"), "chi": hi("x1", "x2")})
-    raster = raster_constraints(spark, sf_dir)
-    boxes = edges.select("*", F.explode(F.sequence("rlo", "rhi")).alias("row")).select("*", F.explode(F.sequence("clo", "chi")).alias("col"))
-    found = boxes.join(raster, ["project", "row", "col"]).select("project", "feeder", "node", F.struct("row", "col", "blocked", "added").alias("cell"))
-    cells = found.groupBy("project", "feeder", "node").agg(F.collect_list("cell").alias("cells"))  # as many as the box has
-    work = edges.join(cells, ["project", "feeder", "node"], "left")
-
-    def solve(batches):
-        for batch in batches:
-            rows = []
-            for e in batch.itertuples(index=False):
-                cost = {} if e.cells is None else {(int(c["row"]), int(c["col"])): np.inf if c["blocked"] else 1.0 + c["added"] for c in e.cells}
-                start, goal = (int(e.r1), int(e.c1)), (int(e.r2), int(e.c2))
-                for end in (start, goal):  # an asset stands where it stands
-                    if cost.get(end) == np.inf:
-                        cost[end] = 1.0
-                got = least_cost_path(cost, start, goal, (int(e.rlo), int(e.rhi), int(e.clo), int(e.chi)))
-                if got is None:
-                    rows.append((e.project, e.feeder, e.node, "NO_PATH", None, 0, None, None))
-                    continue
-                path = shorten(got[1], cost) if refine else got[1]
-                xy = [(float(e.x1), float(e.y1))] + [(c * CELL + CELL / 2, r * CELL + CELL / 2) for r, c in path[1:-1]] + [(float(e.x2), float(e.y2))]
-                length = sum(float(np.hypot(b[0] - a[0], b[1] - a[1])) for a, b in zip(xy, xy[1:]))
-                rows.append((e.project, e.feeder, e.node, "ROUTED", round(got[0], 3), len(xy), round(length, 3), [c for p in xy for c in p]))
-            yield pd.DataFrame(rows, columns=["project", "feeder", "node", "state", "cost", "n_vertices", "length_m", "xy"])
-
-    return work.mapInPandas(solve, "project int, feeder int, node int, state string, cost double, n_vertices int, length_m double, xy array<double>")
+    """Each route is searched over the whole site. A group is FEEDERS feeders with their project's raster: edges spread evenly,
+    whatever the size of a project."""
+    cell, share = lambda c: F.floor(F.col(c) / CELL), F.floor(F.col("feeder") / FEEDERS).alias("share")
+    edges = tree_edges(spark, sf_dir).select("*", share, cell("y1").alias("r1"), cell("x1").alias("c1"), cell("y2").alias("r2"), cell("x2").alias("c2"))
+    raster = edges.select("project", "share").distinct().join(raster_constraints(spark, sf_dir), "project")
+    raster = raster.select(*[F.col(c).alias(f"in_{c}") for c in ("project", "share")], "row", "col", "blocked", "added")
+    site = (0, EXTENT // CELL - 1) * 2
+
+    def solve(edges, raster):
+        rows, cells = [], {} if raster.empty else {(int(c.row), int(c.col)): np.inf if c.blocked else 1.0 + c.added for c in raster.itertuples(index=False)}
+        for e in edges.itertuples(index=False):
+            cost, start, goal = dict(cells), (int(e.r1), int(e.c1)), (int(e.r2), int(e.c2))
+            for end in (start, goal):  # an asset stands where it stands
+                if cost.get(end) == np.inf:
+                    cost[end] = 1.0
+            got = least_cost_path(cost, start, goal, site)
+            if got is None:
+                rows.append((e.project, e.feeder, e.node, "NO_PATH", None, 0, None, None))
+                continue
+            path = shorten(got[1], cost) if refine else got[1]
+            xy = [(float(e.x1), float(e.y1))] + [(c * CELL + CELL / 2, r * CELL + CELL / 2) for r, c in path[1:-1]] + [(float(e.x2), float(e.y2))]
+            length = sum(float(np.hypot(b[0] - a[0], b[1] - a[1])) for a, b in zip(xy, xy[1:]))
+            rows.append((e.project, e.feeder, e.node, "ROUTED", round(got[0], 3), len(xy), round(length, 3), [c for p in xy for c in p]))
+        return pd.DataFrame(rows, columns=["project", "feeder", "node", "state", "cost", "n_vertices", "length_m", "xy"])
+
+    met = edges.groupBy("project", "share").cogroup(raster.groupBy("in_project", "in_share"))
+    return met.applyInPandas(solve, "project int, feeder int, node int, state string, cost double, n_vertices int, length_m double, xy array<double>")
 
 
 def astar_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
