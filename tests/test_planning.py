@@ -106,6 +106,13 @@ def test_grouping_keeps_capacity_and_all_turbines(spark):
     assert max(load.values()) <= grouping.CAPACITY
 
 
+def test_a_request_is_a_whole_project_up_to_the_limit(spark, monkeypatch):
+    rows = [(i, p, i, i, 2000, i // 10, i % 10 + 1) for p, n in ((0, 41), (1, 500), (2, 501)) for i in range(n)]
+    monkeypatch.setattr(grouping.bindings, "turbines", lambda *_: spark.createDataFrame(rows, "turbine_id int, project int, x int, y int, kw int, feeder int, k int"))
+    got = {(r.project, r.site): len(r.turbines) for r in grouping.requests(spark, SF).collect()}
+    assert got == {(0, 0): 41, (1, 0): 500, (2, 0): 500, (2, 1): 1}
+
+
 def test_grouping_is_close_to_the_best_of_small_sites():
     rng = np.random.default_rng(5)
     for _ in range(5):

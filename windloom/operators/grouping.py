@@ -1,7 +1,7 @@
 """Turbines into feeders under a capacity, and a beam search over changed groupings.
 
-A request holds at most SITE turbines (neighbours in the order of x, y, id), as the number of a planning request's turbines
-is bounded; each request is one group, so groups are small and even.
+A request is a whole project of up to SITE turbines, the reference's limit of a planning request; a larger project is split
+into neighbours in the order of x, y, id. Each request is one group, so groups are bounded.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from windloom.sources import bindings
 
 #: Turbines of a request and capacity of a feeder in kW.
-SITE, CAPACITY = 40, 36000
+SITE, CAPACITY = 500, 36000
 #: Rounds, states kept and changes tried for each state.
 ROUNDS, BEAM, NEIGHBOURS = 2, 3, 5
 STATE = "project int, site int, label array<int>, cost double"
