@@ -1,7 +1,8 @@
-"""Operator 7: repeated passages by level-wise doubling of windows.
+"""Operator 7: repeated passages by winnowed windows, in levels.
 
 A passage of ``width`` words that starts in a document with a smaller doc_id is removed, word by word. Windows are not
-compared at full length at once: they grow by levels, and a level keeps only what repeats.
+compared at full length at once: short ones come first, and a level keeps only what repeats. No level doubles: winnowing
+replaced that, since it sends one in twenty windows where doubling starts from all.
 
 Level 1, a quarter of the width: of each stretch of neighbouring full windows the one short window with the least hash
 stands for them all (equal full windows have equal short ones), about one in twenty. Short windows found in one document
