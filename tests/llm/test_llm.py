@@ -5,13 +5,16 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from windloom.llm import chroma, decontaminate, encoding, html_extract, license_scan, orc_output, packing, quality, simhash, substring_dedup, toxicity
@@ -58,24 +61,36 @@ def made_texts(seed=1):
 ODD_TEXTS = ["", " ", "\n", "a  b", "Straße über Köln", "don't  stop 's", "x|y | z", "\tt\ra", "<|endoftext|> it", "naïve é", "日本語 text", "A,b.C!!", "trailing ", "\nlead\n\nx", "İstanbul ΣΑΣ", "a b", "1234 56a"]
 
 
+LETTERS = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+SPECIAL = ["a <|endoftext|> b", "x<|endoftext|>", "<|startoftext|>a.", "<|ENDOFTEXT|>", "abİ, y", "\u0130. \u0130", "क़, क़"]
+
+
+def ids_of(path, texts, limit=encoding.CACHE_WORDS, enc=None):
+    ids, ends = (enc or encoding.WordEncoder(path, limit)).encode(pa.array([t or "" for t in texts], pa.string()))
+    return [x.tolist() for x in np.split(ids, ends[:-1])] if texts else []
+
+
+_TOKENIZERS = {path: Tokenizer.from_file(path) for path in (BYTE, WORD)}
+
+
+def whole_ids(path, texts):
+    """The library itself, as its file comes."""
+    return [e.ids for e in _TOKENIZERS[path].encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_words_encode_as_the_whole_text(path):
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     enc = encoding.WordEncoder(path, limit=50)
-    for texts in (ODD_TEXTS, [t or "" for t in made_texts()], ODD_TEXTS[::-1]):
-        want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
-        assert enc.encode(texts) == want
+    marked = [f"x ab{c}{m} y {c}{m}z" for c in LETTERS for m in ".,;:!?$%&*#'\u0301"]
+    for texts in (ODD_TEXTS, made_texts(), ODD_TEXTS[::-1], SPECIAL, marked):
+        assert ids_of(path, texts, enc=enc) == whole_ids(path, texts)
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="aB é,.|'\n\t ß1%́", max_size=30))
-def test_any_text_encodes_as_a_whole(text):
+@given(st.lists(st.text(alphabet="aB é,.|'\n\t ß1%\u0301İ<>endoftx", max_size=30), max_size=5))
+def test_any_text_encodes_as_a_whole(texts):
     for path in (BYTE, WORD):
-        enc = encoding.encoder(path)
-        assert enc.encode([text]) == enc._whole([text])
+        assert ids_of(path, texts, enc=encoding.encoder(path)) == whole_ids(path, texts)
 
 
 def check_packing(rows, capacity):
@@ -94,8 +109,7 @@ def check_packing(rows, capacity):
 def test_packing(spark):
     texts = made_texts()
     rows = packing.pack_documents(documents(spark, texts), BYTE, 256, keep_ids=True).collect()
-    enc = encoding.encoder(BYTE)
-    want = {i: np.frombuffer(enc.encode([t or ""])[0] + b"\0\0\0\0", "<u4") for i, t in enumerate(texts)}
+    want = {i: np.array(ids + [0], "<u4") for i, ids in enumerate(whole_ids(BYTE, texts))}
     for r in rows:
         ids = want[r.doc_id][r.start : r.start + r.length]
         assert len(ids) == r.length and zlib.crc32(ids.tobytes()) == r.ids_crc32 and list(ids) == r.token_ids
@@ -126,18 +140,26 @@ def test_packing_odd_rows(spark):
     assert sorted(r.length for r in rows) == [1, 2, 2] and check_packing(rows, 2048) == 1
 
 
+def test_packing_spreads_repeated_rows(spark):
+    pieces = packing.token_pieces(documents(spark, ["one and the same"] * 600, [7] * 600).repartition(3), BYTE)
+    rows = packing.pack(pieces, 2048, group_rows=50).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 600 and len(sizes) == 12 and max(sizes.values()) < 100
+    check_packing(rows, 2048)
+
+
 def test_orc_round_trip(spark):
     texts = made_texts()
     path = Scratch(spark, "orc-test").path("ids")
-    orc_output.write_orc(documents(spark, texts), path, WORD, ranges=3)
+    orc_output.write_orc(documents(spark, texts), path, WORD, range_bytes=4000)
     rows = sorted(orc_output.ids_crc32(orc_output.read_orc(spark, path)).collect(), key=lambda r: r.doc_id)
-    enc, at = encoding.encoder(WORD), 0
-    for r, t in zip(rows, texts, strict=True):
-        ids = np.append(np.frombuffer(enc.encode([t or ""])[0], "<u4"), np.uint32(2)).astype("<u4")
+    at = 0
+    for r, found in zip(rows, whole_ids(WORD, texts), strict=True):
+        ids = np.array(found + [2], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     path = Scratch(spark, "orc-test").path("odd")
-    orc_output.write_orc(documents(spark, ["b", "a", None], [5, 5, None]), path, WORD, ranges=2)
+    orc_output.write_orc(documents(spark, ["b", "a", None], [5, 5, None]), path, WORD, range_bytes=1)
     assert sorted((r.start, r.doc_id) for r in orc_output.read_orc(spark, path).collect()) == [(0, None), (1, 5), (3, 5)]
 
 

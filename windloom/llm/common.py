@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +20,13 @@ HEAVY = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset and Spark is one process (tests)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="windloom-"))
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="windloom-"))  # one process: it shares any folder with itself
         found = sc.getCheckpointDir()
     return found
 
@@ -68,6 +73,26 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def byte_steps(texts: pa.Array, size: int = 4 << 20):
+    """(first, end) of stretches of rows that hold about ``size`` bytes of text at most, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(ends):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield a, z
+        a = z
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a document in one struct, under names that can't clash with those a step adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def texts_of(rows: pa.Array, column: str = "text") -> pa.Array:
+    """The texts inside an Arrow array of such structs, nulls as empty texts."""
+    return pc.fill_null(rows.field(column).cast(pa.string()), "") if rows.null_count == 0 else pc.fill_null(pc.struct_field(rows, column).cast(pa.string()), "")
+
+
 def steps(n: int, size: int = STEP_ROWS):
     return ((i, min(n, i + size)) for i in range(0, n, size))
 

@@ -1,27 +1,40 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a bounded memory of words already encoded.
 
 Both vocabularies used here split a text into pieces before any merge, and a piece never crosses the single space
-between two words. So a text's ids are the joined ids of its words, and words met before need no second encoding.
-Texts whose white space is irregular (runs, tabs, exotic blanks) are encoded whole.
+between two words, nor goes from a letter into the punctuation that ends a word. So a text's ids are the joined ids of its
+words, and words met before need no second encoding. Arrow splits a stretch of texts into words and closing marks and
+names the distinct ones; only those are looked up, and the ids of all words are then gathered at once.
+
+Texts whose white space is irregular (runs, tabs, exotic blanks) or that spell one of the vocabulary's special tokens are
+encoded whole.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from array import array
-from itertools import islice
 
 import numpy as np
-
-#: Words kept in a worker's memory; beyond it the later half goes, as the most frequent words come first.
-CACHE_WORDS = 500_000
-_ODD_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
-_ODD = re.compile(r"\s\s|[^\S \n]")
-#: A run of letters, and the marks after it: no vocabulary merges across the two.
-_CORE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?$%&*#]*)")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words kept in a worker's memory; beyond it only those met in several stretches of texts stay, half of it at most.
+CACHE_WORDS = 300_000
+#: Longer words are encoded anew each time, so that the memory is bounded in bytes too.
+WORD_CHARS = 64
+#: White space other than a single space or a single line feed between two words.
+_ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n |\n\n"
+#: Marks a text's first word, which has no space before it; regular texts hold no carriage return.
+_FIRST = "\r"
+_MARK = "|"
+#: A Latin letter and the marks that end its word. The marks are set apart, after a tab, which regular texts don't hold either.
+#: U+0130 is left out: its small form ends in a combining dot, which belongs to the marks.
+_CLOSING, _APART = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([.,;:!?$%&*#]+)( |\n|$)", "\\1 \t\\2\\3"
+#: Runs of letters that need no splitting, in either case or in lower case only.
+_LETTERS, _SMALL = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"), re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: Words on which a direct call of the merge model must agree with the whole tokenizer before it is used.
-_PROBES = ["a", "The", "network", "straßen", "élève", "Zürich", "ñandú", "unforgettableness", "ÀÉÎ", "thntondersh"]
+_PROBES = ["a", "the", "network", "straßen", "élève", "zürich", "ñandú", "unforgettableness", "àéîÿ", "thntondersh"]
+_encoders: dict[str, WordEncoder] = {}
 
 
 def _letters_of_bytes() -> list[str]:
@@ -32,7 +45,6 @@ def _letters_of_bytes() -> list[str]:
 
 
 _BYTE_LETTER = _letters_of_bytes()
-_encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
@@ -42,118 +54,118 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _irregular(text: str) -> bool:
-    if text.isascii():
-        return any(x in text for x in _ODD_ASCII)
-    return _ODD.search(text) is not None
+def gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches ids[start : start + size], one after the other."""
+    ends = np.cumsum(size)
+    return ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)]
 
 
 class WordEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
-
-    MARK = "|"
+    """``encode(texts)`` gives the ids of all texts in one array, and where each text ends."""
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}  # words without a space before them
-        self.newline = self._whole(["\n"])[0]
-        self.lead = next((x for x in (_BYTE_LETTER[32], "") if self._agrees(x)), None)
-        self.one_case = self._whole([" AbC"]) == self._whole([" abc"])
-        mark = np.frombuffer(self._whole([" " + self.MARK])[0], "<u4")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.odd = "|".join([_ODD, *(f"(?i:{re.escape(t.content)})" for t in added if t.content)])
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+            self.odd = "(?s)."  # such tokens may match more than their own letters: every text is encoded whole
+        mark = self._whole([" " + _MARK])[0]
         self.mark = int(mark[0]) if len(mark) == 1 else None
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _direct(self, core: str, lead: str) -> bytes:
+        self.model = self.tokenizer.model
+        self.one_case = self._same([" AbC"], [" abc"])
+        self.letters = _SMALL if self.one_case else _LETTERS
+        probes = _PROBES if self.one_case else _PROBES + [p.upper() for p in _PROBES if p.upper().lower() == p]
+        whole = self._whole([" " + p for p in probes])
+        self.lead = next((x for x in (_BYTE_LETTER[32], "") if all(w.tolist() == list(self._direct(p, x)) for p, w in zip(probes, whole))), None)
+        self.numbers: dict[str, int] = {}
+        self.start, self.size, self.seen, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def forget(self) -> None:
+        """Keep the words met most often, and only those met more than once; older meetings count half from then on."""
+        often = np.argsort(-self.seen, kind="stable")[: self.limit // 2]
+        keep = np.sort(often[self.seen[often] > 1])
+        words = list(self.numbers)
+        self.numbers = {words[k]: n for n, k in enumerate(keep.tolist())}
+        self.ids = gather(self.ids, self.start[keep], self.size[keep])
+        self.size, self.seen = self.size[keep], self.seen[keep] // 2
+        self.start = np.cumsum(self.size) - self.size
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _same(self, a: list[str], b: list[str]) -> bool:
+        return [x.tolist() for x in self._whole(a)] == [x.tolist() for x in self._whole(b)]
+
+    def _direct(self, letters: str, lead: str) -> array:
         """A run of letters needs no splitting: the merge model alone gives its ids."""
-        spelled = core if core.isascii() else "".join([_BYTE_LETTER[b] for b in core.encode()])
-        return array("I", [t.id for t in self.model.tokenize(lead + spelled)]).tobytes()
-
-    def _agrees(self, lead: str) -> bool:
-        if sys.byteorder != "little" or array("I").itemsize != 4:
-            return False
-        probes = [p.lower() for p in _PROBES] if self._whole([" AbC"]) == self._whole([" abc"]) else _PROBES
-        return [self._direct(p, lead) for p in probes] == self._whole([" " + p for p in probes])
-
-    def _learn(self, words: set[str]) -> None:
-        """Encode each new run of letters once, in either case if the vocabulary has only one, and compose the words."""
-        composed, base = [], set()
-        for w in words:
-            m = _CORE.fullmatch(w)
-            if m:
-                core = m[1].lower() if self.one_case else m[1]
-                if core not in self.words:
-                    if self.lead is None or not _CORE.fullmatch(core):
-                        base.add(core)
-                    else:
-                        self.words[core] = self._direct(core, self.lead)
-                if core != w:
-                    composed.append((w, core, m[2]))
-            else:
-                base.add(w)
-        self._encode_words(base)
-        tails = list({t for _, _, t in composed} - self.heads.keys())
-        self.heads.update(zip(tails, self._whole(tails)))
-        for w, core, tail in composed:
-            self.words[w] = self.words[core] + self.heads[tail]
-
-    def _encode_words(self, words: set[str]) -> None:
-        """Encode many words in one call: a marker word between them shows where each one ends."""
-        plain = [w for w in words if self.MARK not in w] if self.mark is not None else []
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(f" {w} {self.MARK}" for w in part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
-            if len(ends) != len(part):  # a vocabulary in which the marker isn't one of its own
-                self.mark = None
-                return self._encode_words(words)
-            at = 0
-            for w, end in zip(part, ends):
-                self.words[w] = raw[at:end]
-                at = end + 4
-        rest = [w for w in words if w not in self.words]
-        self.words.update(zip(rest, self._whole([" " + w for w in rest])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) + len(self.heads) > self.limit:
-            self.words, self.heads = (dict(islice(d.items(), self.limit // 2)) for d in (self.words, self.heads))
-        out: list[bytes | None] = [None] * len(texts)
-        jobs, want, want_heads, odd = [], set(), set(), []
-        get, head = self.words.get, self.heads.get
-        for i, text in enumerate(texts):
-            if _irregular(text):
-                odd.append(i)
-                continue
-            lines = []
-            for line in text.split("\n"):
-                words = line.split(" ")
-                first = words[0]
-                ids = list(map(get, words))
-                ids[0] = head(first)
-                if None in ids:
-                    gaps = [k for k, x in enumerate(ids) if x is None]
-                    if gaps[0] == 0:
-                        want_heads.add(first)
-                    want.update(words[k] for k in gaps if k)
-                else:
-                    gaps = ()
-                lines.append((ids, words, gaps))
-            jobs.append((i, lines))
-        self._learn(want)
-        fresh = list(want_heads)
-        self.heads.update(zip(fresh, self._whole(fresh)))
-        for i, lines in jobs:
-            for ids, words, gaps in lines:
-                for k in gaps:
-                    ids[k] = self.words[words[k]] if k else self.heads[words[0]]
-            out[i] = self.newline.join([b"".join(ids) for ids, _, _ in lines])
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
-            out[i] = ids
-        return out
+        spelled = letters if letters.isascii() else "".join([_BYTE_LETTER[b] for b in letters.encode()])
+        return array("I", [t.id for t in self.model.tokenize(lead + spelled)])
+
+    def _encode_items(self, items: list[str]) -> list[np.ndarray | array]:
+        """Ids of words, each with what stands before it: a space, a line feed or nothing."""
+        run = self.letters.fullmatch
+        found = [self._direct(x, self.lead) if self.lead is not None and run(x) else None for x in items]
+        spelled = [x[1:] if x[:1] in (_FIRST, "\t") else x if x[:1] == "\n" else " " + x for x in items]
+        if self.mark is not None:  # many words in one call: a marker word shows where each one ends
+            plain = [k for k, x in enumerate(items) if found[k] is None and x and x[0] not in _FIRST + "\t" and _MARK not in x]
+            for i in range(0, len(plain), 20_000):
+                part = plain[i : i + 20_000]
+                ids = np.array(self.tokenizer.encode_batch_fast(["".join([f"{spelled[k]} {_MARK}" for k in part])], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(ids == self.mark)
+                if len(ends) == len(part):
+                    for k, a, z in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist()):
+                        found[k] = ids[a:z]
+        rest = [k for k, x in enumerate(found) if x is None]
+        for k, ids in zip(rest, self._whole([spelled[k] for k in rest])):
+            found[k] = ids
+        return found
+
+    def _numbers(self, items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each item, start, size, ids); the tables hold the remembered words and the new ones."""
+        known = list(map(self.numbers.get, items))
+        new = [k for k, x in enumerate(known) if x is None]
+        if not new:
+            self.seen[known] += 1
+            return np.array(known, np.int64), self.start, self.size, self.ids
+        base = len(self.numbers)
+        order = sorted(new, key=lambda k: len(items[k]) > WORD_CHARS)  # those to be remembered first
+        for n, k in enumerate(order, base):
+            known[k] = n
+        fresh = self._encode_items([items[k] for k in order])
+        lengths = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        size = np.concatenate([self.size, lengths])
+        start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join([x.tobytes() for x in fresh]), np.uint32)])
+        short = sum(len(items[k]) <= WORD_CHARS for k in order)
+        self.numbers.update(zip([items[k] for k in order[:short]], range(base, base + short)))
+        stop = base + short
+        self.start, self.size, self.ids = start[:stop], size[:stop], ids[: int(start[stop - 1] + size[stop - 1]) if stop else 0]
+        numbers = np.array(known, np.int64)
+        self.seen = np.concatenate([self.seen, np.zeros(short, np.int64)])
+        self.seen[numbers[numbers < stop]] += 1
+        return numbers, start, size, ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned 32-bit ids of all texts (no nulls) and each text's end among them."""
+        if len(self.numbers) > self.limit:
+            self.forget()
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        odd = pc.match_substring_regex(texts, self.odd)
+        odd_rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        plain = pc.if_else(odd, "", texts) if len(odd_rows) else texts
+        plain = pc.replace_substring_regex(pc.ascii_lower(plain) if self.one_case else plain, _CLOSING, _APART)
+        items = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(_FIRST, plain, ""), "\n", " \n"), " ")
+        words = items.flatten().dictionary_encode()
+        number, start, size, table = self._numbers(words.dictionary.to_pylist())
+        which = number[words.indices.to_numpy()]
+        ids = gather(table, start[which], size[which])
+        stops = np.cumsum(size[which])[np.cumsum(pc.list_value_length(items).to_numpy()) - 1]
+        if len(odd_rows):
+            whole = dict(zip(odd_rows.tolist(), self._whole(texts.take(pa.array(odd_rows)).to_pylist())))
+            parts = [whole.get(k, ids[a:z]) for k, (a, z) in enumerate(zip([0, *stops[:-1].tolist()], stops.tolist()))]
+            ids, stops = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return ids, stops

@@ -5,8 +5,12 @@ integer run-length encoding, row indexes every ``row_stride`` rows and Bloom fil
 stripes in parallel and skip those that cannot hold a document. A row stores where it starts within its range; the
 ranges' totals (one row for each file) turn that into the place in the whole corpus.
 
+Ranges follow the bytes of text, and equal doc_ids may span several: they are ordered by a hash of the text, then by the
+partition that held them.
+
 Defined results: null texts are empty (the end id alone); null doc_ids come first; rows of equal doc_id stand in the
-order of their text; an empty table gives an empty table; other input columns are not read.
+order of a hash of their text, repeated rows one after the other; a very long text is one row; an empty table gives an
+empty table; other input columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,27 +22,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, text_or_empty
+from .common import byte_steps, text_or_empty
 from .encoding import encoder
 
 
-def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ranges: int = 32, row_stride: int = 1000, stripe_bytes: int = 16 << 20) -> None:
+def ranges_for(docs: DataFrame, range_bytes: int) -> int:
+    """A range for each ``range_bytes`` of text, at least one for each core."""
+    size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // range_bytes))
+
+
+def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, range_bytes: int = 64 << 20, row_stride: int = 1000, stripe_bytes: int = 16 << 20) -> None:
     """Write range_id, doc_id, local_start, n_tokens and token_ids."""
     id_type = docs.schema["doc_id"].dataType
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         enc, at = encoder(tokenizer), 0
         for batch in batches:
-            for a, z in steps(batch.num_rows):
-                raws = [raw + end for raw in enc.encode(batch.column(2).slice(a, z - a).to_pylist())]
-                sizes = np.array([len(raw) // 4 for raw in raws], np.int64)
-                ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raws), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), pa.array(at + ends - sizes), pa.array(sizes), ids], names=["range_id", "doc_id", "local_start", "n_tokens", "token_ids"])
-                at += int(ends[-1])
-
-    ordered = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+            for a, z in byte_steps(batch.column(2)):
+                ids, stops = enc.encode(batch.column(2).slice(a, z - a))
+                ids, stops = np.insert(ids, stops, end_id), stops + np.arange(1, len(stops) + 1)
+                starts = np.concatenate([[0], stops[:-1]])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), pa.array(at + starts), pa.array(stops - starts), lists], names=["range_id", "doc_id", "local_start", "n_tokens", "token_ids"])
+                at += int(stops[-1])
+
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    keyed = texts.withColumn("tie", F.xxhash64("text")).withColumn("part", F.spark_partition_id())  # one id or one text may be in a third of all rows
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("part")]
+    ordered = keyed.repartitionByRange(ranges_for(docs, range_bytes), *order).sortWithinPartitions(*order)
     rows = ordered.select(F.spark_partition_id().alias("range_id"), "doc_id", "text").mapInArrow(run, f"range_id int, doc_id {id_type.simpleString()}, local_start long, n_tokens long, token_ids array<int>")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(row_stride), "orc.stripe.size": str(stripe_bytes), "orc.create.index": "true", "compression": "zstd"}
     rows.write.mode("overwrite").options(**options).orc(path)

@@ -3,11 +3,12 @@
 A sequence is filled greedily with the longest pieces that still fit. Where a gap stays, the smallest piece of the
 sequence gives way to the two unpacked pieces that fill the widened gap best, if they fill it more tightly.
 
-Pieces are dealt by a hash into groups of about ``group_rows`` rows, each packed by its own task, so the work spreads
-with the corpus and no task ever sees more than its group. A group wastes less than about one sequence.
+Pieces are written once, then dealt by a hash into groups of about ``group_rows`` pieces, each packed by its own task, so the
+work spreads with the corpus and no task ever sees more than its group. A group wastes less than about one sequence.
 
 Defined results: a null text counts as empty (one piece, the end id alone); a null doc_id and repeated rows are packed
-like any other row; an empty table gives an empty table; other input columns are not read.
+like any other row, however many there are; a very long text becomes as many pieces as it needs; ties between pieces of
+one length are settled by doc_id and piece; an empty table gives an empty table; other input columns are not read.
 """
 
 from __future__ import annotations
@@ -19,44 +20,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, text_or_empty
+from .common import Scratch, byte_steps, text_or_empty
 from .encoding import encoder
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
-def cut(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: all full but the first, which holds the remainder."""
-    first = n % capacity or min(n, capacity)
-    return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)]
+def cut(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
+    """(document, piece, start, length) of all pieces: a document's pieces are full but the first, which holds the remainder."""
+    pieces = -(-sizes // capacity)
+    owner = np.repeat(np.arange(len(sizes)), pieces)
+    piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = sizes[owner] - (pieces[owner] - 1) * capacity
+    return owner, piece, np.where(piece, first + (piece - 1) * capacity, 0), np.where(piece, capacity, first)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Tokenize whole texts and cut them: doc_id, piece, start, length, ids_crc32 and, if asked for, token_ids."""
     id_type = docs.schema["doc_id"].dataType
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for a, z in steps(batch.num_rows):
-                owner, piece, start, length, crc, kept = [], [], [], [], [], []
-                for i, raw in enumerate(enc.encode(texts.slice(a, z - a).to_pylist()), a):
-                    raw += end
-                    for k, (s, n) in enumerate(cut(len(raw) // 4, capacity)):
-                        part = raw[4 * s : 4 * (s + n)]
-                        owner.append(i)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(n)
-                        crc.append(zlib.crc32(part))
-                        if keep_ids:
-                            kept.append(np.frombuffer(part, "<i4"))
-                columns = [ids.take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            for a, z in byte_steps(batch.column(1)):
+                ids, stops = enc.encode(batch.column(1).slice(a, z - a))
+                ids, stops = np.insert(ids, stops, end_id), stops + np.arange(1, len(stops) + 1)
+                owner, piece, start, length = cut(np.diff(stops, prepend=0), capacity)
+                ends = np.cumsum(length)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * i : 4 * k]) for i, k in zip((ends - length).tolist(), ends.tolist())]
+                columns = [batch.column(0).slice(a, z - a).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
-                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.view(np.int32))))
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -122,10 +118,16 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return sequence, offset
 
 
-def pack(pieces: DataFrame, capacity: int, rows: int, group_rows: int = 4096) -> DataFrame:
-    """Add sequence_id and offset to pieces. ``rows``: how many pieces are shorter than a sequence, about."""
-    groups = max(1, -(-rows // group_rows))
-    key = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)).cast("long")
+def pack(pieces: DataFrame, capacity: int, group_rows: int = 4096) -> DataFrame:
+    """Add sequence_id and offset to pieces, which should be a written table: it is counted first.
+
+    Repeated rows are told apart by the partition that holds them and their number there, so that they spread over groups too.
+    """
+    groups = max(1, -(-pieces.count() // group_rows))
+    columns = pieces.columns
+    once = pieces.withColumn("pack_part", F.spark_partition_id()).groupBy(*columns, "pack_part").agg(F.count("*").alias("pack_copies"))
+    each = once.withColumn("pack_copy", F.explode(F.sequence(F.lit(1), F.col("pack_copies"))))
+    key = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", "pack_part", "pack_copy"), F.lit(groups)).cast("long")
 
     def run(key, group):
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
@@ -134,12 +136,13 @@ def pack(pieces: DataFrame, capacity: int, rows: int, group_rows: int = 4096) ->
         return group.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(base + sequence)).append_column("offset", pa.array(offset))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.withColumn("pack_group", key).groupBy("pack_group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
+    return each.select(*columns, key.alias("pack_group")).groupBy("pack_group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Every document's pieces with the sequence and offset where each one stands."""
-    return pack(token_pieces(docs, tokenizer, capacity, end_id, keep_ids), capacity, docs.count())
+    pieces = Scratch(docs.sparkSession, "packing").save(token_pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
+    return pack(pieces, capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

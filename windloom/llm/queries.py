@@ -49,7 +49,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-ids").path("orc")
-    orc_output.write_orc(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), ranges=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    orc_output.write_orc(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return orc_output.ids_crc32(orc_output.read_orc(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
