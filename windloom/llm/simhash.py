@@ -1,24 +1,27 @@
 """Operator 2: SimHash near-duplicates through pivot distance tables.
 
 Each text gets a 64-bit fingerprint: a bit is set if it is set in over half of the hashes of the text's shingles. Texts
-of one fingerprint are one class from then on. Each class gets a row of the pivot table: its Hamming distances to
-``PIVOTS`` reference fingerprints. Two classes whose distances to any reference differ by more than the radius can't be
-within the radius (triangle inequality), so a pair is discarded by its largest coordinate difference before its own
-distance is computed.
-
-Pairs meet in buckets: of four 16-bit blocks at least two agree if at most two bits differ, so a pair shares one of six
-32-bit keys. Buckets with more than ``BUCKET`` classes are not paired off. Their classes are linked exactly in another
-way: fingerprints are within two bits of each other if and only if they share a fingerprint at distance one or less, so
-every such class sends 65 rows (itself and its one-bit neighbours), and each neighbour links its classes to the least.
-Rows stay proportional to the input, however large a group of near copies is.
-
-Defined results: a null text has no words and fingerprint zero, which links like any other; a null doc_id is never a
-component_id unless all ids of the component are null; repeated rows get the same result; an empty table gives an empty
-table; other input columns are not read.
+of one fingerprint are one class from then on. The pivot table holds the Hamming distances of each class to 49 reference
+fingerprints. References are zero and, for each group of four bits, three that are set in three of these bits: what a
+distance exceeds that to zero by depends on one group only, and the three coordinates of a group tell its bits apart.
+
+Candidates come from the table. Two classes within two bits differ in two groups at most, so of four blocks of four
+groups at least two have equal coordinates, and a pair shares one of six keys made of them. Buckets of over ``BUCKET``
+classes are split by more coordinates of the same table: of the eight groups outside of the bucket's two blocks, six must
+agree, which gives 28 finer keys. A finer bucket leaves eight bits free, so it never holds more than 256 classes, and
+pairs stay proportional to the rows, however large a group of near copies is. Of the pairs that meet, those with a
+coordinate difference above two are discarded (no pair within two bits has one), and the survivors are verified by their own
+distance. No link is lost at any size.
+
+Defined results: a null, empty or blank text has no words and fingerprint zero, which links like any other; very long texts
+are hashed whole; a null doc_id is never a component_id unless all ids of the component are null; repeated rows and rows
+that share a doc_id get their own text's result; an empty table gives an empty table; other input columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -26,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_heavy, steps, text_or_empty
+from .common import Scratch, byte_steps, join_heavy, text_or_empty
 from .components import components
 
+#: Buckets of more classes are split by further coordinates before pairs are formed.
 BUCKET = 48
-PIVOTS = 8
-RADIUS = 2
+#: Groups of four bits, and the differing bits that link.
+GROUPS, RADIUS = 16, 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -56,78 +60,97 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fingerprint (signed long)."""
+    """doc_id, tie (a hash of the text) and fingerprint (signed long)."""
 
     def run(batches):
         for batch in batches:
-            for a, z in steps(batch.num_rows):
-                found = [fingerprint(t, width) for t in batch.column(1).slice(a, z - a).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            for a, z in byte_steps(batch.column(2), 1 << 20):
+                found = [fingerprint(t, width) for t in batch.column(2).slice(a, z - a).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "tie", "fp"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    texts = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    return texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, fp long")
 
 
-def _pivots() -> list[int]:
-    """Fixed pseudo-random references: multiples of the golden ratio's 64-bit fraction, mixed, as signed longs."""
-    out = []
-    for k in range(1, PIVOTS + 1):
-        x = k * 0x9E3779B97F4A7C15 % 2**64
-        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64
-        x ^= x >> 32
-        out.append(x - 2**64 if x >= 2**63 else x)
-    return out
+def references() -> list[int]:
+    """The reference fingerprints: zero, and for each group of four bits the three that are set in three of its bits as named."""
+    return [0, *(mask << 4 * g for g in range(GROUPS) for mask in (0b1101, 0b1011, 0b0111))]
 
 
-def pivot_row(fp: Column) -> Column:
-    """The distances (0 to 64) to all references, a byte each, in one long."""
-    row = F.lit(0).cast("long")
-    for k, p in enumerate(_pivots()):
-        row = row.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long"), 8 * k))
-    return row
+def pivot_row(fp: Column) -> list[Column]:
+    """The distances (0 to 64) to all references, a byte each, seven to a long."""
+    distance = [F.bit_count(fp.bitwiseXOR(F.lit(p if p < 2**63 else p - 2**64))).cast("long") for p in references()]
+    return [reduce(Column.bitwiseOR, [F.shiftleft(d, 8 * k) for k, d in enumerate(distance[i : i + 7])]) for i in range(0, len(distance), 7)]
 
 
-def _coordinate(row: Column, k: int) -> Column:
-    return F.shiftrightunsigned(row, 8 * k).bitwiseAND(F.lit(127).cast("long"))
+PIVOTS = [f"pivots_{i}" for i in range(7)]
 
 
-def _near(a: str, b: str, radius: int) -> Column:
-    """The largest coordinate difference is at most the radius."""
+def _coordinate(k: int) -> Column:
+    return F.shiftrightunsigned(F.col(PIVOTS[k // 7]), 8 * (k % 7)).bitwiseAND(F.lit(127).cast("long"))
+
+
+def _group(g: int) -> Column:
+    """What the table tells of four bits: their three coordinates against the coordinate of reference zero, 3 bits each."""
+    beyond = [_coordinate(1 + 3 * g + k) - _coordinate(0) + 3 for k in range(3)]
+    return reduce(Column.bitwiseOR, [F.shiftleft(d, 3 * k) for k, d in enumerate(beyond)])
+
+
+def _near(a: str, b: str) -> Column:
+    """No coordinate differs by more than the radius: in every byte, 2 + a - b and 2 + b - a are not negative."""
+    high, room = F.lit(0x80808080808080), F.lit(RADIUS * 0x01010101010101)
     keep = F.lit(True)
-    for k in range(PIVOTS):
-        keep &= F.abs(_coordinate(F.col(f"{a}.pivots"), k) - _coordinate(F.col(f"{b}.pivots"), k)) <= radius
+    for p in PIVOTS:
+        x, y = F.col(f"{a}.{p}"), F.col(f"{b}.{p}")
+        keep &= ((x.bitwiseOR(high) + room - y).bitwiseAND(y.bitwiseOR(high) + room - x)).bitwiseAND(high) == high
     return keep
 
 
-def bucket_keys(fp: Column) -> Column:
-    """Six keys, one for each two of the four 16-bit blocks, as (which two, their bits) in one long."""
-    block = [F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long")) for k in range(4)]
-    return F.array(*[F.lit(i << 32).cast("long").bitwiseOR(F.shiftleft(block[a], 16)).bitwiseOR(block[b]) for i, (a, b) in enumerate(combinations(range(4), 2))])
+def _blocks(parts: Column) -> Column:
+    """Six keys: the coordinates of two blocks of four groups."""
+    four = [F.slice(parts, 4 * k + 1, 4) for k in range(4)]
+    return F.array(*[F.struct(F.lit(i).alias("pair"), F.xxhash64(F.lit(i), four[a], four[b]).alias("key")) for i, (a, b) in enumerate(combinations(range(4), 2))])
+
+
+def _finer(parts: Column, key: Column, pair: Column) -> Column:
+    """28 keys: the key and the coordinates of six of the eight groups outside of its two blocks."""
+    keys = F.lit(None)
+    for i, (a, b) in enumerate(combinations(range(4), 2)):
+        free = [4 * k + j for k in range(4) if k not in (a, b) for j in range(4)]
+        named = [F.xxhash64(key, F.lit(n), *[parts[g] for g in free if g not in left]) for n, left in enumerate(combinations(free, 2))]
+        keys = F.when(pair == i, F.array(*named)).otherwise(keys)
+    return keys
 
 
 def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (u, v) between fingerprints; transitively they join just those within RADIUS bits of each other."""
-    rows = classes.select("fp", pivot_row(F.col("fp")).alias("pivots"), F.explode(bucket_keys(F.col("fp"))).alias("key"))
+    """Links (u, v): all pairs of fingerprints within RADIUS bits of each other."""
+    table = scratch.save(classes.select("fp", *[p.alias(n) for p, n in zip(pivot_row(F.col("fp")), PIVOTS)]), "pivots")
+    named = table.withColumn("parts", F.array(*[_group(g) for g in range(GROUPS)]))
+    rows = named.select("*", F.explode(_blocks(F.col("parts"))).alias("k")).select("fp", *PIVOTS, "parts", "k.pair", "k.key")
     sizes = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     met = scratch.save(join_heavy(rows, sizes, ["key"], "n", 6 * classes.count()), "bucket-rows")
-    cold = met.where(F.col("n") <= BUCKET)
-    pairs = cold.alias("a").join(cold.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _near("a", "b", RADIUS) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS))
-    near = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    hot = met.where(F.col("n") > BUCKET).select("fp").distinct()
-    around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)])
-    shared = hot.select("fp", F.explode(around).alias("z"))
-    hubs = shared.groupBy("z").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m <> x").select("z", "m")
-    starred = shared.join(hubs, "z").where("fp <> m").select(F.col("fp").alias("u"), F.col("m").alias("v"))
-    return near.unionByName(starred).distinct()
+    split = met.where(F.col("n") > BUCKET).withColumn("key", F.explode(_finer(F.col("parts"), F.col("key"), F.col("pair"))))
+    bucket = scratch.save(met.where(F.col("n") <= BUCKET).select("key", "fp", *PIVOTS).unionByName(split.select("key", "fp", *PIVOTS)), "buckets")
+    scratch.drop("bucket-rows")
+    pairs = bucket.alias("a").join(bucket.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _near("a", "b"))
+    verified = pairs.where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
+    return verified.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable), n_copies (rows of that fingerprint)."""
+    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable), n_copies (rows of that fingerprint), tie, is_first.
+
+    ``tie`` is a hash of the text. ``is_first`` marks the row that can stand for its component, the least by (doc_id, tie); rows
+    repeated with one doc_id and text are all marked.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, width), "fingerprints")
-    classes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
+    classes = scratch.save(rows.groupBy("fp").agg(first, F.count("*").alias("n_copies")), "classes")
     labels = components(links(classes, scratch), scratch)
-    joined = scratch.save(classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n_copies", "first_id", F.coalesce("label", "fp").alias("label")), "labelled")
-    least = scratch.save(joined.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_classes")), "least-ids")
-    answers = scratch.save(join_heavy(joined, least, ["label"], "n_classes", joined.count()).select("fp", "component_id", "n_copies"), "answers")
+    joined = scratch.save(classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n_copies", "first", F.coalesce("label", "fp").alias("label")), "labelled")
+    least = scratch.save(joined.groupBy("label").agg(F.min("first").alias("least"), F.count("*").alias("n_classes")), "least-ids")
+    answers = scratch.save(join_heavy(joined, least, ["label"], "n_classes", joined.count()).select("fp", "least", "n_copies"), "answers")
     found = join_heavy(rows, answers, ["fp"], "n_copies", rows.count())
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
+    is_first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("tie") == F.col("least.tie"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"), "n_copies", "tie", is_first.alias("is_first"))
