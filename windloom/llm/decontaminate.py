@@ -1,17 +1,23 @@
 """Operator 8: benchmark decontamination by suffix arrays of the training text.
 
-Each Arrow batch of documents is a shard. Its word sequence becomes numbers (words that no benchmark item holds are all
-zero, as no test suffix can reach past them), and its suffix array is the sorted list of the positions that begin with
-some benchmark phrase of a few words; no other suffix can match. Every test suffix is then found by binary search in
-every shard. A suffix of ``width`` words that occurs is a verbatim match; neighbouring matches on one diagonal are one
-longer match.
-
-The benchmark is handed out in blocks of bounded size (``block_bytes`` of text); larger benchmarks take more blocks,
-which run one after the other over the same rows within one stage. Documents are never shuffled.
-
-Defined results: null texts and items have no words; an item without words is never found; items of fewer words than
-``width`` are one window; repeated item ids count once; a null item_id is written ``null``; repeated documents get the
-same result; an empty table on either side gives no hits. All document columns pass through unchanged inside ``row``.
+Documents are taken in shards of bounded size. A shard's words become numbers (words that no test item of the block holds are
+zero: no match can reach across them), and its suffix array lists its positions in the order of the suffixes that start
+there. Every test suffix is found in every shard by two binary searches, which bound the positions that agree with it in
+``width`` words or more; each such match is then followed to its end. What an item and a document share on one diagonal
+becomes one match, reported where it starts: these are the longest verbatim matches with their locations. Covered words
+and items of a document follow from its matches, and documents that are covered too much are removed.
+
+A suffix of the shard can only match if a few of its words begin some test suffix, so the others are left out of the
+array before it is sorted (``_GRAM`` words looked up in a bit table); this changes no result.
+
+The benchmark comes in blocks of ``block_bytes`` of text at most. A block's text is all that the driver sees; each worker
+builds the block's test suffixes for itself. Between two blocks the documents are written with what was found so far and
+the block is released, so one block is held at a time, however large the benchmark is. Documents are never shuffled.
+
+Defined results: null and empty texts and items have no words; an item without words is never found; items of fewer
+words than ``width`` are one window; repeated item ids and items count once; a null item_id is written ``null``; repeated
+documents, and documents of one or no doc_id, each get their own result; very long texts are one shard of their own; an
+empty table on either side gives no hits. All document columns pass through inside ``row``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,48 +27,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, text_or_empty
+from .common import Scratch, byte_steps, text_or_empty, texts_of, whole_row
 
 #: The words are runs of digits, ASCII letters and everything beyond ASCII; the rest separates.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-SHARD_ROWS = 1024
+SHARD_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
+#: Agreements of test suffixes with positions looked at together, about.
+AT_ONCE = 1 << 20
 _GRAM = 4
+_TOP = 0x7FFFFFFF
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(WORD_BYTES).split()
 
 
+def _sortable(windows: np.ndarray) -> np.ndarray:
+    """Rows of numbers as byte strings of the same order."""
+    return np.ascontiguousarray(windows.astype(">i4")).view(f"S{4 * windows.shape[1]}").ravel()
+
+
 class TestSuffixes:
-    """The sorted windows of a block of benchmark items."""
+    """All suffixes of a block of benchmark items that are long enough to match."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
+    def __init__(self, items: list[tuple[str, str]], width: int):
         self.width = width
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[tuple[int, int]]] = {}
         self.ids = sorted({i for i, _ in items})
         number = {x: k for k, x in enumerate(self.ids)}
-        for item, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            size = min(width, len(words))
-            for a in range(len(words) - size + 1 if words else 0):
-                windows.setdefault(tuple(words[a : a + size]), set()).add((number[item], a))
-        keys = sorted(windows)
-        self.sizes = np.array([len(k) for k in keys], np.int64)
-        self.low = self._keys(keys, 0)
-        self.high = self._keys(keys, 0x7FFFFFFF)
-        self.owners = [sorted(windows[k]) for k in keys]
-        self.gram = int(min(self.sizes.min(), _GRAM)) if keys else 0
+        texts = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)] for _, t in items]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.first = np.cumsum(sizes + 1) - sizes - 1  # items stand one after the other, a number that matches nothing between them
+        self.numbers = np.full(int((sizes + 1).sum()) + width, -1, np.int32)
+        for a, t in zip(self.first.tolist(), texts):
+            self.numbers[a : a + len(t)] = t
+        self.need = np.minimum(sizes, width)  # words that make a match
+        starts = np.where(sizes > 0, sizes - self.need + 1, 0)
+        self.item = np.repeat(np.arange(len(items)), starts)
+        self.at = np.arange(len(self.item)) - np.repeat(np.cumsum(starts) - starts, starts) + self.first[self.item]
+        self.owner = np.array([number[i] for i, _ in items], np.int64)
+        windows = np.lib.stride_tricks.sliding_window_view(self.numbers, width)[self.at] if len(self.at) else np.zeros((0, width), np.int32)
+        short = np.arange(width) >= self.need[self.item][:, None]
+        self.low, self.high = _sortable(np.where(short, 0, windows)), _sortable(np.where(short, _TOP, windows))
+        self.gram = int(min(self.need[sizes > 0].min(), _GRAM)) if len(self.at) else 0
         self.grams = np.zeros(1 << 20, bool)
-        if keys:
-            heads = np.array([k[: self.gram] for k in keys], np.int64)
-            self.grams[self._code([heads[:, j] for j in range(self.gram)])] = True
-
-    def _keys(self, keys, fill: int) -> np.ndarray:
-        out = np.full((len(keys), self.width), fill, ">i4")
-        for k, words in enumerate(keys):
-            out[k, : len(words)] = words
-        return np.ascontiguousarray(out).view(f"S{4 * self.width}").ravel()
+        if self.gram:
+            self.grams[self._code([windows[:, j] for j in range(self.gram)])] = True
 
     def _code(self, columns) -> np.ndarray:
         code = np.zeros(len(columns[0]), np.uint64)
@@ -71,75 +82,125 @@ class TestSuffixes:
             code ^= code >> np.uint64(29)
         return (code & np.uint64((1 << 20) - 1)).astype(np.int64)
 
-    def search(self, numbers: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(window, ascending positions) for each window that occurs in a shard's word numbers."""
+    def suffix_array(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of a shard that may match, in suffix order, and the first words of these suffixes."""
         n = len(numbers)
-        if not len(self.low) or not n:
-            return []
         padded = np.concatenate([numbers, np.zeros(self.width, np.int32)])
-        code = self._code([padded[j : j + n] for j in range(self.gram)])
-        at = np.flatnonzero(self.grams[code] & (numbers > 0))
-        if not len(at):
-            return []
-        prefix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.width)[at].astype(">i4")).view(f"S{4 * self.width}").ravel()
-        order = np.argsort(prefix, kind="stable")
-        suffixes, at = prefix[order], at[order]
-        left, right = np.searchsorted(suffixes, self.low, "left"), np.searchsorted(suffixes, self.high, "right")
-        return [(int(k), np.sort(at[left[k] : right[k]])) for k in np.flatnonzero(right > left)]
-
-
-def blocks(benchmark: DataFrame, width: int, block_bytes: int):
-    """Broadcastable parts of the benchmark; each holds about block_bytes of text at most."""
+        at = np.flatnonzero((numbers > 0) & self.grams[self._code([padded[j : j + n] for j in range(self.gram)])])
+        heads = _sortable(np.lib.stride_tricks.sliding_window_view(padded, self.width)[at])
+        order = np.argsort(heads, kind="stable")
+        return at[order], heads[order]
+
+    def matches(self, numbers: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(item, word of the item, position in the shard, words) of each longest match."""
+        none = (np.zeros(0, np.int64),) * 4
+        if not self.gram or not len(numbers):
+            return none
+        suffixes, heads = self.suffix_array(numbers)
+        if not len(suffixes):
+            return none
+        left, right = np.searchsorted(heads, self.low, "left"), np.searchsorted(heads, self.high, "right")
+        many = right - left
+        parts = []
+        for part in np.split(np.flatnonzero(many), np.flatnonzero(np.diff(np.cumsum(many[many > 0]) // AT_ONCE)) + 1):
+            suffix = np.repeat(part, many[part])
+            here = suffixes[np.arange(len(suffix)) - np.repeat(np.cumsum(many[part]) - many[part], many[part]) + left[suffix]]
+            there, item = self.at[suffix], self.item[suffix]
+            before = np.where(here > 0, numbers[here - 1], 0)  # a match that could start one word earlier is part of that one
+            begins = (there == self.first[item]) | (before == 0) | (before != self.numbers[there - 1])
+            parts.append((item[begins], there[begins], here[begins]))
+        item, there, here = (np.concatenate(x) for x in zip(*parts))
+        size = self.need[item].copy()
+        going = np.arange(len(here))
+        while len(going):
+            a, b = here[going] + size[going], there[going] + size[going]
+            same = numbers[np.minimum(a, len(numbers) - 1)] == self.numbers[b]
+            going = going[same & (a < len(numbers))]
+            size[going] += 1
+        return item, there - self.first[item], here, size
+
+
+#: The test suffixes of the block in hand, one for each worker process.
+_current: dict[str, TestSuffixes] = {}
+
+
+def _tests(block, width: int) -> TestSuffixes:
+    if block.id not in _current:
+        _current.clear()
+        _current[block.id] = TestSuffixes(block.items.value, width)
+    return _current[block.id]
+
+
+class Block:
+    """A broadcast part of the benchmark."""
+
+    def __init__(self, spark, items: list[tuple[str, str]]):
+        self.items = spark.sparkContext.broadcast(items)
+        self.id = f"{spark.sparkContext.applicationId}-{self.items._jbroadcast.id()}"
+
+
+def blocks(benchmark: DataFrame, block_bytes: int):
+    """The parts of the benchmark, one after the other; each holds about block_bytes of text at most."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), text_or_empty().alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(TestSuffixes([tuple(r) for r in part], width))
-
-
-def _merge(spans: list[int], hit: np.ndarray) -> list[int]:
-    """Covered words as ascending, disjoint (start, end) pairs, joined with those found before."""
-    for a, z in zip(spans[::2], spans[1::2]):
-        hit[a:z] = True
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-    return edges.tolist()
+        yield Block(benchmark.sparkSession, [tuple(r) for r in part]), k == n - 1
+
+
+def _shards(texts: pa.Array, tests: TestSuffixes):
+    """(first row, words of each row, start of each row, matches) for each shard of an Arrow array of texts."""
+    get = tests.vocabulary.get
+    for a, z in byte_steps(texts, SHARD_BYTES):
+        words = [words_of(t) for t in texts.slice(a, z - a).to_pylist()]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes + 1) - sizes - 1  # a zero between documents
+        numbers = np.zeros(int((sizes + 1).sum()), np.int32)
+        for s, w in zip(starts.tolist(), words):
+            numbers[s : s + len(w)] = [get(x, 0) for x in w]
+        yield a, sizes, starts, tests.matches(numbers)
+
+
+def _covered(spans: list[list[int]]) -> list[int]:
+    """Ascending, disjoint (start, end) pairs, flat."""
+    out: list[int] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], z)
+        else:
+            out += [a, z]
+    return out
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """row (the document as it came), n_words, spans (covered words as flat start, end pairs) and items (distinct ids)."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for block in blocks(benchmark, width, block_bytes):
+    rows = docs.select(whole_row(docs), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    for k, (block, last) in enumerate(blocks(benchmark, block_bytes)):
 
         def run(batches, block=block):
-            tests = block.value
-            get = tests.vocabulary.get
+            tests = _tests(block, width)
             for batch in batches:
-                for a, z in steps(batch.num_rows, SHARD_ROWS):
-                    part = batch.slice(a, z - a)
-                    words = [words_of(t) for t in part.column(1).to_pylist()]
-                    sizes = np.fromiter(map(len, words), np.int64, len(words))
-                    starts = np.concatenate([[0], np.cumsum(sizes + 1)])  # a zero between documents
-                    numbers = np.zeros(int(starts[-1]), np.int32)
-                    for s, w in zip(starts.tolist(), words):
-                        numbers[s : s + len(w)] = [get(x, 0) for x in w]
-                    hit = np.zeros(len(numbers), bool)
-                    found: dict[int, set[int]] = {}
-                    for k, at in tests.search(numbers):
-                        for j in range(int(tests.sizes[k])):
-                            hit[at + j] = True
-                        items = {i for i, _ in tests.owners[k]}
-                        for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
-                            found.setdefault(d, set()).update(items)
-                    spans, items = part.column(3).to_pylist(), part.column(4).to_pylist()
+                for a, sizes, starts, (item, _, here, size) in _shards(texts_of(batch.column(0)), tests):
+                    part = batch.slice(a, len(sizes))
+                    spans, items = part.column(2).to_pylist(), part.column(3).to_pylist()
+                    found: dict[int, list[tuple[int, int, int]]] = {}
+                    doc = np.searchsorted(starts, here, "right") - 1
+                    for d, i, p, n in zip(doc.tolist(), tests.owner[item].tolist(), (here - starts[doc]).tolist(), size.tolist()):
+                        found.setdefault(d, []).append((p, p + n, i))
                     for d, new in found.items():
-                        s = int(starts[d])
-                        spans[d] = _merge(spans[d], hit[s : s + int(sizes[d])])
-                        items[d] = sorted({*items[d], *(tests.ids[i] for i in new)})
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["row", "text", "n_words", "spans", "items"])
+                        spans[d] = _covered([*zip(spans[d][::2], spans[d][1::2]), *((p, z) for p, z, _ in new)])
+                        items[d] = sorted({*items[d], *(tests.ids[i] for _, _, i in new)})
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["row", "n_words", "spans", "items"])
 
         rows = rows.mapInArrow(run, rows.schema)
-    return rows.drop("text")
+        if not last:
+            rows = scratch.save(rows, f"block-{k}")
+            if k:
+                scratch.drop(f"block-{k - 1}")
+            block.items.destroy()
+    return rows
 
 
 def contamination(marked: DataFrame, share: int = 20) -> DataFrame:
@@ -154,27 +215,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     return contamination(mark(docs, benchmark, width), share).where(~F.col("contaminated")).select("row.*")
 
 
-def longest_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
+def longest_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each longest verbatim match: doc_id, item_id, doc_word, item_word (from 0) and n_words."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
+    scratch = Scratch(spark, "matches")
     out = None
-    for block in blocks(benchmark, width, 16 << 20):
+    for k, (block, last) in enumerate(blocks(benchmark, block_bytes)):
 
         def run(batches, block=block):
-            tests = block.value
+            tests = _tests(block, width)
             for batch in batches:
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    numbers = np.array([tests.vocabulary.get(w, 0) for w in words_of(text)], np.int32)
-                    hits = sorted({(item, p - q, p, int(tests.sizes[k])) for k, at in tests.search(numbers) for item, q in tests.owners[k] for p in at.tolist()})
-                    merged: list[list[int]] = []
-                    for item, diagonal, p, size in hits:
-                        if merged and merged[-1][:2] == [item, diagonal] and p <= merged[-1][3]:
-                            merged[-1][3] = p + size
-                        else:
-                            merged.append([item, diagonal, p, p + size])
-                    ids = batch.column(0).slice(i, 1).take(pa.array([0] * len(merged), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([tests.ids[m[0]] for m in merged], pa.string()), pa.array([m[2] for m in merged], pa.int64()), pa.array([m[2] - m[1] for m in merged], pa.int64()), pa.array([m[3] - m[2] for m in merged], pa.int64())], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
+                for a, _, starts, (item, there, here, size) in _shards(batch.column(1), tests):
+                    doc = np.searchsorted(starts, here, "right") - 1
+                    names = pa.array(tests.ids, pa.string()).take(pa.array(tests.owner[item]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + doc)), names, pa.array(here - starts[doc]), pa.array(there), pa.array(size)], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
 
         found = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string, doc_word long, item_word long, n_words long")
+        if not last:
+            found = scratch.save(found, f"block-{k}")
+            block.items.destroy()
         out = found if out is None else out.unionByName(found)
     return out
