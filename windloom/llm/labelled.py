@@ -1,10 +1,16 @@
-"""Labelled rows for the two classifiers: a bounded sample, never of the held-out fifth."""
+"""Labelled rows for the two classifiers: a bounded sample, never of the held-out fifth.
+
+Labels other than 0 and 1 don't count, nor do those of a doc_id that has both. Of several documents of one doc_id the one
+whose text has the least hash stands for the label.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_or_empty
+
 #: The most labelled rows that a classifier is fitted on. Its rows (an id and a label) are broadcast, so this bounds it.
 MAX_LABELLED = 20_000
 
@@ -15,7 +21,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_LABELLED) -> DataFrame:
-    """text and label of at most max_rows labelled documents, those with the least hash of the id."""
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
-    sample = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label")
+    """text and label of at most max_rows documents, those of the labelled ids with the least hash."""
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"), F.max(label).alias("other")).where("label = other")
+    sample = known.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    return one.select(F.col("least.text").alias("text"), "label")

@@ -2,156 +2,185 @@
 
 score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j): the pairs let two terms count together, which
 additive weights miss. A word's terms are the word and its beginnings of PREFIXES letters, so that a stem counts with any
-ending. Terms are hashed into 2**HASH_BITS slots; of these the TERMS slots whose document frequency
-differs most between the classes enter the model, so its size is fixed.
+ending. Every term is hashed into one of 2**HASH_BITS slots, and every slot has a weight and factors. A term's value is
+the logarithm of its count, times how surely its document frequency differs between the classes (``reliance``, between 0
+and 1), so that common and rare words alike stay in the model but don't drown the others.
 
-The model is fitted on at most ``max_rows`` labelled rows (see ``labelled``), gathered as sparse rows of fixed width;
-every document is then scored where it lies, without a shuffle.
+The model is fitted on at most ``max_rows`` labelled rows (see ``labelled``), gathered as sparse rows; every document is then
+scored where it lies, without a shuffle.
 
-Defined results: a null or empty text is scored from the model's constant alone; repeated rows score alike; without
-labelled rows of both classes every score is the share of label 1 (0 without any label); an empty table gives an empty
-one; a null doc_id is held out; all document columns pass through inside ``row``.
+Defined results: a null, empty or wordless text is scored from the model's constant alone; very long texts count whole;
+repeated rows score alike; contradicting labels of one doc_id don't count; without labelled rows of both classes every
+score is the share of label 1 (0 without any label); an empty table gives an empty one; a null doc_id is held out; all
+document columns pass through inside ``row``, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import Scratch, steps, text_or_empty
-from .decontaminate import words_of
-from .labelled import MAX_LABELLED, held_out, training_rows
+from .common import Scratch, byte_steps, texts_of, whole_row
+from .decontaminate import WORD_BYTES
+from .labelled import held_out, training_rows
 
-HASH_BITS = 20
-TERMS = 256
+HASH_BITS = 18
 FACTORS = 6
 PREFIXES = (4, 5, 6, 7)
+#: Labelled rows that the model sees at most; their sparse rows are what the driver holds.
+MAX_ROWS = 4_000
+#: Words kept in a worker's memory, each of 64 bytes at most.
+MEMORY = 200_000
 
 
-def slots_of(word: bytes) -> set[int]:
+def slots_of(word: bytes) -> list[int]:
+    """The slots of a word's terms, -1 where it is too short for a beginning."""
     letters = word.decode()
-    terms = [word, *(b"^" + letters[:n].encode() for n in PREFIXES if len(letters) >= n)]
-    return {zlib.crc32(t) & ((1 << HASH_BITS) - 1) for t in terms}
+    terms = [word, *(b"^" + letters[:n].encode() if len(letters) >= n else None for n in PREFIXES)]
+    return [zlib.crc32(t) & ((1 << HASH_BITS) - 1) if t is not None else -1 for t in terms]
+
+
+class Terms:
+    """Texts -> sparse counts of slots; remembers a bounded number of words."""
+
+    def __init__(self):
+        self.rows: dict[bytes, list[int]] = {}
+
+    def _slots(self, words: list[bytes]) -> np.ndarray:
+        if len(self.rows) > MEMORY:
+            self.rows.clear()
+        out = []
+        for w in words:
+            found = self.rows.get(w)
+            if found is None:
+                found = slots_of(w) if w else [-1] * (1 + len(PREFIXES))
+                if len(w) <= 64:
+                    self.rows[w] = found
+            out.append(found)
+        return np.array(out, np.int64).reshape(len(words), 1 + len(PREFIXES))
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first entry of each text and the end, slot, count); a text's slots ascend."""
+        n = len(texts)
+        raw = [t.translate(WORD_BYTES) for t in texts.cast(pa.binary()).to_pylist()]
+        lists = pc.ascii_split_whitespace(pa.array(raw, pa.binary()).cast(pa.string()))
+        words = lists.flatten().dictionary_encode()
+        slots = self._slots([w.encode() for w in words.dictionary.to_pylist()])[words.indices.to_numpy()]
+        text = np.repeat(np.arange(n, dtype=np.int64), pc.list_value_length(lists).to_numpy())
+        keys = (text[:, None] << HASH_BITS | slots)[slots >= 0]
+        keys, count = np.unique(keys, return_counts=True)
+        return np.searchsorted(keys, np.arange(n + 1, dtype=np.int64) << HASH_BITS), keys & ((1 << HASH_BITS) - 1), count
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the stretches first[k] : first[k + 1], which may be empty."""
+    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+    return total[first[1:]] - total[first[:-1]]
 
 
-class Terms(dict):
-    """word -> columns of the model; remembers a bounded number of words."""
-
-    LIMIT = 300_000
-
-    def __init__(self, slots):
-        super().__init__()
-        self.column = {s: k for k, s in enumerate(slots)}
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > self.LIMIT:
-            self.clear()
-        self[word] = found = tuple(sorted(self.column[s] for s in slots_of(word) if s in self.column))
-        return found
-
-
-def matrix(texts: list[str], terms: Terms) -> np.ndarray:
-    """One row for each text: log(1 + count) of each model term."""
-    out = np.zeros((len(texts), max(1, len(terms.column))), np.float32)
-    for i, text in enumerate(texts):
-        columns = list(chain.from_iterable(map(terms.__getitem__, words_of(text))))
-        if columns:
-            out[i] = np.bincount(columns, minlength=out.shape[1])
-    return np.log1p(out)
+class FactorizationMachine:
+    """Weights and factors of all slots; rows come as (first, slot, count)."""
 
+    def __init__(self, w0: float, reliance: np.ndarray | None = None, w: np.ndarray | None = None, v: np.ndarray | None = None):
+        self.w0, self.reliance, self.w, self.v = w0, reliance, w, v
 
-class FactorizationMachine:
-    def __init__(self, w0: float, w: np.ndarray, v: np.ndarray):
-        self.w0, self.w, self.v = w0, w, v
+    def _forward(self, first, slot, x) -> tuple[np.ndarray, np.ndarray]:
+        xv = x[:, None] * self.v[slot]
+        s = _sums(xv, first)
+        return self.w0 + _sums(x * self.w[slot], first) + 0.5 * (s * s - _sums(xv * xv, first)).sum(axis=1), s
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        s = x @ self.v
-        return self.w0 + x @ self.w + 0.5 * (s * s - (x * x) @ (self.v * self.v)).sum(axis=1)
+    def score(self, first, slot, count) -> np.ndarray:
+        if self.w is None:
+            return np.full(len(first) - 1, 1 / (1 + np.exp(-self.w0)))
+        margin, _ = self._forward(first, slot, self.values(slot, count))
+        return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x).astype(np.float64), -30, 30)))
+    def values(self, slot: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.log1p(count) * self.reliance[slot]
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 256, rate: float = 0.15, decay: float = 3e-5, seed: int = 7):
+    def fit(cls, first, slot, count, y, epochs: int = 6, batch: int = 128, rate: float = 0.15, decay: float = 1e-5, seed: int = 7):
         rng = np.random.default_rng(seed)
-        n, d = x.shape
+        n, d = len(y), 1 << HASH_BITS
         share = float(y.mean()) if n else 0.0
         if not 0 < share < 1:
-            return cls(float(np.log((share + 1e-9) / (1 - share + 1e-9))), np.zeros(d, np.float32), np.zeros((d, FACTORS), np.float32))
-        m = cls(float(np.log(share / (1 - share))), np.zeros(d, np.float32), rng.normal(0, 0.02, (d, FACTORS)).astype(np.float32))
-        g0, gw, gv = 1e-6, np.full(d, 1e-6, np.float32), np.full((d, FACTORS), 1e-6, np.float32)
+            return cls(float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+        m = cls(float(np.log(share / (1 - share))), reliance(slot, np.repeat(y, np.diff(first)), n, int(y.sum())), np.zeros(d), rng.normal(0, 0.02, (d, FACTORS)))
+        x = m.values(slot, count)
+        g0, gw, gv = 1e-6, np.full(d, 1e-6), np.full((d, FACTORS), 1e-6)
         for _ in range(epochs):
             order = rng.permutation(n)
             for a in range(0, n, batch):
-                xb, yb = x[order[a : a + batch]], y[order[a : a + batch]]
-                s = xb @ m.v
-                margin = m.w0 + xb @ m.w + 0.5 * (s * s - (xb * xb) @ (m.v * m.v)).sum(axis=1)
-                e = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - yb).astype(np.float32) / len(yb)
-                d0, dw = float(e.sum()), xb.T @ e + decay * m.w
-                dv = xb.T @ (e[:, None] * s) - m.v * ((xb * xb).T @ e)[:, None] + decay * m.v
+                rows = order[a : a + batch]
+                sizes = first[rows + 1] - first[rows]
+                begin = np.concatenate([[0], np.cumsum(sizes)])
+                at = np.arange(begin[-1]) + np.repeat(first[rows] - begin[:-1], sizes)
+                s_, x_ = slot[at], x[at]
+                margin, s = m._forward(begin, s_, x_)
+                e = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[rows]) / len(rows)
+                ex, owner = np.repeat(e, sizes) * x_, np.repeat(np.arange(len(rows)), sizes)
+                used, place = np.unique(s_, return_inverse=True)
+                dw = np.bincount(place, ex, len(used)) + decay * m.w[used]
+                dv = np.stack([np.bincount(place, ex * (s[owner, f] - x_ * m.v[s_, f]), len(used)) for f in range(FACTORS)], axis=1) + decay * m.v[used]
+                d0 = float(e.sum())
                 g0 += d0 * d0
-                gw += dw * dw
-                gv += dv * dv
+                gw[used] += dw * dw
+                gv[used] += dv * dv
                 m.w0 -= rate * d0 / g0**0.5
-                m.w -= rate * dw / np.sqrt(gw)
-                m.v -= rate * dv / np.sqrt(gv)
+                m.w[used] -= rate * dw / np.sqrt(gw[used])
+                m.v[used] -= rate * dv / np.sqrt(gv[used])
+        m.reliance, m.w, m.v = m.reliance.astype(np.float32), m.w.astype(np.float32), m.v.astype(np.float32)
         return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> tuple[list[int], FactorizationMachine]:
-    """The chosen slots and the model."""
-    scratch = Scratch(docs.sparkSession, "toxicity")
+def reliance(slot: np.ndarray, label: np.ndarray, n: int, ones: int) -> np.ndarray:
+    """How surely each slot's document frequency differs between the classes: z * z / (z * z + 30) of the usual z value."""
+    d = 1 << HASH_BITS
+    df, df1 = np.bincount(slot, minlength=d), np.bincount(slot, label, d)
+    p = df / n
+    z = (df1 / ones - (df - df1) / (n - ones)) / np.sqrt(p * (1 - p) * (1 / ones + 1 / (n - ones)) + 1e-12)
+    return z * z / (z * z + 30)
+
 
-    def distinct_slots(batches):
-        known: dict[bytes, set[int]] = {}
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> FactorizationMachine:
+    """The model of at most max_rows labelled rows."""
+
+    def sparse(batches):
+        terms = Terms()
         for batch in batches:
-            known.clear()
-            rows = [sorted(Counter(chain.from_iterable(known.get(w) or known.setdefault(w, slots_of(w)) for w in words_of(t))).items()) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([[s for s, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[c for _, c in r] for r in rows], pa.list_(pa.int32()))], names=["label", "slots", "counts"])
-
-    rows = scratch.save(training_rows(docs, labels, "toxic", max_rows).mapInArrow(distinct_slots, "label int, slots array<int>, counts array<int>"), "rows")
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
-    n, ones = total["n"], total["ones"]
-    if not 0 < ones < n:
-        return [], FactorizationMachine.fit(np.zeros((n, 1), np.float32), np.full(n, float(ones > 0), np.float32))
-    df = rows.select("label", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("df"), F.sum("label").alias("df1"))
-    p = F.col("df") / n
-    z = F.abs(F.col("df1") / ones - (F.col("df") - F.col("df1")) / (n - ones)) / F.sqrt(p * (1 - p) * (1 / ones + 1 / (n - ones)) + 1e-12)
-    slots = sorted(r["slot"] for r in df.where(F.col("df") >= 5).orderBy(z.desc(), "slot").select("slot").limit(TERMS).collect())
-    chosen = F.array(*[F.lit(s) for s in slots])
-    kept = rows.select("label", F.filter(F.arrays_zip("slots", "counts"), lambda x: F.array_contains(chosen, x["slots"])).alias("x")).select("label", "x.slots", "x.counts").toArrow()
-    x, column = np.zeros((kept.num_rows, len(slots)), np.float32), {s: k for k, s in enumerate(slots)}
-    for i, (ss, cc) in enumerate(zip(kept["slots"].to_pylist(), kept["counts"].to_pylist())):
-        for s, c in zip(ss, cc):
-            x[i, column[s]] = c
-    y = kept["label"].to_numpy().astype(np.float32)
-    order = np.lexsort([x @ np.arange(1, len(slots) + 1, dtype=np.float32), y])  # the same rows give the same model
-    return slots, FactorizationMachine.fit(np.log1p(x[order]), y[order])
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> DataFrame:
+            for a, z in byte_steps(batch.column(0), 1 << 20):
+                first, slot, count = terms.counts(batch.column(0).slice(a, z - a))
+                lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(c, pa.int32())) for c in (slot, count)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, z - a), *lists], names=["label", "slots", "counts"])
+
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    saved = scratch.save(training_rows(docs, labels, "toxic", max_rows).mapInArrow(sparse, "label int, slots array<int>, counts array<int>"), "rows")
+    rows = saved.orderBy("label", "slots", "counts").toArrow().combine_chunks()  # max_rows at most, in an order that gives the same model each time
+    scratch.drop("rows")
+    slots, counts = rows["slots"].combine_chunks(), rows["counts"].combine_chunks()
+    first = np.concatenate([[0], np.cumsum(pc.list_value_length(slots).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return FactorizationMachine.fit(first, slots.flatten().to_numpy(), counts.flatten().to_numpy(), rows["label"].to_numpy().astype(np.float64))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """row (the document as it came) and score."""
-    slots, model = fit(docs, labels, max_rows)
-    model = docs.sparkSession.sparkContext.broadcast((slots, model))  # TERMS x (FACTORS + 1) numbers
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows))  # 2**HASH_BITS x (FACTORS + 2) numbers
 
     def run(batches):
-        slots, fm = model.value
-        terms = Terms(slots)
+        terms = Terms()
         for batch in batches:
-            for a, z in steps(batch.num_rows):
-                part = batch.slice(a, z - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fm.score(matrix(part.column(1).to_pylist(), terms)))], names=["row", "score"])
+            texts = texts_of(batch.column(0))
+            for a, z in byte_steps(texts, 1 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(model.value.score(*terms.counts(texts.slice(a, z - a))))], names=["row", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("text"))
+    rows = docs.select(whole_row(docs))
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = score_toxicity(docs.select("doc_id", "text"), labels).select("row.doc_id", "score")
-    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (rows["score"] >= 0.5).cast("int").alias("predicted"))
