@@ -401,12 +401,60 @@ def test_pages_table(spark):
 def test_pairs_beat_additive_weights():
     """Label 1 needs both terms; neither alone."""
     rng = np.random.default_rng(0)
-    x = (rng.random((3000, 4)) < 0.5).astype(np.float32)
-    y = (x[:, 0] * x[:, 1]).astype(np.float32)
-    model = toxicity.FactorizationMachine.fit(x, y, epochs=40)
-    assert ((model.score(x) >= 0.5) == (y > 0)).mean() > 0.99
-    slow = [model.w0 + sum(r * model.w) + sum(r[i] * r[j] * (model.v[i] @ model.v[j]) for i in range(4) for j in range(i)) for r in x[:20]]
-    assert np.allclose(slow, model.margin(x[:20]), atol=1e-4)
+    x = (rng.random((3000, 4)) < 0.5).astype(np.int64)
+    y = (x[:, 0] * x[:, 1]).astype(np.float64)
+    first, slot = np.concatenate([[0], np.cumsum(x.sum(axis=1))]), np.nonzero(x)[1]
+    model = toxicity.FactorizationMachine.fit(first, slot, np.ones(len(slot)), y, epochs=40)
+    assert ((model.score(first, slot, np.ones(len(slot))) >= 0.5) == (y > 0)).mean() > 0.99
+    value = x * np.log(2) * model.reliance[:4]
+    slow = [model.w0 + sum(r * model.w[:4]) + sum(r[i] * r[j] * (model.v[i] @ model.v[j]) for i in range(4) for j in range(i)) for r in value[:20]]
+    assert np.allclose(1 / (1 + np.exp(-np.array(slow))), model.score(first[:21], slot[: first[20]], np.ones(first[20])), atol=1e-4)
+
+
+def test_term_counts_are_those_of_each_text():
+    texts = ["Ab abcde abcde!", "", "...", "éé abcdefgh " * 3, "abcd"]
+    first, slot, count = toxicity.Terms().counts(pa.array(texts))
+    for i, text in enumerate(texts):
+        want = Counter(s for w in plain_words(text) for s in toxicity.slots_of(w.encode()) if s >= 0)
+        assert dict(zip(slot[first[i] : first[i + 1]].tolist(), count[first[i] : first[i + 1]].tolist())) == want
+
+
+def test_scores_are_the_model_on_each_text(spark):
+    """The query's scores against the fitted model, worked out text by text."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model, density = toxicity.fit(docs, labels), quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.scored(docs, labels).collect():
+        counts = Counter(s for w in plain_words(texts[r.doc_id]) for s in toxicity.slots_of(w.encode()) if s >= 0)
+        x = {s: np.log1p(n) * model.reliance[s] for s, n in counts.items()}
+        s = sum((x[k] * model.v[k] for k in x), np.zeros(toxicity.FACTORS))
+        margin = model.w0 + sum(x[k] * model.w[k] for k in x) + 0.5 * (s @ s - sum(x[k] ** 2 * (model.v[k] @ model.v[k]) for k in x))
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))) < 1e-4 and r.predicted == (r.score >= 0.5)
+    # the discriminant by its textbook formula, from the labelled rows themselves
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5}
+    x = {i: np.array(quality.statistics(t or "")) for i, t in texts.items()}
+    by = [np.array([x[i] for i, k in known.items() if k == c]) for c in (0, 1)]
+    scatter = [np.cov(b.T) * (len(b) - 1) for b in by]
+    pooled = sum(scatter) / (sum(map(len, by)) - 2)
+    parts = []
+    for b, sc in zip(by, scatter):
+        own = 0.9 * sc / (len(b) - 1) + 0.1 * pooled
+        own = 0.9 * own + 0.1 * np.diag(np.diag(own)) + 1e-3 * np.eye(len(own))
+        parts.append((b.mean(axis=0), np.linalg.inv(own), np.linalg.slogdet(own)[1], np.log(len(b) / len(known))))
+    for r in quality.scored(docs, labels).collect():
+        d = [p - 0.5 * (det + (x[r.doc_id] - m) @ inv @ (x[r.doc_id] - m)) for m, inv, det, p in parts]
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(d[1] - d[0], -30, 30)))) < 1e-6 and r.predicted == (r.score >= 0.3)
+
+
+def test_contradicting_labels_and_repeated_ids(spark):
+    docs = documents(spark, [f"text {i}" for i in range(40)] + ["other"] * 5, [*range(40)] + [3] * 5)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] + [(4, 1, 1), (6, 0, 0), (8, 7, None)], "doc_id long, quality int, toxic int")
+    from windloom.llm.labelled import training_rows
+
+    rows = training_rows(docs, labels, "toxic").collect()
+    free = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 and i != 4]
+    assert len(rows) == len(free) and training_rows(docs, labels, "toxic", 7).count() == 7
+    assert sum(r.label for r in rows) == sum(i % 2 for i in free)
 
 
 @pytest.mark.parametrize(("module", "label", "least"), [(toxicity, "toxic", 0.9), (quality, "quality", 0.9)])
@@ -463,6 +511,13 @@ def test_repeated_passages_odd_rows(spark):
     assert sorted((str(r.doc_id), r.n_removed) for r in rows) == [("3", 0), ("3", 0), ("8", 60), ("None", 0)]
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    rnd = random.Random(8)
+    p, q = (" ".join(f"{c}{rnd.randrange(10**6)}" for _ in range(70)) for c in "pq")
+    rows = substring_dedup.digest(substring_dedup.mark(documents(spark, [p, p, q, p, q], [1, 5, 5, 5, 6]))).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in rows) == [(1, 0), (5, 0), (5, 70), (5, 70), (6, 70)]
+
+
 # 8
 
 
@@ -499,6 +554,42 @@ def test_longest_matches(spark):
     assert decontaminate.decontaminate(docs, bench.limit(0)).columns == docs.columns
 
 
+def slow_matches(texts, items, width):
+    """Longest common stretches of words on each diagonal, by comparing all pairs of places."""
+    out = set()
+    for d, text in enumerate(texts):
+        w = plain_words(text)
+        for item, t in items:
+            v = plain_words(t)
+            need = min(width, len(v))
+            for i, j in itertools.product(range(len(w)), range(len(v))):
+                if w[i] == v[j] and not (i and j and w[i - 1] == v[j - 1]):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    if need and n >= need:
+                        out.add((d, str(item), i, j, n))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 60])
+def test_longest_matches_are_all_of_them(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 4)
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("abc") for _ in range(rnd.randrange(60))) for _ in range(25)] + ["", None, "a " * 80]
+    items = [(k, " ".join(rnd.choice("abc") for _ in range(rnd.choice([2, 7, 30])))) for k in range(6)] + [(8, "a a a"), (9, "a a a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.longest_matches(spark, documents(spark, texts), bench, 5, block_bytes).collect()
+    assert sorted(tuple(r) for r in rows) == sorted(slow_matches(texts, items, 5))
+
+
+def test_contamination_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "one two"), (None, "one two"), (1, "one two"), (2, "")], "item_id long, text string")
+    rows = decontaminate.contamination(decontaminate.mark(documents(spark, ["one two three", "one two three", None, "x"], [None, 3, 3, 3]), bench)).collect()
+    assert sorted((str(r["row"].doc_id), r.n_words, r.n_hit, r.n_items) for r in rows) == [("3", 0, 0, 0), ("3", 1, 0, 0), ("3", 3, 2, 2), ("None", 3, 2, 2)]
+    assert decontaminate.mark(documents(spark, []), bench).collect() == []
+
+
 # the pipeline
 
 
@@ -530,3 +621,52 @@ def test_pipeline_stages_keep_their_promises(spark):
     assert len([i for i in seen[3][0] if i not in seen[3][1]]) > 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == set(seen[3][1])
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    rnd = random.Random(6)
+    text = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(80))
+    other = text + " " + " ".join(f"v{rnd.randrange(10**6)}" for _ in range(200))
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, None), (None, None), (3, ""), (4, other), (4, "own words " * 40), (5, "y" * 100_000)]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", 1, 0.5, True) for i, t in rows], DOCS + ", row string, tie int, score double, __cut boolean")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before, kept = kept, stage(spark, kept, str(tmp_path))
+            assert kept.columns == docs.columns
+        found = sorted((str(r.doc_id), r.text) for r in kept.collect())
+        if table is docs:
+            assert [i for i, _ in found] == ["1", "3", "4", "4", "5"] and dict(found)["1"] == text
+            assert " ".join(space_words(other)[80:]) in [t for _, t in found]
+        else:
+            assert found == []
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+        assert {str(r.doc_id) for r in packed} == {i for i, _ in found}
+
+
+def test_pipeline_drops_what_its_models_reject(spark):
+    """Toxicity and decontamination against the operators' own answers, packing against the library's ids."""
+    docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    stages = dict(corpus_pipeline.STAGES)
+    rejected = {r.doc_id for r in toxicity.scored(docs, labels).collect() if r.predicted}
+    assert {r.doc_id for r in stages["toxicity"](spark, docs, SF).collect()} == {r.doc_id for r in docs.collect()} - rejected
+    items = [plain_words(r.text) for r in bench.collect()]
+    windows = {tuple(w[a : a + 13]) for w in items for a in range(max(1, len(w) - 12)) if w}
+    clean = set()
+    for r in docs.collect():
+        w, hit = plain_words(r.text), set()
+        for n in {len(k) for k in windows}:
+            for a in range(len(w) - n + 1):
+                if tuple(w[a : a + n]) in windows:
+                    hit.update(range(a, a + n))
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean.add(r.doc_id)
+    assert {r.doc_id for r in stages["decontamination"](spark, docs, SF).collect()} == clean
+    rows = stages["packing"](spark, docs, SF).collect()
+    ids = dict(zip([r.doc_id for r in docs.collect()], whole_ids(BYTE, [r.text for r in docs.collect()])))
+    for r in rows:
+        part = np.array([*ids[r.doc_id], 0], "<u4")[r.start : r.start + r.length]
+        assert len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32
+    check_packing(rows, 2048)

@@ -7,9 +7,10 @@ squared Mahalanobis distance and log determinant) plus the log odds of the class
 Moments come from at most ``max_rows`` labelled rows (see ``labelled``): each task adds up its rows' sums and outer
 products, and only those sums are gathered. Every document is scored where it lies.
 
-Defined results: a null or empty text has the statistics of a text without words and is scored like any other; repeated
-rows score alike; without two rows of each class every score is the share of label 1 (0 without labels); an empty table
-gives an empty one; a null doc_id is held out; all document columns pass through inside ``row``.
+Defined results: a null or empty text has the statistics of a text without words and is scored like any other; very long
+texts count whole; repeated rows score alike; contradicting labels of one doc_id don't count; without two rows of each
+class every score is the share of label 1 (0 without labels); an empty table gives an empty one; a null doc_id is held
+out; all document columns pass through inside ``row``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, text_or_empty
+from .common import byte_steps, texts_of, whole_row
 from .labelled import MAX_LABELLED, held_out, training_rows
 
 SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE = 0.1, 0.1, 1e-3
@@ -90,7 +91,7 @@ class QuadraticDiscriminant:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> QuadraticDiscriminant:
     def sums(batches):
         for batch in batches:
-            y = batch.column(1).to_numpy()
+            y = batch.column(1).to_numpy(zero_copy_only=False)
             x = features(batch.column(0).to_pylist())
             rows = [(k, float((y == k).sum()), x[y == k].sum(axis=0).tolist(), (x[y == k].T @ x[y == k]).ravel().tolist()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], names=["label", "n", "s", "ss"])
@@ -108,11 +109,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELL
 
     def run(batches):
         for batch in batches:
-            for a, z in steps(batch.num_rows):
-                part = batch.slice(a, z - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.value.score(features(part.column(1).to_pylist())))], names=["row", "score"])
+            texts = texts_of(batch.column(0))
+            for a, z in byte_steps(texts, 1 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(model.value.score(features(texts.slice(a, z - a).to_pylist())))], names=["row", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("text"))
+    rows = docs.select(whole_row(docs))
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 
