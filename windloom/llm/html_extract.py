@@ -9,8 +9,10 @@ maximum flow a few undecided blocks.
 Each page is worked off alone where it lies; nothing is shuffled.
 
 Defined results: a null or empty page gives an empty text; broken markup is read as browsers do in outline (unknown closing
-tags are ignored, missing ones end with their parent); repeated rows get the same result; an empty table gives an empty
-one; other input columns are not read.
+tags are ignored, missing ones end with their parent, quoted values may hold any sign, a page that ends inside a tag, a
+comment or a script ends there); very long pages are read in one pass, and every block whole; repeated rows get the same
+result; ties in the cut go to boilerplate; an empty table gives an empty one; other input columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,17 +27,27 @@ from pyspark.sql import functions as F
 
 from .common import steps
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_NAME = re.compile(r"[a-z]+")
+#: What follows a tag's name: the next quoted value, or the tag's end.
+_STEP = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')|>""")
+_NAME_OF_TAG = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_WORDS = re.compile(r"[a-z]+")
+#: Elements whose content is text that no page shows, up to their own end tag.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")}
+#: Elements of another language, which may close themselves.
+_FOREIGN = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.I) for name in ("svg", "math")}
+_HIDDEN = {"noscript", "template", "select", "button", "datalist", "object", "canvas", "audio", "video"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Elements that end an open paragraph.
+_ENDS_P = {"address", "article", "aside", "blockquote", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "head"}
 _MAIN = {"article", "main"}
 _BAD_NAMES = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "popup", "promo", "promotion", "related", "reply", "replies", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "contentinfo", "complementary", "alert", "copyright", "pagination", "pager", "recommended"}
 _GOOD_NAMES = {"article", "post", "story", "entry"}
-_STOPS = re.compile(r"[.!?,;:]")
+#: First words of names that tell a state of the page, not what an element is.
+_STATES = {"has", "with", "without", "no", "is", "fixed", "sticky", "hide", "show"}
+_STOPS = ".!?,;:"
 #: Smoothness: between neighbours in page order, between neighbours under one parent, and the share left across a region's edge.
 NEXT, SIBLING, ACROSS = 0.8, 1.2, 0.1
 
@@ -51,23 +63,86 @@ def _frame_of(name: str, attributes: str, parent: tuple, number: int) -> tuple:
     """(tag, number, region, in main, in boilerplate, hidden) of an element below ``parent``."""
     _, _, region, main, bad, hidden = parent
     if name in _MAIN:
-        return name, number, number, True, bad, hidden
+        region, main = number, True
+    hidden = hidden or name in _HIDDEN
     if name in _OUTSIDE or name == "header" and not main:
         region, bad = number, True
-    if attributes and ("=" in attributes or "hidden" in attributes):
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key == "hidden" and m[0].strip().lower().startswith("hidden") or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                hidden = True
-            elif key in ("class", "id", "role"):
-                names = set(_NAME.findall(value))
-                if names & _BAD_NAMES or "header" in names and not main:
+    if name in ("html", "body") or not attributes:
+        return name, number, region, main, bad, hidden
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(values).lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            hidden = True
+        elif key in ("class", "id", "role"):
+            for token in value.split():
+                words = _WORDS.findall(token)
+                if not words or words[0] in _STATES:
+                    continue
+                if _BAD_NAMES.intersection(words[:1] if name in _MAIN else words) or "header" in words and not main:
                     region, bad = number, True
-                elif names & _GOOD_NAMES and not bad:
+                elif _GOOD_NAMES.intersection(words) and not bad:
                     region, main = number, True
     return name, number, region, main, bad, hidden
 
 
+def tokens_of(page: str):
+    """("text", text), ("open", name, attributes), ("close", name) or ("gap",), each in one pass over the page."""
+    at, end = 0, len(page)
+    while at < end:
+        stop = page.find("<", at)
+        if stop < 0:
+            stop = end
+        if stop > at:
+            yield "text", page[at:stop]
+        if stop == end:
+            return
+        follows = page[stop + 1 : stop + 2]
+        if page.startswith("<!--", stop):
+            short = next((x for x in ("<!-->", "<!--->") if page.startswith(x, stop)), None)
+            close = stop + len(short) - 3 if short else page.find("-->", stop + 4)
+            at = close + 3 if close >= 0 else end
+            yield ("gap",)
+            continue
+        closing = follows == "/"
+        m = _NAME_OF_TAG.match(page, stop + 1 + closing)
+        if not m:
+            if closing or follows in ("!", "?") and follows:
+                close = page.find(">", stop)
+                at = close + 1 if close >= 0 else end
+            else:
+                yield "text", "<"
+                at = stop + 1
+            continue
+        at, name = m.end(), m[0].lower()
+        while True:
+            step = _STEP.search(page, at)
+            if not step:
+                return  # the page ends inside a tag
+            at = step.end()
+            if step[0] == ">":
+                break
+        attributes = page[m.end() : at - 1]
+        if closing:
+            yield "close", name
+        elif name in _RAW:
+            close = _RAW[name].search(page, at)
+            if not close:
+                return
+            at = page.find(">", close.end()) + 1 or end
+            yield ("gap",)
+        elif name in _FOREIGN:
+            depth = 0 if attributes.endswith("/") else 1
+            while depth:
+                tag = _FOREIGN[name].search(page, at)
+                if not tag:
+                    return
+                at = page.find(">", tag.end()) + 1 or end
+                depth += -1 if tag[1] else page[at - 2 : at - 1] != "/"
+            yield ("gap",)
+        else:
+            yield "open", name, attributes
+
+
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack = [("", 0, 0, False, False, False)]
@@ -86,51 +161,48 @@ def blocks_of(page: str) -> list[Block]:
         text.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        token = m[0]
-        if token[0] != "<" or token == "<":
-            text.append(token)
+    for kind, *rest in tokens_of(page):
+        if kind == "text":
+            text.append(rest[0])
             if links:
-                linked += len(token)
+                linked += len(rest[0])
             continue
-        if m[1]:
+        if kind == "gap":
             text.append(" ")
             continue
-        tag = _TAG.match(token)
-        if not tag:
-            continue
-        name = tag[2].lower()
+        name, opens = rest[0], kind == "open"
         if name in _INLINE:
             if name == "a":
-                links = max(0, links + (-1 if tag[1] else 1))
+                links = 1 if opens else 0  # links don't nest
             continue
         if name in ("br", "img", "input"):
             text.append(" ")
             continue
         close()
         links = 0
-        heading = name in ("h1", "h2", "h3", "h4", "h5", "h6") and not tag[1]
+        heading = opens and name in ("h1", "h2", "h3", "h4", "h5", "h6")
         if name in _VOID:
             continue
-        if tag[1]:
+        if not opens:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
         else:
-            if name in ("p", "li", "tr", "td", "th", "dt", "dd") and stack[-1][0] == name or stack[-1][0] == "p":
+            if name in _ENDS_P and stack[-1][0] in ("button", "select"):
+                stack.pop()  # left open: what follows isn't its label
+            if name in ("li", "tr", "td", "th", "dt", "dd") and stack[-1][0] == name or stack[-1][0] == "p" and name in _ENDS_P:
                 stack.pop()  # its end tag may be left out
             number += 1
-            stack.append(_frame_of(name, tag[3], stack[-1], number))
+            stack.append(_frame_of(name, rest[1], stack[-1], number))
     close()
     return out
 
 
 def margin(b: Block) -> float:
-    """Above 0: content, below: boilerplate."""
-    n = len(b.text)
-    density = min(1.0, b.linked / n)
-    value = -0.6 + min(n, 400) / 200 + 0.15 * min(6, len(_STOPS.findall(b.text[:400]))) - 3.0 * density
+    """Above 0: content, below: boilerplate. Length and sentence marks of the whole block count, ever less as they grow."""
+    n, stops = len(b.text), sum(map(b.text.count, _STOPS))
+    value = -0.6 + 2.4 * n / (n + 300) + 1.2 * stops / (stops + 4) - 3.0 * min(1.0, b.linked / n)
     if b.heading:
         value += 0.8
     if b.main:
