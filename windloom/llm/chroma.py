@@ -10,9 +10,10 @@ differing bits over the whole overlap at that offset decides. Recordings of equa
 start: classes are compared, copies are only counted. Queries and classes meet block by block, so that votes are counted
 where they arise and only links leave a task.
 
-Defined results: a null, empty or too short recording has no integers and matches nothing; an odd last byte is ignored;
-ties between offsets go to the one with the least absolute value, then the lower; repeated rows are copies of one class;
-rows without an id are fingerprinted but are never queries; an empty table gives an empty table.
+Defined results: null, empty and too short recordings have no integers; they are one class, whose rows link to nothing, not
+even to each other; an odd last byte is ignored; very long recordings are fingerprinted whole; ties between offsets go to
+the one with the least absolute value, then the lower; repeated rows are copies of one class; rows without an id are
+fingerprinted but are never queries; an empty table gives an empty table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, steps
+from .common import Scratch, join_heavy, steps
 
 RATE, FRAME, HOP = 4000, 1024, 256
 LOW_HZ, HIGH_HZ = 110.0, 1760.0
@@ -219,12 +220,13 @@ def linked(prints: DataFrame, is_query: Column, key: str = "media_id") -> DataFr
     n_links counts the recordings that a query aligns with, the other rows of its own class included; the best link is the one of
     the least error, then of the most votes, then of the least id.
     """
-    prints = Scratch(prints.sparkSession, "chroma-prints").save(prints, "all")
+    scratch = Scratch(prints.sparkSession, "chroma-prints")
+    prints = scratch.save(prints.withColumn("kind", F.xxhash64("chroma")), "all")
     found = align(prints, is_query, key)
     best = F.min(F.struct("error", (-F.col("votes")).alias("v"), "match_id", "offset"))
     links = found.groupBy("query_id").agg(F.sum("n_copies").alias("n_links"), best.alias("best"))
-    classes = prints.groupBy("chroma").agg(F.min(key).alias("class_id"), F.count("*").alias("class_rows"))
-    rows = prints.join(classes, "chroma").join(links, F.col(key) == F.col("query_id"), "left")
+    classes = scratch.save(prints.groupBy("kind").agg(F.min(key).alias("class_id"), F.count("*").alias("class_rows")), "classes")
+    rows = join_heavy(prints, classes, ["kind"], "class_rows", prints.count()).join(links, F.col(key) == F.col("query_id"), "left")
     return rows.select(key, "class_id", "class_rows", F.size("chroma").alias("n_steps"), is_query.alias("is_query"), F.when(is_query, F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.col("best.match_id").alias("best_match_id"), F.col("best.offset").alias("best_offset"), F.col("best.error").alias("best_error"))
 
 
