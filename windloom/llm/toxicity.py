@@ -6,12 +6,12 @@ ending. Every term is hashed into one of 2**HASH_BITS slots, and every slot has
 the logarithm of its count, times how surely its document frequency differs between the classes (``reliance``, between 0
 and 1), so that common and rare words alike stay in the model but don't drown the others.
 
-The model is fitted on at most ``max_rows`` labelled rows (see ``labelled``), gathered as sparse rows; every document is then
-scored where it lies, without a shuffle.
+The model is fitted on at most ``max_rows`` labelled rows (see ``labelled``), half of them at most of either label, as one
+may be rare; they are gathered as sparse rows. Every document is then scored where it lies, without a shuffle.
 
 Defined results: a null, empty or wordless text is scored from the model's constant alone; very long texts count whole;
 repeated rows score alike; contradicting labels of one doc_id don't count; without labelled rows of both classes every
-score is the share of label 1 (0 without any label); an empty table gives an empty one; a null doc_id is held out; all
+score is the share of label 1 among them (0 without any label); an empty table gives an empty one; a null doc_id is held out; all
 document columns pass through inside ``row``, whatever their names.
 """
 
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Scratch, byte_steps, texts_of, whole_row
 from .decontaminate import WORD_BYTES
@@ -32,9 +33,9 @@ HASH_BITS = 18
 FACTORS = 6
 PREFIXES = (4, 5, 6, 7)
 #: Labelled rows that the model sees at most; their sparse rows are what the driver holds.
-MAX_ROWS = 4_000
+MAX_ROWS = 2_500
 #: Words kept in a worker's memory, each of 64 bytes at most.
-MEMORY = 200_000
+MEMORY = 120_000
 
 
 def slots_of(word: bytes) -> list[int]:
@@ -100,7 +101,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
     def values(self, slot: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return np.log1p(count) * self.reliance[slot]
+        return np.log1p(count, dtype=np.float32) * self.reliance[slot]
 
     @classmethod
     def fit(cls, first, slot, count, y, epochs: int = 6, batch: int = 128, rate: float = 0.15, decay: float = 1e-5, seed: int = 7):
@@ -109,9 +110,9 @@ class FactorizationMachine:
         share = float(y.mean()) if n else 0.0
         if not 0 < share < 1:
             return cls(float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-        m = cls(float(np.log(share / (1 - share))), reliance(slot, np.repeat(y, np.diff(first)), n, int(y.sum())), np.zeros(d), rng.normal(0, 0.02, (d, FACTORS)))
+        m = cls(float(np.log(share / (1 - share))), reliance(slot, np.repeat(y > 0, np.diff(first)), n, int(y.sum())), np.zeros(d, np.float32), rng.normal(0, 0.02, (d, FACTORS)).astype(np.float32))
         x = m.values(slot, count)
-        g0, gw, gv = 1e-6, np.full(d, 1e-6), np.full((d, FACTORS), 1e-6)
+        g0, gw, gv = 1e-6, np.full(d, 1e-6, np.float32), np.full((d, FACTORS), 1e-6, np.float32)
         for _ in range(epochs):
             order = rng.permutation(n)
             for a in range(0, n, batch):
@@ -133,21 +134,20 @@ class FactorizationMachine:
                 m.w0 -= rate * d0 / g0**0.5
                 m.w[used] -= rate * dw / np.sqrt(gw[used])
                 m.v[used] -= rate * dv / np.sqrt(gv[used])
-        m.reliance, m.w, m.v = m.reliance.astype(np.float32), m.w.astype(np.float32), m.v.astype(np.float32)
         return m
 
 
 def reliance(slot: np.ndarray, label: np.ndarray, n: int, ones: int) -> np.ndarray:
     """How surely each slot's document frequency differs between the classes: z * z / (z * z + 30) of the usual z value."""
     d = 1 << HASH_BITS
-    df, df1 = np.bincount(slot, minlength=d), np.bincount(slot, label, d)
+    df, df1 = np.bincount(slot, minlength=d), np.bincount(slot[label], minlength=d)
     p = df / n
     z = (df1 / ones - (df - df1) / (n - ones)) / np.sqrt(p * (1 - p) * (1 / ones + 1 / (n - ones)) + 1e-12)
-    return z * z / (z * z + 30)
+    return (z * z / (z * z + 30)).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> FactorizationMachine:
-    """The model of at most max_rows labelled rows."""
+    """The model of at most max_rows labelled rows, both labels alike."""
 
     def sparse(batches):
         terms = Terms()
@@ -155,11 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Factori
             for a, z in byte_steps(batch.column(0), 1 << 20):
                 first, slot, count = terms.counts(batch.column(0).slice(a, z - a))
                 lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(c, pa.int32())) for c in (slot, count)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, z - a), *lists], names=["label", "slots", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, z - a), batch.column(2).slice(a, z - a), *lists], names=["label", "key", "slots", "counts"])
 
     scratch = Scratch(docs.sparkSession, "toxicity")
-    saved = scratch.save(training_rows(docs, labels, "toxic", max_rows).mapInArrow(sparse, "label int, slots array<int>, counts array<int>"), "rows")
-    rows = saved.orderBy("label", "slots", "counts").toArrow().combine_chunks()  # max_rows at most, in an order that gives the same model each time
+    texts = training_rows(docs, labels, "toxic", max_rows, balanced=True).select("text", "label", F.xxhash64("text").alias("key"))
+    saved = scratch.save(texts.mapInArrow(sparse, "label int, key long, slots array<int>, counts array<int>"), "rows")
+    rows = saved.toArrow().sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()  # max_rows at most; the same rows give the same model
     scratch.drop("rows")
     slots, counts = rows["slots"].combine_chunks(), rows["counts"].combine_chunks()
     first = np.concatenate([[0], np.cumsum(pc.list_value_length(slots).to_numpy(zero_copy_only=False))]).astype(np.int64)
