@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from windloom.llm import chroma, decontaminate, encoding, html_extract, license_scan, orc_output, packing, quality, simhash, substring_dedup, toxicity
+from windloom.llm import chroma, decontaminate, encoding, html_extract, license_scan, orc_output, packing, quality, queries, simhash, substring_dedup, toxicity
 from windloom.llm.common import Scratch
 from windloom.llm.components import components
 
@@ -279,13 +280,42 @@ def test_links_of_noisy_shifted_and_steady_recordings(spark):
     assert all(r.error <= chroma.MAX_ERROR and r.votes >= chroma.MIN_VOTES for r in got.values())
 
 
+def slow_integers(frames):
+    """The packed integers with every rectangle added up cell by cell."""
+    out = []
+    for t in range(len(frames) - chroma.SPAN + 1):
+        area = lambda t0, t1, p0, p1: sum(frames[t + i][p] for i in range(t0, t1) for p in range(p0, p1))  # noqa: B023, E731
+        value = 0
+        for k, (kind, p, high, wide) in enumerate(chroma.filters()):
+            p1, half, third = min(12, p + high), wide // 2, wide // 3
+            m = (p + p1) // 2
+            a, b = [
+                (area(0, half, p, p1), area(half, wide, p, p1)),
+                (area(0, wide, p, m), area(0, wide, m, p1)),
+                (area(0, half, p, m) + area(half, wide, m, p1), area(0, half, m, p1) + area(half, wide, p, m)),
+                (2 * area(third, wide - third, p, p1), area(0, third, p, p1) + area(wide - third, wide, p, p1)),
+            ][kind]
+            level = sum(np.log((a + 0.05) / (b + 0.05)) >= border for border in chroma.BORDERS)
+            value |= (level ^ level >> 1) << 2 * k
+        out.append(value)
+    return out
+
+
 def test_integral_image_sums_rectangles():
     frames = np.random.default_rng(2).random((40, 12))
     values = chroma.packed_integers(frames)
-    assert len(values) == 40 - chroma.SPAN + 1 and (chroma.packed_integers(frames[5:]) == values[5:]).all()
+    assert values.tolist() == slow_integers(frames) and len(values) == 40 - chroma.SPAN + 1
     assert len(chroma.packed_integers(frames[: chroma.SPAN - 1])) == 0
 
 
+def test_recordings_odd_rows(spark):
+    assert chroma.linked(chroma.fingerprints(spark.createDataFrame([], "media_id long, audio binary, chroma string, kind int")), chroma.F.col("media_id") == 0).collect() == []
+    tone = tone_track(random.Random(1), 40).astype("<i2").tobytes()
+    rows = [(0, tone, "x", 1), (0, tone, "x", 2), (None, tone, None, 3), (7, None, "y", 4), (8, b"a", "z", 5), (7, tone + b"!", "y", 6)]
+    got = chroma.linked(chroma.fingerprints(spark.createDataFrame(rows, "media_id long, audio binary, chroma string, kind int")), chroma.F.coalesce(chroma.F.col("media_id") == 0, chroma.F.lit(False))).collect()
+    assert sorted((str(r.media_id), r.class_rows, r.n_links) for r in got) == [("0", 4, 3), ("0", 4, 3), ("7", 2, None), ("7", 4, None), ("8", 2, None), ("None", 4, None)]
+
+
 # 4
 
 LICENSES = ["CC-BY and cc by", "GNU General Public License, version 3.0 or later", "All rights reserved. all  RIGHTS reserved", None, "", "cc", "see the Apache License, Version 2.0; licensed under the Apache License, Version 2.0", "mit keit", "Released under the terms of the MIT license.", "éall rights reserved", "cc by cc by"]
@@ -336,12 +366,42 @@ def test_every_alternative_of_every_license_rule_is_found(spark):
     assert all(keyword in text for _, keyword, name in license_scan.NAMES for text in examples(name))
     cases = [(label, text) for label, _, pattern, priority, _ in rules[: len(license_scan.NAMES)] for text in examples(pattern)]
     cases += [(label, text) for label, pattern in license_scan.SPDX for text in examples(f"spdx license identifier (?:{pattern})")]
+    cases += [(label, text) for label, keyword, pattern in license_scan.CLAUSES for text in examples(pattern) if keyword in text or pytest.fail(text)]
     for form, priority, _ in license_scan.FORMS[1:]:
         cases += [(label, text) for label, _, name in license_scan.NAMES for text in examples(form.format(re.escape(examples(name)[-1])))]
     rows = {r.doc_id: r.labels for r in license_scan.labels(license_scan.scan(documents(spark, [t for _, t in cases]))).collect()}
     assert [(label, text) for i, (label, text) in enumerate(cases) if label not in rows[i].split(",")] == []
 
 
+def slow_detections(text):
+    """Every rule tried on every text, without gates or keywords; suppression pair by pair."""
+    words = plain_words(text)
+    padded, found = f" {' '.join(words)} ", []
+    at = {0: 0}
+    for m in re.finditer(" ", padded):
+        at[m.end()] = len(at) - 1
+    for label, _, pattern, priority, confidence in license_scan.rules():
+        for m in re.finditer(f"(?<= )(?:{pattern})(?= )", padded):
+            start = padded[: m.start()].count(" ") - 1
+            found.append((label, priority, confidence, start, start + len(m[0].split(" "))))
+    gone = lambda d: any(e[3] <= d[3] and e[4] >= d[4] and (e[1] > d[1] or e[1] == d[1] and e[4] - e[3] > d[4] - d[3]) for e in found)
+    return sorted({d for d in found if not gone(d)})
+
+
+def test_detections_are_those_of_all_rules(spark):
+    rnd = random.Random(12)
+    pieces = [t for _, _, p in (*license_scan.NAMES, *license_scan.CLAUSES) for t in examples(p)[:1]] + ["licensed under the", "copy of the", "subject to the terms of the", "spdx license identifier", "version 2", "or later", "plain words", "public", "All Rights Reserved.", "CC BY"]
+    texts = [rnd.choice([" ", ", ", "\n"]).join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 7))) for _ in range(250)] + LICENSES
+    docs = documents(spark, texts)
+    rows = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    listed = {r.doc_id: r for r in license_scan.labels(license_scan.scan(docs)).collect()}
+    for i, text in enumerate(texts):
+        want = slow_detections(text)
+        assert sorted(tuple(d[k] for k in ("label", "priority", "confidence", "start", "end")) for d in rows[i].detections) == want, text
+        base = {label for phrase, label in license_scan.BASE.items() if f" {phrase} " in f" {' '.join(plain_words(text))} "}
+        assert set(listed[i].labels.split(",")) - {""} == base | {d[0] for d in want}
+
+
 def test_spdx_lines(spark):
     ids = ["MIT", "ISC", "Zlib", "MPL-2.0", "EPL-2.0", "GPL-2.0-or-later", "Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "MIT-0"]
     rows = license_scan.scan(documents(spark, [f"// SPDX-License-Identifier: {i}" for i in ids])).orderBy("doc_id").collect()
@@ -369,6 +429,53 @@ def test_html_main_text():
     assert html_extract.main_text(f"<body><div><p>{long}</p><p>{long}</p></div><div class=menu><a href=x>one</a></div></body>") == " ".join([long.strip()] * 2)
 
 
+LONG = "This is a sentence, and it is long enough to count as text. " * 4
+PAGES = [
+    ("<svg/><article><p>A b.</p></article>", "A b."),
+    ("<article><svg><title>x</title><svg/><path d='M0 0'/></svg><p>A b.</p></article>", "A b."),
+    ("<title-bar></title-bar><article><p>A b.</p></article>", "A b."),
+    ("<article><p>A <button>Press <p>b.</p><p>C.</p></article>", "A b. C."),
+    ('<article><p>A <a title="x > y" href="z">link</a> b.</p></article>', "A link b."),
+    ("<article><p title=it's>A b.</p><p class='c'>C.</p></article>", "A b. C."),
+    (f'<body class="fixed-header has-sidebar"><div><p>{LONG}</p></div></body>', LONG.strip()),
+    (f'<body id="sidebar"><div class="has-comments"><p>{LONG}</p></div></body>', LONG.strip()),
+    ('<article><p>A b.</p><article class="comment"><p>I like it.</p></article></article>', "A b."),
+    ('<article data-class="ad" title="class=ad"><p>A b.</p></article>', "A b."),
+    ("<article><!--><p>A</p><!-- x > y --><p>b.</p></article><!-- open <p>x</p>", "A b."),
+    ("<article><p>1 < 2 and 3 <4</p></article>", "1 < 2 and 3 <4"),
+    ("<article><p>A&nbsp;b &lt;i&gt; &amp;amp;</p></article>", "A b <i> &amp;"),
+    ("<article><p>A</p><noscript><p>no</p></noscript><template><p>no</p></template><p>b.</article>", "A b."),
+    ("<article><script>'</p>'</script><STYLE>x</STYLE ><p>A b.</p></article>", "A b."),
+    ("<article><p>A b.</p><div style='display: none'>x</div><div hidden>y</div></article><p", "A b."),
+    ("<article><ul><li>One<li>Two</ul><table><tr><td>1<td>2</table></article>", "One Two 1 2"),
+    ("<a" * 50_000, ""),
+    ("<article>" + "<p>x" * 3000 + "</article>", " ".join("x" * 3000)),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PAGES)
+def test_main_text_of_ordinary_and_broken_pages(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_made_pages_give_their_articles(spark):
+    """Pages put together from an article and all that is to go, in any order."""
+    rnd = random.Random(9)
+    sentence = lambda: " ".join(rnd.choice(["wind", "farm", "road", "says", "the", "old"]) for _ in range(rnd.randrange(3, 14))).capitalize() + rnd.choice(".!?")
+    noise = ["<nav><a href=/a>Home</a> <a href=/b>News</a></nav>", "<div class='ad'>{}</div>", "<aside><p>{}</p></aside>", "<form><p>{}</p><input></form>", "<div id='cookie-notice'>{}</div>", "<script>{}</script>", "<section class='comments'><p>{}</p></section>", "<!-- {} -->"]
+    rows, want = [], {}
+    for i in range(60):
+        paragraphs = [" ".join(sentence() for _ in range(rnd.randrange(1, 6))) for _ in range(rnd.randrange(1, 7))]
+        inner = [f"<h1>{sentence()}</h1>" if rnd.random() < 0.5 else "", *(f"<p>{p}</p>" for p in paragraphs)]
+        want[i] = " ".join(re.sub("<[^>]*>", "", x) for x in inner if x)
+        for _ in range(3):
+            inner.insert(rnd.randrange(len(inner) + 1), rnd.choice(noise).format(sentence()))
+        around = [rnd.choice(noise).format(sentence()) for _ in range(4)]
+        rows.append((i, "u", "<html><body>" + "".join(around[:2]) + "<article>" + "".join(inner) + "</article>" + "".join(around[2:]) + "</body></html>"))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def slow_cut(margins, edges):
     best = None
     for mask in range(1 << len(margins)):
@@ -590,6 +697,16 @@ def test_contamination_odd_rows(spark):
     assert decontaminate.mark(documents(spark, []), bench).collect() == []
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_its_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = db.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(tuple(r[c] for c in columns) for r in queries.queries()[name](spark, SF).collect()) == sorted(want.fetchall())
+
+
 # the pipeline
 
 

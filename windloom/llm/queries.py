@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, decontaminate, html_extract, license_scan, orc_output, packing, quality, simhash, substring_dedup, toxicity
+from . import chroma, decontaminate, html_extract, license_scan, oracle, orc_output, packing, quality, simhash, substring_dedup, toxicity
 from .common import Scratch, table
 
 
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
