@@ -1,6 +1,7 @@
 """Every registered planning query against its SQL on a second engine, and small cases of the operators."""
 
 import io
+import json
 import math
 import os
 import zipfile
@@ -8,15 +9,16 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from windloom.operators import corridors, decide, decision_report, economics, grouping, loadflow, network, report, routing, survey_rules, topology
-from windloom.plans import oracle, oracle_economics, oracle_network, oracle_report, oracle_routing, oracle_rules, oracle_topology
+from __spark_entry__ import MODULES, ORACLES
+from windloom.operators import assembly, decide, economics, network, report, survey_rules, topology
 from windloom.sources import survey
 from windloom.streaming import lockout, staging
 
 SF = "/root/testdata/sf0.001"
-SQL = oracle.SQL | oracle_network.SQL | oracle_rules.SQL | oracle_economics.SQL | oracle_topology.SQL | oracle_routing.SQL | oracle_report.SQL | lockout.SQL | staging.SQL
-QUERIES = {f.__name__: f for f in (*report.QUERIES, *decide.QUERIES, *network.QUERIES, *survey_rules.QUERIES, *economics.QUERIES, *topology.QUERIES, *routing.QUERIES, *loadflow.QUERIES, *grouping.QUERIES, *decision_report.QUERIES, *corridors.QUERIES, *lockout.QUERIES, *staging.QUERIES)}
+SQL = {name: sql for module in ORACLES for name, sql in module.SQL.items()}
+QUERIES = {f.__name__: f for module in MODULES for f in module.QUERIES}
 
 
 def plain(value):
@@ -87,9 +89,10 @@ def test_lockout_rules():
 def test_lockout_as_a_stream_equals_the_batch(spark, tmp_path):
     source = spark.read.parquet(f"{SF}/events.parquet")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(SF)
-    query = lockout.lockouts(lockout.attempts(stream)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query = lockout.lockouts(lockout.attempts(stream, lockout.SPEED)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     key = lambda r: (r.user_id, r.event_id)
+    assert lockout.lockout_batch(spark, SF).count() > 0
     assert sorted(map(key, spark.read.schema("user_id long, event_id long, at long").parquet(str(tmp_path / "out")).collect())) == sorted(map(key, lockout.lockout_batch(spark, SF).collect()))
 
 
@@ -106,6 +109,35 @@ def test_kmz_source(spark, tmp_path):
     assert got == [("T1", "WTGs", "Point", [1.0]), ("L", "WTGs", "LineString", [1.0, 3.0]), ("P", "", "Polygon", [0.0, 1.0, 1.0, 0.0])]
 
 
+def test_kmz_faults_and_properties(spark, tmp_path, monkeypatch):
+    head = '<kml xmlns="http://www.opengis.net/kml/2.2"><Document>'
+    mark = '<Placemark><name>A</name><ExtendedData><Data name="cap"><value> 3 </value></Data><SchemaData><SimpleData name="h">90</SimpleData></SchemaData></ExtendedData><Point><coordinates>1,2</coordinates></Point></Placemark>'
+    few = "<Placemark><LineString><coordinates>1,2</coordinates></LineString><Model/><Model/></Placemark>"
+    files = {"a.kml": head + mark + few + "</Document></kml>", "b.kml": "nothing", "c.kml": '<!DOCTYPE x><kml/>', "d.kmz": "PKbroken"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    got = survey.read_kmz(spark, str(tmp_path)).collect()
+    assert [(r.name, r.properties) for r in got] == [("A", {"cap": "3", "h": "90"})]
+    faults = {(r.path.rsplit("/", 1)[1], r.fault): r.n for r in survey.kmz_faults(spark, str(tmp_path)).collect()}
+    assert faults == {("a.kml", "TOO_FEW_VERTICES_LineString"): 1, ("a.kml", "SKIPPED_Model"): 2, ("b.kml", "MALFORMED"): 1, ("c.kml", "ENTITIES"): 1, ("d.kmz", "MALFORMED"): 1}
+    monkeypatch.setattr(survey, "MAX_BYTES", 100)
+    assert survey.document(files["a.kml"].encode()) == ([], {"TOO_LARGE": 1})
+
+
+def test_geometry_json(spark):
+    rows = spark.createDataFrame([("Point", [1.0], [2.5]), ("LineString", [1.0, 2.0], [0.0, 1.0]), ("Polygon", [0.0, 1.0, 0.0], [0.0, 0.0, 0.0])], "kind string, lon array<double>, lat array<double>")
+    got = [json.loads(r[0]) for r in rows.select(survey.geometry_json(F.col("kind"), F.col("lon"), F.col("lat"))).collect()]
+    assert got == [{"type": "Point", "coordinates": [1.0, 2.5]}, {"type": "LineString", "coordinates": [[1.0, 0.0], [2.0, 1.0]]}, {"type": "Polygon", "coordinates": [[[0.0, 0.0], [1.0, 0.0], [0.0, 0.0]]]}]
+
+
+def test_ancestors_of_a_long_chain(spark):
+    rows = spark.createDataFrame([(1, k, k - 1) for k in range(1, 51)] + [(2, 1, 0)], "feeder int, node int, parent int")
+    got = {(r.feeder, r.node, r.above): r.depth for r in network.ancestors(rows, ["feeder"]).collect()}
+    assert got == {(1, a, b): a - b for a in range(1, 51) for b in range(1, a + 1)} | {(2, 1, 1): 0}
+    with pytest.raises(ValueError, match="above itself"):
+        network.ancestors(spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "feeder int, node int, parent int"), ["feeder"]).count()
+
+
 def test_csv_sections_mark_missing_money(spark, tmp_path):
     rows = spark.sql("select 'a' name, cast(null as decimal(10,2)) cost union all select 'b', cast(1 as decimal(10,2))")
     survey.write_csv_sections({"poles": rows}, str(tmp_path))

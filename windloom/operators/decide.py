@@ -22,9 +22,15 @@ def annuity(rate: float, years: int) -> float:
     return float(years) if rate == 0 else (1 - (1 + rate) ** -years) / rate
 
 
-def benefit(metric: str, larger_is_better: bool, cohort: Window) -> Column:
-    """Min-max normalised within the cohort, 1 at its best; 0 for a metric that is the same for all."""
-    v, lo, hi = F.col(metric), F.min(metric).over(cohort), F.max(metric).over(cohort)
+def with_limits(rows: DataFrame, metrics) -> DataFrame:
+    """With the least and the greatest value of each metric in the cohort, from one aggregation, so that no cohort is sorted."""
+    limits = [f(m).alias(f"{name}_{m}") for m in metrics for name, f in (("lo", F.min), ("hi", F.max))]
+    return rows.join(rows.groupBy("cohort").agg(*limits), "cohort")
+
+
+def benefit(metric: str, larger_is_better: bool) -> Column:
+    """Min-max normalised between ``lo_`` and ``hi_``, 1 at its best; 0 for a metric that is the same for all."""
+    v, lo, hi = F.col(metric), F.col(f"lo_{metric}"), F.col(f"hi_{metric}")
     return F.when(hi > lo, ((v - lo) if larger_is_better else (hi - v)) / (hi - lo)).otherwise(0.0)
 
 
@@ -36,9 +42,8 @@ def reasons(rows: DataFrame) -> DataFrame:
 
 def scored(rows: DataFrame) -> DataFrame:
     """Eligible candidates with their benefits and weighted total, rounded to nine decimals."""
-    cohort = Window.partitionBy("cohort")
-    good = reasons(rows).where("eligible")
-    good = good.select("*", *[F.round(benefit(m, up, cohort), 9).alias(f"b_{m}") for m, up in METRICS.items()])
+    good = with_limits(reasons(rows).where("eligible"), METRICS)
+    good = good.select("*", *[F.round(benefit(m, up), 9).alias(f"b_{m}") for m, up in METRICS.items()])
     total = sum(F.col(f"b_{m}") * w for m, w in WEIGHTS.items())
     return good.withColumn("total", F.round(total, 6))
 
@@ -61,12 +66,11 @@ def cohort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cost_aware_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total blended with the normalised cost advantage; rank by blend, total, cost, length, losses, id."""
-    cohort = Window.partitionBy("cohort")
-    hi, lo, c = F.max("cost").over(cohort), F.min("cost").over(cohort), F.col("cost")
+    hi, lo, c = F.col("hi_cost"), F.col("lo_cost"), F.col("cost")
     saved = F.when(hi > lo, (hi - c).cast("double") / (hi - lo).cast("double")).otherwise(0.0)
     blend = F.round(ENGINEERING_WEIGHT * F.col("total") + COST_WEIGHT * F.round(saved, 9), 6)
     order = Window.partitionBy("cohort").orderBy(F.desc("final"), F.desc("total"), "cost", "length_m", "losses_kw", "candidate_id")
-    return scored(bindings.candidates(spark, sf_dir)).withColumn("final", blend).withColumn("rank", F.row_number().over(order)).select("cohort", "candidate_id", "final", "rank")
+    return with_limits(scored(bindings.candidates(spark, sf_dir)), ["cost"]).withColumn("final", blend).withColumn("rank", F.row_number().over(order)).select("cohort", "candidate_id", "final", "rank")
 
 
 def runner_up(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from windloom.operators.decide import LAND_FIXED, LAND_PER_M, land_decision, reasons, scored
+from windloom.operators.decide import LAND_FIXED, LAND_PER_M, land_decision, reasons, scored, with_limits
 from windloom.sources import bindings
 
 #: Installed cost of a pole by class; angle poles have none in this catalogue.
@@ -78,11 +78,10 @@ def fallback_land(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legacy_route_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by weighted min-max drawback (0 is best), then length, then id; all of a cohort take part."""
-    cohort = Window.partitionBy("cohort")
-    rows = bindings.candidates(spark, sf_dir)
+    rows = with_limits(bindings.candidates(spark, sf_dir), ROUTE_WEIGHTS)
     total = F.lit(0.0)
     for m, w in ROUTE_WEIGHTS.items():
-        lo, hi = F.min(m).over(cohort), F.max(m).over(cohort)
+        lo, hi = F.col(f"lo_{m}"), F.col(f"hi_{m}")
         total = total + F.when(hi > lo, F.round((F.col(m) - lo) / (hi - lo), 9)).otherwise(0.0) * w
     ranked = rows.withColumn("total", F.round(total, 6))
     order = Window.partitionBy("cohort").orderBy("total", "length_m", "candidate_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,14 +36,21 @@ def complete_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.groupBy("project", "feeder").agg(F.count("*").alias("n_edges"), F.sum(d("x") * d("x") + d("y") * d("y")).alias("sum_sq"))
 
 
-def ancestors(tree: DataFrame, key: list[str], levels: int = 20) -> DataFrame:
-    """Each node with itself and all nodes above it (``node``, ``above``, ``depth``), by joins down to the roots."""
-    step = tree.select(*key, F.col("node"), F.col("node").alias("above"), F.lit(0).alias("depth"))
-    parents = tree.select(*key, F.col("node").alias("above"), "parent")
-    out = step
-    for depth in range(1, levels):
-        step = step.join(parents, [*key, "above"]).where("parent > 0").select(*key, "node", F.col("parent").alias("above"), F.lit(depth).alias("depth"))
-        out = out.unionByName(step)
+def ancestors(tree: DataFrame, key: list[str]) -> DataFrame:
+    """Each node with itself and all nodes above it (``node``, ``above``, ``depth``), in as many rounds as its depth has binary digits.
+
+    A round joins what is known within some distance with the jumps of that distance, and doubles the jumps. Rounds are kept in
+    memory or on disk, as the next one reads them twice; a lost part is worked out again. A root's parent is 0.
+    """
+    jump = tree.where("parent > 0").select(*key, "node", F.col("parent").alias("to")).persist(StorageLevel.MEMORY_AND_DISK)
+    out, reach = tree.select(*key, "node", F.col("node").alias("above"), F.lit(0).alias("depth")), 1
+    while not jump.isEmpty():
+        if reach > 1 << 30:
+            raise ValueError("a node is above itself")
+        further = jump.join(out.withColumnRenamed("node", "to"), [*key, "to"]).select(*key, "node", "above", (F.col("depth") + reach).alias("depth"))
+        out = out.unionByName(further).persist(StorageLevel.MEMORY_AND_DISK)
+        jump = jump.join(jump.select(*key, F.col("node").alias("to"), F.col("to").alias("beyond")), [*key, "to"]).select(*key, "node", F.col("beyond").alias("to")).persist(StorageLevel.MEMORY_AND_DISK)
+        reach *= 2
     return out
 
 
@@ -52,7 +60,7 @@ def feeder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = feeder_tree(spark, sf_dir)
-    up = ancestors(tree, ["project", "feeder"], 4)  # ten nodes in a binary tree: four levels
+    up = ancestors(tree, ["project", "feeder"])
     return up.join(tree.select("project", "feeder", "node", "kw"), ["project", "feeder", "node"]).groupBy("project", "feeder", F.col("above").alias("node")).agg(F.sum("kw").alias("downstream_kw"), F.count("*").alias("n_below"))
 
 
@@ -82,15 +90,37 @@ def path_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
     km = (F.abs(F.col("x") - F.coalesce("px", F.lit(10000))) + F.abs(F.col("y") - F.coalesce("py", F.lit(10000)))) / 1000.0
     change = 3**0.5 * current_a(F.col("downstream_kw")) * (R_PER_KM * POWER_FACTOR + X_PER_KM * (1 - POWER_FACTOR**2) ** 0.5) * km / (KV * 1000) * 100
     edge = edge.select(*key, F.col("node").alias("above"), F.round(change * 1e6).cast("long").alias("change"))  # whole numbers add up alike in any order
-    return ancestors(tree, key, 4).join(edge, [*key, "above"]).groupBy(*key, "node").agg(F.sum("change").alias("change_micropct"), F.max("depth").alias("depth"))
+    return ancestors(tree, key).join(edge, [*key, "above"]).groupBy(*key, "node").agg(F.sum("change").alias("change_micropct"), F.max("depth").alias("depth"))
+
+
+#: Cell sizes in metres of the search for the nearest place; the last one's neighbourhood is the whole site.
+RINGS = (500, 2000, 8000, 32000)
+
+
+def nearest(points: DataFrame, places: DataFrame) -> DataFrame:
+    """The nearest place (project, place_id, px, py) of each point (project, point_id, x, y) by squared distance, ties to the lower id.
+
+    Points look into the nine cells around them, small cells first. A place within one cell's size can't be beaten from
+    outside of these, so only points without such a place go on to larger cells.
+    """
+    out, left = None, points
+    for size in RINGS:
+        cell = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
+        around = F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        near = left.select("*", around.alias("c")).select("*", "c.cx", "c.cy").drop("c").join(places.withColumns({"cx": cell("px"), "cy": cell("py")}), ["project", "cx", "cy"])
+        d = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
+        best = near.groupBy("point_id").agg(F.min(F.struct(d.alias("d"), "place_id")).alias("b"))
+        found = (best if size == RINGS[-1] else best.where(F.col("b.d") <= size * size)).select("point_id", "b.place_id", "b.d")
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select("point_id"), "point_id", "left_anti")
+    return out
 
 
 def nearest_substation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of a nation's substations to each turbine by squared distance, ties to the lower id."""
-    s = bindings.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("substation_id"), F.col("s_nationkey").alias("project"), (F.col("s_suppkey") * 6151 % 20000).alias("sx"), (F.col("s_suppkey") * 3079 % 20000).alias("sy"))
-    d = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-    best = bindings.turbines(spark, sf_dir).join(s, "project").groupBy("turbine_id").agg(F.min(F.struct(d.alias("d"), F.col("substation_id"))).alias("b"))
-    return best.select("turbine_id", F.col("b.substation_id").alias("substation_id"), F.col("b.d").alias("distance_sq"))
+    s = bindings.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("project"), F.col("s_suppkey").alias("place_id"), (F.col("s_suppkey") * 6151 % 20000).alias("px"), (F.col("s_suppkey") * 3079 % 20000).alias("py"))
+    t = bindings.turbines(spark, sf_dir).select("project", F.col("turbine_id").alias("point_id"), "x", "y")
+    return nearest(t, s).select(F.col("point_id").alias("turbine_id"), F.col("place_id").alias("substation_id"), F.col("d").alias("distance_sq"))
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

@@ -78,7 +78,7 @@ def scenario_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pending_or_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bindings.jobs(spark, sf_dir).groupBy("project").agg(F.count_if(F.col("status") == "RUNNING").alias("running"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.count_if(F.col("status") == "COMPLETED").alias("completed"))
+    return bindings.jobs(spark, sf_dir).groupBy("project").agg(F.count_if(F.col("status") == "PENDING").alias("pending"), F.count_if(F.col("status") == "RUNNING").alias("running"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.count_if(F.col("status") == "COMPLETED").alias("completed"))
 
 
 def audit_top50(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ TURBINES = """turbines AS (
     SELECT *, row_number() OVER (PARTITION BY project ORDER BY x, y, turbine_id) - 1 AS i FROM (
       SELECT c_custkey AS turbine_id, c_nationkey AS project, c_custkey * 7919 % 20000 AS x, c_custkey * 104729 % 20000 AS y, 2000 + 100 * (c_custkey % 30) AS kw,
         CASE c_mktsegment WHEN 'BUILDING' THEN 'APPROVED' WHEN 'MACHINERY' THEN 'REGISTRATION' WHEN 'FURNITURE' THEN 'PROPOSED' ELSE 'REJECTED' END AS status FROM customer)))"""
-JOBS = """jobs AS (SELECT o_orderkey AS job_id, o_custkey % 25 AS project, o_orderpriority AS scenario, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status,
+JOBS = """jobs AS (SELECT o_orderkey AS job_id, o_custkey % 25 AS project, o_orderpriority AS scenario, CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' WHEN o_orderstatus = 'O' AND o_orderkey % 10 = 0 THEN 'PENDING' WHEN o_orderstatus = 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status,
   o_orderdate AS created, CAST(o_totalprice AS DECIMAL(16,2)) AS capex FROM orders)"""
 CANDIDATES = """candidates AS (
   SELECT o_custkey % 25 AS cohort, o_orderkey AS candidate_id, 60000 + o_orderkey * 7919 % 9000 AS length_m, 300 + o_orderkey * 104729 % 60 AS losses_kw, 560 + o_orderkey * 31 % 70 AS poles,
@@ -58,7 +58,7 @@ SQL = {
     "network_totals": f"WITH {POLES} SELECT * FROM (SELECT count(*) AS n_segments, count(DISTINCT feeder) AS n_feeders, CAST(sum(length_m) AS DECIMAL(20,2)) AS length_m, CAST(sum(cost) AS DECIMAL(20,2)) AS cost, CAST(count(*) - count(cost) AS BIGINT) AS n_unpriced FROM segments), (SELECT count(DISTINCT pole_id) AS n_poles, CAST(sum(len(route_ids)) AS BIGINT) AS n_pole_places FROM poles)",
     "latest_completed_job": f"WITH {LATEST} SELECT project, scenario, job_id, capex FROM latest",
     "scenario_compare": f"WITH {LATEST}, base AS (SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY project ORDER BY (scenario = '3-MEDIUM') DESC, created DESC, job_id DESC) = 1) SELECT l.project, l.scenario, l.capex, b.scenario AS base_scenario, CASE WHEN b.capex <> 0 THEN floor((l.capex - b.capex)::DOUBLE / b.capex::DOUBLE * 1000 + 0.5) / 10 END AS delta_pct FROM latest l JOIN base b USING (project)",
-    "pending_or_running": f"WITH {JOBS} SELECT project, count(*) FILTER (status = 'RUNNING') AS running, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'COMPLETED') AS completed FROM jobs GROUP BY 1",
+    "pending_or_running": f"WITH {JOBS} SELECT project, count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (status = 'RUNNING') AS running, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'COMPLETED') AS completed FROM jobs GROUP BY 1",
     "audit_top50": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
     "route_pole_estimates": f"WITH {POLES}, counted AS (SELECT segment_id, count(*) AS counted FROM (SELECT unnest(route_ids) AS segment_id FROM poles WHERE len(route_ids) > 1) GROUP BY 1) SELECT counted IS NULL AS is_estimated, count(*) AS n_routes, CAST(sum(coalesce(counted, greatest(2, CAST(ceil(length_m / 150) AS INT) + 1))) AS BIGINT) AS n_poles FROM segments LEFT JOIN counted USING (segment_id) GROUP BY 1",
     "normalise_benefit": f"WITH {SCORED} SELECT candidate_id, {', '.join(f'b_{m}' for m in METRICS)} FROM scored",

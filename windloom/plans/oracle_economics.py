@@ -16,7 +16,7 @@ _ROUTE = " + ".join(f"CASE WHEN max({m}) OVER c > min({m}) OVER c THEN round(({m
 _GROUP = ", ".join(" + ".join(f"CAST(round(b_{m} * 1e9::DOUBLE) AS BIGINT) * {round(w * 10)}" for m, w in inside.items()) + f" AS g_{g}" for g, inside in GROUPS.items())
 _UNIFIED = " + ".join(f"g_{g} * {round(w * 100)}" for g, w in GROUP_WEIGHTS.items())
 UNIFIED = f"""{SCORED}, grouped AS (SELECT *, {_GROUP} FROM scored), unified AS (SELECT *, {_UNIFIED} AS unified FROM grouped),
-placed AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY unified DESC, g_ELECTRICAL DESC, g_SPATIAL DESC, g_INFRA DESC, length_m, losses_kw, candidate_id) AS place FROM unified)"""
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY unified DESC, g_ELECTRICAL DESC, g_SPATIAL DESC, g_INFRA DESC, length_m, losses_kw, candidate_id) AS place FROM unified)"""
 _LONG = " UNION ALL ".join(f"SELECT cohort, candidate_id, place, '{g}' AS metric_group, g_{g} AS score FROM placed" for g in GROUPS)
 
 
@@ -34,7 +34,7 @@ SQL = {
     "fallback_land": f"WITH {DECIDED} SELECT scenario, count(*) AS n_parcels, CAST(count(*) * {LAND_FIXED} + sum(overlap_m) * {LAND_PER_M} AS BIGINT) AS cost FROM decided WHERE present_value IS NULL GROUP BY 1",
     "legacy_route_rank": f"WITH {CANDIDATES}, totals AS (SELECT *, round(0.0::DOUBLE + {_ROUTE}, 6) AS total FROM candidates WINDOW c AS (PARTITION BY cohort)) SELECT cohort, candidate_id, total, row_number() OVER (PARTITION BY cohort ORDER BY total, length_m, candidate_id) AS rank FROM totals",
     "unified_rank": f"WITH {UNIFIED} SELECT cohort, candidate_id, unified / 1e12::DOUBLE AS unified, place AS rank FROM placed",
-    "group_tradeoffs": f"WITH {UNIFIED}, long AS ({_LONG}), own AS (SELECT * FROM long WHERE place = 1), rival AS (SELECT * FROM long WHERE place > 1 QUALIFY row_number() OVER (PARTITION BY cohort, metric_group ORDER BY score DESC, candidate_id) = 1) SELECT own.cohort, own.metric_group, rival.candidate_id AS rival, (rival.score - own.score) / 1e10::DOUBLE AS lead FROM own JOIN rival ON rival.cohort = own.cohort AND rival.metric_group = own.metric_group WHERE rival.score > own.score",
+    "group_tradeoffs": f"WITH {UNIFIED}, long AS MATERIALIZED ({_LONG}), own AS (SELECT * FROM long WHERE place = 1), rival AS (SELECT * FROM long WHERE place > 1 QUALIFY row_number() OVER (PARTITION BY cohort, metric_group ORDER BY score DESC, candidate_id) = 1) SELECT own.cohort, own.metric_group, rival.candidate_id AS rival, (rival.score - own.score) / 1e10::DOUBLE AS lead FROM own JOIN rival ON rival.cohort = own.cohort AND rival.metric_group = own.metric_group WHERE rival.score > own.score",
     "metric_deltas": f"WITH {CANDIDATES}, b AS (SELECT * FROM candidates WHERE cost IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cohort ORDER BY cost, candidate_id) = 1) SELECT c.cohort, c.candidate_id, {_delta('length_m', False)}, {_delta('losses_kw', False)}, {_delta('voltage_margin', True)} FROM candidates c JOIN b ON b.cohort = c.cohort",
     "engineering_best": f"WITH {SCORED} SELECT cohort, arg_min(candidate_id, (-total, length_m, losses_kw, candidate_id)) AS best, arg_min(candidate_id, (cost, -total, length_m, losses_kw, candidate_id)) AS cheapest FROM scored GROUP BY 1",
     "workflow_status": f"WITH {CANDIDATES}, n AS (SELECT cohort, count(*) AS n, count(*) FILTER (converged) AS n_converged, count(*) FILTER (len(reasons) = 0) AS n_eligible FROM judged GROUP BY 1) SELECT *, CASE WHEN n_converged = 0 THEN 'FAILED' WHEN n_eligible = 0 THEN 'NO_FEASIBLE' WHEN n_eligible < n THEN 'PARTIAL' ELSE 'SUCCESS' END AS state FROM n",

@@ -57,7 +57,7 @@ SQL = {
     "folder_segments": f"WITH {PARTS} SELECT ordinal, array_to_string(parts, ' < ') AS parts FROM parts",
     "classify_points": f"WITH {CLASSIFIED} SELECT ordinal, asset_type, rule FROM classified",
     "import_disposition": f"WITH {CLASSIFIED} SELECT project, CASE asset_type WHEN 'SURVEY_POINT' THEN 'DROPPED_SURVEY' WHEN 'UNKNOWN' THEN 'UNRESOLVED' ELSE 'IMPORTED' END AS disposition, count(*) AS n FROM classified GROUP BY ALL",
-    "normalised_dedup": f"WITH {FEATURES}, keyed AS (SELECT *, regexp_replace(upper(trim(external_id)), '[\\s_.-]', '', 'g') AS key FROM features) SELECT project, ordinal, key FROM keyed WHERE key NOT IN (SELECT 'WTG' || c_custkey FROM customer WHERE c_custkey <= 100) QUALIFY row_number() OVER (PARTITION BY project, key ORDER BY ordinal) = 1",
+    "normalised_dedup": f"WITH {FEATURES}, keyed AS (SELECT *, regexp_replace(upper(trim(external_id)), '[\\s_.-]', '', 'g') AS key FROM features) SELECT project, ordinal, key FROM keyed WHERE NOT EXISTS (SELECT 1 FROM customer WHERE key = 'WTG' || c_custkey AND project = c_nationkey) QUALIFY row_number() OVER (PARTITION BY project, key ORDER BY ordinal) = 1",
     "geojson_parse": f"WITH {TURBINES} SELECT CAST(turbine_id AS VARCHAR) AS id, CAST(x // 100 AS INT) AS lon, CAST(y // 200 AS INT) AS lat, kw FROM turbines WHERE x // 100 <= 180 AND y // 200 <= 90",
     "complete_graph": f"WITH {TURBINES} SELECT a.project, a.feeder, count(*) AS n_edges, CAST(sum((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS BIGINT) AS sum_sq FROM turbines a JOIN turbines b ON a.project = b.project AND a.feeder = b.feeder AND a.k < b.k GROUP BY 1, 2",
     "downstream_power": f"WITH RECURSIVE {TREE} SELECT * FROM loads",

@@ -48,7 +48,7 @@ def turbines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optimisation jobs: project, scenario, status, creation time and CAPEX."""
-    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("FAILED")
+    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 10 == 0), "PENDING").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("FAILED")
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 25).alias("project"), F.col("o_orderpriority").alias("scenario"), status.alias("status"), F.col("o_orderdate").alias("created"), F.col("o_totalprice").cast("decimal(16,2)").alias("capex"))
 
 

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections import Counter
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PLACEMARK = "path string, ordinal long, name string, folder string, geometry_type string, lon array<double>, lat array<double>"
+PLACEMARK = "path string, ordinal long, name string, folder string, geometry_type string, lon array<double>, lat array<double>, properties map<string,string>"
+FAULT = "path string, fault string, n long"
+#: Vertices that a geometry needs; other kinds aren't read.
+NEEDED = {"Point": 1, "LineString": 2, "Polygon": 4}
+OTHERS = ("Track", "MultiTrack", "Model", "LinearRing")
 MAX_BYTES = 64 << 20
 
 
@@ -30,54 +35,105 @@ def coordinates(text: str | None) -> list[tuple[float, float]]:
     return out
 
 
-def placemarks(content: bytes) -> list[tuple]:
-    """(name, folder path, geometry type, vertices) in document order; lines need two vertices, rings four."""
+def extended_data(node) -> dict[str, str]:
+    """Names and values of a placemark's Data and SimpleData elements."""
+    out = {}
+    for d in node.iter():
+        if _local(d.tag) in ("Data", "SimpleData") and d.get("name"):
+            value = next((c.text for c in d if _local(c.tag) == "value"), None) if _local(d.tag) == "Data" else d.text
+            out[d.get("name")] = (value or "").strip()
+    return out
+
+
+def document(content: bytes) -> tuple[list[tuple], Counter]:
+    """(name, folder path, geometry type, vertices, properties) in document order, and the faults with their numbers.
+
+    Lines need two vertices, rings four; a file that is no document, too large or declares entities gives a fault only.
+    """
+    faults: Counter = Counter()
     if content[:2] == b"PK":
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            kml = next((n for n in z.namelist() if n.lower().endswith(".kml")), None)
-            if kml is None or z.getinfo(kml).file_size > MAX_BYTES:
-                return []
-            content = z.read(kml)
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                kml = next((n for n in z.namelist() if n.lower().endswith(".kml")), None)
+                if kml is None:
+                    return [], Counter(["NO_KML"])
+                if z.getinfo(kml).file_size > MAX_BYTES:
+                    return [], Counter(["TOO_LARGE"])
+                content = z.read(kml)
+        except zipfile.BadZipFile:
+            return [], Counter(["MALFORMED"])
+    if len(content) > MAX_BYTES:
+        return [], Counter(["TOO_LARGE"])
     if b"<!DOCTYPE" in content or b"<!ENTITY" in content:
-        return []  # no entity expansion
+        return [], Counter(["ENTITIES"])  # never expanded
     try:
         root = ElementTree.fromstring(content)
     except ElementTree.ParseError:
-        return []
+        return [], Counter(["MALFORMED"])
     out: list[tuple] = []
 
     def walk(node, folders: tuple[str, ...]) -> None:
         kind = _local(node.tag)
         name = next((c.text or "" for c in node if _local(c.tag) == "name"), "").strip()
         if kind == "Placemark":
+            properties = extended_data(node)
+            rings = {id(r) for p in node.iter() if _local(p.tag) == "Polygon" for r in p.iter()}
             for g in node.iter():
-                if _local(g.tag) in ("Point", "LineString", "Polygon"):
+                what = _local(g.tag)
+                if what in OTHERS and id(g) not in rings:
+                    faults[f"SKIPPED_{what}"] += 1
+                if what in NEEDED:
                     points = coordinates(next((c.text for c in g.iter() if _local(c.tag) == "coordinates"), None))
-                    if _local(g.tag) == "Polygon" and points and points[0] != points[-1]:
+                    if what == "Polygon" and points and points[0] != points[-1]:
                         points.append(points[0])
-                    if len(points) >= {"Point": 1, "LineString": 2, "Polygon": 4}[_local(g.tag)]:
-                        out.append((name, " / ".join(folders), _local(g.tag), points))
+                    if len(points) >= NEEDED[what]:
+                        out.append((name, " / ".join(folders), what, points, properties))
+                    else:
+                        faults[f"TOO_FEW_VERTICES_{what}"] += 1
             return
         below = (*folders, name) if kind == "Folder" and name else folders
         for c in node:
             walk(c, below)
 
     walk(root, ())
-    return out
+    return out, faults
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def read_kmz(spark: SparkSession, path: str) -> DataFrame:
-    """Placemarks of all KMZ or KML files under a path, one file to a task at a time."""
+    """Placemarks of all KMZ or KML files under a path, one file to a task at a time; ``kmz_faults`` tells what isn't among them."""
 
     def parse(frames):
         for frame in frames:
             rows = []
             for file, content in zip(frame["path"], frame["content"]):
-                for k, (name, folder, kind, points) in enumerate(placemarks(bytes(content))):
-                    rows.append((file, k, name, folder, kind, [p[0] for p in points], [p[1] for p in points]))
-            yield pd.DataFrame(rows, columns=["path", "ordinal", "name", "folder", "geometry_type", "lon", "lat"])
+                for k, (name, folder, kind, points, properties) in enumerate(document(bytes(content))[0]):
+                    rows.append((file, k, name, folder, kind, [p[0] for p in points], [p[1] for p in points], properties))
+            yield pd.DataFrame(rows, columns=["path", "ordinal", "name", "folder", "geometry_type", "lon", "lat", "properties"])
+
+    return _files(spark, path).mapInPandas(parse, PLACEMARK)
+
+
+def kmz_faults(spark: SparkSession, path: str) -> DataFrame:
+    """Files that can't be read and placemarks that were left out, by file and reason."""
+
+    def parse(frames):
+        for frame in frames:
+            rows = [(file, fault, n) for file, content in zip(frame["path"], frame["content"]) for fault, n in sorted(document(bytes(content))[1].items())]
+            yield pd.DataFrame(rows, columns=["path", "fault", "n"])
+
+    return _files(spark, path).mapInPandas(parse, FAULT)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, PLACEMARK)
+def geometry_json(kind: Column, lon: Column, lat: Column) -> Column:
+    """GeoJSON text of a point, line or ring from its vertices."""
+    pairs = F.transform(F.arrays_zip(lon.alias("lon"), lat.alias("lat")), lambda p: F.concat(F.lit("["), p["lon"].cast("string"), F.lit(","), p["lat"].cast("string"), F.lit("]")))
+    listed = F.array_join(pairs, ",")
+    inside = F.when(kind == "Point", listed).when(kind == "LineString", F.concat(F.lit("["), listed, F.lit("]"))).when(kind == "Polygon", F.concat(F.lit("[["), listed, F.lit("]]")))
+    return F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), inside, F.lit("}"))
 
 
 def feature_collection(rows: DataFrame, key: list[str], lon: str, lat: str, properties: list[str], order: list[str]) -> DataFrame:
