@@ -112,7 +112,7 @@ def cost_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mutation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A training row for moving each feeder's last turbine to the next feeder: moved capacity, spread of both feeders after, squared length of the new link."""
+    """A training row for moving each feeder's last turbine to the next feeder: moved capacity, spreads of both feeders after in millimetres (summed), squared length of the new link."""
     t = bindings.turbines(spark, sf_dir)
     last = t.groupBy("project", "feeder").agg(F.max_by(F.struct("turbine_id", "x", "y", "kw"), "k").alias("m"), F.max("k").alias("k"))
     moves = last.join(last.select("project", F.col("feeder").alias("to")), "project").where(F.col("to") == F.col("feeder") + 1).select("project", F.col("feeder").alias("from"), "to", "k", "m")
@@ -122,10 +122,10 @@ def mutation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = stay.unionByName(here).unionByName(moved)
     centre = after.groupBy("project", "move", "side").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("n"), F.sum("kw").alias("side_kw"))
     away = F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")))
-    spread = after.join(centre, ["project", "move", "side"]).groupBy("project", "move", "side").agg(F.round(F.coalesce(F.stddev_samp(away), F.lit(0.0)), 3).alias("spread"), F.first("side_kw").alias("side_kw"))
-    sides = spread.groupBy("project", "move").agg(F.round(F.avg("spread"), 2).alias("mean_spread"), F.sum(F.when(F.col("side") == "to", F.col("side_kw")).otherwise(-F.col("side_kw"))).alias("kw_difference"))
+    spread = after.join(centre, ["project", "move", "side"]).groupBy("project", "move", "side").agg(F.round(F.coalesce(F.stddev_samp(away), F.lit(0.0)) * 1000).cast("long").alias("spread"), F.first("side_kw").alias("side_kw"))
+    sides = spread.groupBy("project", "move").agg(F.sum("spread").alias("spread_mm"), F.sum(F.when(F.col("side") == "to", F.col("side_kw")).otherwise(-F.col("side_kw"))).alias("kw_difference"))
     near = moves.join(t.select("project", F.col("feeder").alias("to"), "x", "y"), ["project", "to"]).groupBy("project", F.col("from").alias("move")).agg(F.min((F.col("m.x") - F.col("x")) * (F.col("m.x") - F.col("x")) + (F.col("m.y") - F.col("y")) * (F.col("m.y") - F.col("y"))).alias("link_sq"), F.first("m.turbine_id").alias("turbine_id"), F.first("m.kw").alias("kw"))
-    return near.join(sides, ["project", "move"]).select("project", F.col("move").alias("feeder"), F.lit("reassign").alias("mutation"), "turbine_id", "kw", "link_sq", "mean_spread", "kw_difference")
+    return near.join(sides, ["project", "move"]).select("project", F.col("move").alias("feeder"), F.lit("reassign").alias("mutation"), "turbine_id", "kw", "link_sq", "spread_mm", "kw_difference")
 
 
 QUERIES = (unified_scoring, route_scoring, opex_states, lifecycle_costs, cost_context, mutation_features)

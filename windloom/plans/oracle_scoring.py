@@ -52,8 +52,8 @@ SQL = {
       after AS (SELECT m.project, m."from" AS move, 'from' AS side, t.x, t.y, t.kw FROM moves m JOIN turbines t ON t.project = m.project AND t.feeder = m."from" AND t.turbine_id <> m.turbine_id
         UNION ALL SELECT m.project, m."from", 'to', t.x, t.y, t.kw FROM moves m JOIN turbines t ON t.project = m.project AND t.feeder = m."to" UNION ALL SELECT project, "from", 'to', mx, my, mkw FROM moves),
       centre AS (SELECT project, move, side, avg(x) AS cx, avg(y) AS cy, sum(kw) AS side_kw FROM after GROUP BY 1, 2, 3),
-      spread AS (SELECT a.project, a.move, a.side, round(coalesce(stddev_samp(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))), 0), 3) AS spread, any_value(side_kw) AS side_kw FROM after a JOIN centre c ON c.project = a.project AND c.move = a.move AND c.side = a.side GROUP BY 1, 2, 3),
-      sides AS (SELECT project, move, round(avg(spread), 2) AS mean_spread, CAST(sum(CASE WHEN side = 'to' THEN side_kw ELSE -side_kw END) AS BIGINT) AS kw_difference FROM spread GROUP BY 1, 2)
-      SELECT m.project, m."from" AS feeder, 'reassign' AS mutation, any_value(m.turbine_id) AS turbine_id, any_value(mkw) AS kw, min((mx - x) * (mx - x) + (my - y) * (my - y)) AS link_sq, any_value(mean_spread) AS mean_spread, any_value(kw_difference) AS kw_difference
+      spread AS (SELECT a.project, a.move, a.side, CAST(round(coalesce(stddev_samp(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))), 0) * 1000) AS BIGINT) AS spread, any_value(side_kw) AS side_kw FROM after a JOIN centre c ON c.project = a.project AND c.move = a.move AND c.side = a.side GROUP BY 1, 2, 3),
+      sides AS (SELECT project, move, CAST(sum(spread) AS BIGINT) AS spread_mm, CAST(sum(CASE WHEN side = 'to' THEN side_kw ELSE -side_kw END) AS BIGINT) AS kw_difference FROM spread GROUP BY 1, 2)
+      SELECT m.project, m."from" AS feeder, 'reassign' AS mutation, any_value(m.turbine_id) AS turbine_id, any_value(mkw) AS kw, min((mx - x) * (mx - x) + (my - y) * (my - y)) AS link_sq, any_value(spread_mm) AS spread_mm, any_value(kw_difference) AS kw_difference
       FROM moves m JOIN turbines t ON t.project = m.project AND t.feeder = m."to" JOIN sides s ON s.project = m.project AND s.move = m."from" GROUP BY 1, 2""",
 }

@@ -102,7 +102,7 @@ QUERIES = (lockout_batch, event_windows, latest_per_user)
 _REFUSED, _LATER = 'a."at" < s.until', f'list_append(list_filter(s.f, lambda t: t > a."at" - {WINDOW_MS}), a."at")'
 SQL = {
     "lockout_batch": f"""WITH RECURSIVE a AS (SELECT user_id, event_id, "at", failed, row_number() OVER (PARTITION BY user_id ORDER BY "at", event_id) AS n
-        FROM (SELECT user_id, event_id, epoch_ms(ts) // {SPEED} AS "at", event_type <> 'purchase' AS failed FROM events WHERE event_type IN ('error', 'click', 'view', 'purchase'))),
+        FROM (SELECT user_id, event_id, epoch_us(ts) // {1000 * SPEED} AS "at", event_type <> 'purchase' AS failed FROM events WHERE event_type IN ('error', 'click', 'view', 'purchase'))),
       s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS f, CAST(0 AS BIGINT) AS until, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS "at", FALSE AS refused FROM a
         UNION ALL SELECT a.user_id, a.n, CASE WHEN {_REFUSED} THEN s.f WHEN NOT a.failed OR len({_LATER}) >= {MAX_FAILURES} THEN [] ELSE {_LATER} END,
           CASE WHEN {_REFUSED} THEN s.until WHEN a.failed AND len({_LATER}) >= {MAX_FAILURES} THEN a."at" + {LOCK_MS} ELSE 0 END, a.event_id, a."at", {_REFUSED} FROM s JOIN a ON a.user_id = s.user_id AND a.n = s.n + 1)
