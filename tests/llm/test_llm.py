@@ -15,6 +15,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyarrow import orc
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -164,6 +165,35 @@ def test_orc_round_trip(spark):
     assert sorted((r.start, r.doc_id) for r in orc_output.read_orc(spark, path).collect()) == [(0, None), (1, 5), (3, 5)]
 
 
+def test_orc_index_and_bloom_filter_skip_rows(spark):
+    """A doc_id that is absent within a stripe's range costs no row; one that is there costs its row group."""
+    path = Scratch(spark, "orc-test").path("index")
+    docs = spark.range(0, 12_000, 2).selectExpr("id as doc_id", "concat('text ', id) as text", "1 as range_id", "'x' as token_ids")
+    orc_output.write_orc(docs, path, WORD, row_stride=1000)
+
+    def rows_read(doc_id):
+        found = spark.read.orc(path).where(f"doc_id = {doc_id}")
+        n = len(found.collect())
+        return n, found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    assert rows_read(5001) == (0, 0) and rows_read(-7) == (0, 0)
+    n, read = rows_read(5000)
+    assert n == 1 and 1 <= read <= 1000
+    one = next(f for f in spark.read.orc(path).inputFiles() if f.endswith(".orc")).removeprefix("file:").removeprefix("//")
+    assert orc.ORCFile(one).row_index_stride == 1000 and orc.ORCFile(one).compression == "ZSTD"
+
+
+def test_orc_odd_rows(spark):
+    path = Scratch(spark, "orc-test").path("none")
+    orc_output.write_orc(documents(spark, []), path, WORD)
+    assert orc_output.ids_crc32(orc_output.read_orc(spark, path)).collect() == []
+    path = Scratch(spark, "orc-test").path("same")
+    orc_output.write_orc(documents(spark, ["same"] * 300 + ["y " * 30_000, ""], [5] * 301 + [None]).repartition(3), path, WORD, range_bytes=100)
+    rows = sorted(orc_output.read_orc(spark, path).collect(), key=lambda r: r.start)
+    assert rows[0].doc_id is None and len(rows) == 302 and all(a.start + a.n_tokens == b.start for a, b in itertools.pairwise(rows))
+    assert len({r.range_id for r in rows}) > 1 and max(r.n_tokens for r in rows) == 30_001
+
+
 # 2
 
 
