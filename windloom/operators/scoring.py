@@ -39,7 +39,7 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bindings.candidates(spark, sf_dir).withColumns(more)
 
 
-def normalised(rows: DataFrame, metrics, larger: Column | None = None) -> DataFrame:
+def normalised(rows: DataFrame, metrics) -> DataFrame:
     """Whole-number benefits ``n_<metric>`` between 0 (least) and SCALE (greatest) of the cohort; 0 for a metric that is the same for all."""
     out = with_limits(rows, metrics)
     v = lambda m: F.when(F.col(f"hi_{m}") > F.col(f"lo_{m}"), F.round((F.col(m) - F.col(f"lo_{m}")) / (F.col(f"hi_{m}") - F.col(f"lo_{m}")) * SCALE)).otherwise(0).cast("long")
