@@ -1,6 +1,7 @@
 """Every registered planning query against its SQL on a second engine, and small cases of the operators."""
 
 import io
+import itertools
 import json
 import math
 import os
@@ -8,13 +9,14 @@ import zipfile
 from decimal import Decimal
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import MODULES, ORACLES
-from windloom.operators import assembly, decide, economics, network, report, survey_rules, topology
-from windloom.sources import survey
-from windloom.streaming import lockout, staging
+from windloom.operators import decide, economics, exact_grouping, network, report, survey_rules, topology
+from windloom.sources import bindings, survey
+from windloom.streaming import lockout, publish, staging
 
 SF = "/root/testdata/sf0.001"
 SQL = {name: sql for module in ORACLES for name, sql in module.SQL.items()}
@@ -130,6 +132,62 @@ def test_geometry_json(spark):
     assert got == [{"type": "Point", "coordinates": [1.0, 2.5]}, {"type": "LineString", "coordinates": [[1.0, 0.0], [2.0, 1.0]]}, {"type": "Polygon", "coordinates": [[[0.0, 0.0], [1.0, 0.0], [0.0, 0.0]]]}]
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_exact_grouping_against_all_assignments(seed):
+    rng = np.random.default_rng(seed)
+    n, k = int(rng.integers(1, 7)), int(rng.integers(1, 4))
+    cost, load = rng.integers(0, 50, (n, k)).astype(float), rng.integers(1, 10, n)
+    capacity = int(rng.integers(5, 25))
+    fits = [p for p in itertools.product(range(k), repeat=n) if all(load[[i for i in range(n) if p[i] == j]].sum() <= capacity for j in range(k))]
+    got, even = exact_grouping.least_cost(cost, load, capacity), exact_grouping.most_even(load, k, capacity)
+    if not fits:
+        assert got is None and even is None
+        return
+    total = lambda p: sum(cost[i, j] for i, j in enumerate(p))
+    away = lambda p: max(abs(list(p).count(j) - n / k) for j in range(k))
+    assert tuple(got) in fits and total(got) == min(map(total, fits))
+    assert tuple(even) in fits and abs(away(even) - min(map(away, fits))) < 1e-9
+
+
+def test_sites_take_the_fewest_feeders(spark):
+    rows = exact_grouping.exact_grouping(spark, SF).collect()
+    kw = {r.turbine_id: r.kw for r in bindings.turbines(spark, SF).collect()}
+    for name in ("by_distance", "by_balance"):
+        loads = {}
+        for r in rows:
+            key = r.project, r.site
+            loads.setdefault(key, {}).setdefault(r[name], 0)
+            loads[key][r[name]] += kw[r.turbine_id]
+        assert len(rows) == len(kw) and all(max(x.values()) <= exact_grouping.CAPACITY for x in loads.values())
+        assert all(len(x) >= -(-sum(x.values()) // exact_grouping.CAPACITY) for x in loads.values())
+
+
+def test_results_are_there_before_their_events(spark, tmp_path):
+    source, results, events = (str(tmp_path / x) for x in ("in", "results", "events"))
+    for k in range(3):
+        spark.createDataFrame([(10 * k + i, s) for i, s in enumerate(("COMPLETED", "RUNNING", "FAILED"))], "job_id long, status string").write.mode("append").parquet(source)
+    query = spark.readStream.schema("job_id long, status string").option("maxFilesPerTrigger", 1).parquet(source).writeStream.foreachBatch(publish.publish(results, events)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    batch = spark.createDataFrame([(99, "COMPLETED")], "job_id long, status string")
+    for _ in range(2):
+        publish.publish(results, events)(batch, 1000)
+    done = spark.read.parquet(events)
+    assert {r.job_id for r in done.collect()} == {0, 2, 10, 12, 20, 22, 99} and done.where("batch = 1000").count() == 1
+    assert done.join(spark.read.parquet(results), ["job_id", "status", "batch"], "left_anti").count() == 0
+
+
+def test_the_audit_trail_survives_a_failure(spark, tmp_path):
+    entry = spark.createDataFrame([("delete", 5)], "action string, id long")
+
+    def fail():
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        publish.audited(fail, entry, str(tmp_path / "audit"))
+    publish.audited(lambda: None, entry, str(tmp_path / "audit"))
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
+
+
 def test_ancestors_of_a_long_chain(spark):
     rows = spark.createDataFrame([(1, k, k - 1) for k in range(1, 51)] + [(2, 1, 0)], "feeder int, node int, parent int")
     got = {(r.feeder, r.node, r.above): r.depth for r in network.ancestors(rows, ["feeder"]).collect()}

@@ -43,9 +43,9 @@ def ancestors(tree: DataFrame, key: list[str]) -> DataFrame:
     memory or on disk, as the next one reads them twice; a lost part is worked out again. A root's parent is 0.
     """
     jump = tree.where("parent > 0").select(*key, "node", F.col("parent").alias("to")).persist(StorageLevel.MEMORY_AND_DISK)
-    out, reach = tree.select(*key, "node", F.col("node").alias("above"), F.lit(0).alias("depth")), 1
+    out, reach, n = tree.select(*key, "node", F.col("node").alias("above"), F.lit(0).alias("depth")), 1, tree.count()
     while not jump.isEmpty():
-        if reach > 1 << 30:
+        if reach > n:
             raise ValueError("a node is above itself")
         further = jump.join(out.withColumnRenamed("node", "to"), [*key, "to"]).select(*key, "node", "above", (F.col("depth") + reach).alias("depth"))
         out = out.unionByName(further).persist(StorageLevel.MEMORY_AND_DISK)
