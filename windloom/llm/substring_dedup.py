@@ -39,7 +39,7 @@ from .common import Scratch, byte_steps, join_heavy, text_or_empty, texts_of, wh
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_2 = np.uint64(0xC2B2AE3D27D4EB4F)
-_WORD_LIMIT = 300_000
+_WORD_LIMIT = 150_000
 
 
 class WordHashes(dict):
@@ -139,7 +139,8 @@ def half_windows(docs: DataFrame, wanted: DataFrame, width: int, half: int) -> D
     def scan(batches):
         known = WordHashes()
         for batch in batches:
-            for i, (text, spans) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            pairs = ((i, *pair) for a, z in byte_steps(batch.column(1), 1 << 20) for i, pair in enumerate(zip(batch.column(1).slice(a, z - a).to_pylist(), batch.column(2).slice(a, z - a).to_pylist()), a))
+            for i, text, spans in pairs:
                 hashes = _hash_words(text, known)
                 first, count = np.array([s["start"] for s in spans], np.int64), np.array([s["n"] + step for s in spans], np.int64)
                 ends = np.cumsum(count)

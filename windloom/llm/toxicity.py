@@ -34,8 +34,8 @@ FACTORS = 6
 PREFIXES = (4, 5, 6, 7)
 #: Labelled rows that the model sees at most; their sparse rows are what the driver holds.
 MAX_ROWS = 2_500
-#: Words kept in a worker's memory, each of 64 bytes at most.
-MEMORY = 120_000
+#: Words kept in a worker's memory, each of 64 bytes at most, and text scored at once.
+MEMORY, STEP_BYTES = 120_000, 1 << 19
 
 
 def slots_of(word: bytes) -> list[int]:
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Factori
     def sparse(batches):
         terms = Terms()
         for batch in batches:
-            for a, z in byte_steps(batch.column(0), 1 << 20):
+            for a, z in byte_steps(batch.column(0), STEP_BYTES):
                 first, slot, count = terms.counts(batch.column(0).slice(a, z - a))
                 lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(c, pa.int32())) for c in (slot, count)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, z - a), batch.column(2).slice(a, z - a), *lists], names=["label", "key", "slots", "counts"])
@@ -175,7 +175,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
         terms = Terms()
         for batch in batches:
             texts = texts_of(batch.column(0))
-            for a, z in byte_steps(texts, 1 << 20):
+            for a, z in byte_steps(texts, STEP_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(model.value.score(*terms.counts(texts.slice(a, z - a))))], names=["row", "score"])
 
     rows = docs.select(whole_row(docs))
