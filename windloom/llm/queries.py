@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, decontaminate, html_extract, license_scan, oracle, orc_output, packing, quality, simhash, substring_dedup, toxicity
+from . import chroma, conversation, decontaminate, html_extract, license_scan, oracle, orc_output, packing, quality, simhash, substring_dedup, toxicity
 from .common import Scratch, table
 
 
@@ -57,8 +57,12 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(conversation.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_pivots, op3_chroma_fingerprints, op4_license_scan, op5_html_min_cut, op6_toxicity_fm, op7_substring_doubling, op8_decontamination, op9_orc_token_ids, op10_quality_qda)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_pivots, op3_chroma_fingerprints, op4_license_scan, op5_html_min_cut, op6_toxicity_fm, op7_substring_doubling, op8_decontamination, op9_orc_token_ids, op10_quality_qda, op11_hirschberg_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
