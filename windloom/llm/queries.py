@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, conversation, decontaminate, hard_negatives, html_extract, license_scan, oracle, orc_output, packing, quality, simhash, substring_dedup, toxicity
+from . import chroma, conversation, decontaminate, hard_negatives, html_extract, license_scan, oracle, orc_output, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import Scratch, table
 
 
@@ -65,8 +65,13 @@ def op12_tree_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(hard_negatives.prepared(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = suffix_dedup.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"], digest=True)
+    return marked.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_pivots, op3_chroma_fingerprints, op4_license_scan, op5_html_min_cut, op6_toxicity_fm, op7_substring_doubling, op8_decontamination, op9_orc_token_ids, op10_quality_qda, op11_hirschberg_repair, op12_tree_hard_negatives)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_pivots, op3_chroma_fingerprints, op4_license_scan, op5_html_min_cut, op6_toxicity_fm, op7_substring_doubling, op8_decontamination, op9_orc_token_ids, op10_quality_qda, op11_hirschberg_repair, op12_tree_hard_negatives, op13_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
