@@ -61,4 +61,15 @@ FROM ends e LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM e.conv_id""",
 SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3""",
+    "op13_suffix_array_dedup": """WITH d AS (SELECT doc_id, row_number() OVER () AS k, encode(coalesce(text, '')) AS b FROM documents),
+  windows AS (SELECT k, i, md5(b[i:i + 399]) AS h FROM (SELECT k, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+  again AS (SELECT h FROM windows GROUP BY 1 HAVING count(*) > 1),
+  hits AS (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before, lead(i) OVER (PARTITION BY k ORDER BY i) AS after FROM windows JOIN again USING (h)),
+  runs AS (SELECT k, i AS low, before + 400 AS gone FROM hits WHERE before IS NULL OR i > before + 400),
+  ends AS (SELECT k, i + 400 AS high FROM hits WHERE after IS NULL OR after > i + 400),
+  spans AS (SELECT k, low, gone, high FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY low) AS n FROM runs) JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY high) AS n FROM ends) USING (k, n)),
+  sums AS (SELECT k, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS last, list(low ORDER BY low) AS lows, list(high ORDER BY low) AS highs FROM spans GROUP BY 1)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(0, coalesce(n_spans, 0) + 1), lambda j: hex(b[CASE j WHEN 0 THEN 1 ELSE highs[j] END:coalesce(lows[j + 1] - 1, octet_length(b))])), ''))) AS kept_sha256
+FROM d LEFT JOIN sums USING (k)""",
 }
