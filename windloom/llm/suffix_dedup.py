@@ -7,7 +7,9 @@ Suffixes. Of the short strings of ``SHORT`` bytes inside each full window the on
 window's anchor, so equal windows have their anchors at the same place: the suffixes that start at anchors, about one in 130
 bytes, are enough. Around an anchor its windows reach ``width - SHORT`` bytes back and ``width`` on; that stretch is its
 context. Anchors whose short string occurs once are dropped; contexts that occur several times are settled (all of the
-context is repeated), and one of them goes on, if its short string has other contexts.
+context is repeated), and one of them goes on, if its short string has other contexts. A repeated window holds one of
+four stretches around its anchor, which are about three quarters as long, so contexts of which no such stretch occurs twice
+are dropped as well.
 
 Sort. ``repartitionByRange`` samples splitters and deals the suffixes out by their leading bytes. A bucket sorts its suffixes by
 multikey quicksort, eight bytes at a time among those still tied, and in each group of equal short strings what stands before
@@ -39,13 +41,20 @@ from .substring_dedup import mix
 
 WIDTH, SHORT = 400, 64
 #: Bytes scanned at once, and the suffixes that a bucket compares at once. A larger group is compared across buckets.
-PIECE, SUFFIXES = 1 << 20, 8192
+PIECE, SUFFIXES = 1 << 18, 16384
 _LOCAL = np.uint64((1 << 24) - 1)
 _BASES = {k: (np.uint64(b), np.uint64(pow(b, -1, 2**64))) for k, b in {"short": 0x5851F42D4C957F2D, "context": 0xD1342543DE82EF95}.items()}
 #: A 64-bit number for each byte.
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def stretches(width: int, short: int) -> list[tuple[int, int]]:
+    """(bytes before, bytes from the anchor on) of four stretches, one of which lies in each window around the anchor."""
+    reach = width - short
+    firsts = [-(-(reach + 1) * k // 4) for k in range(5)]
+    return [(low, width - high + 1) for low, high in zip(firsts, firsts[1:])]
+
+
 class Sums:
     """Hashes of any stretch of an array of bytes, by running sums."""
 
@@ -81,7 +90,7 @@ def _pieces(texts: list[bytes], width: int, size: int) -> Iterator[tuple[int, in
 
 
 def anchors(texts: list[bytes], width: int = WIDTH, short: int = SHORT, size: int = PIECE) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring anchors of one context: text, first and last place, bytes before and after in the context, two hashes, how many."""
+    """Runs of neighbouring anchors of one context: text, first and last place, bytes before and after in the context, two hashes, how many, and the hashes of its four stretches (0: beyond it)."""
     found, held, volume = [], [], 0
     done = np.full(len(texts), -1)
     for piece in _pieces(texts, width, size):
@@ -93,7 +102,7 @@ def anchors(texts: list[bytes], width: int = WIDTH, short: int = SHORT, size: in
     if held:
         found.append(_anchors_of(texts, held, done, width, short))
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(8))
+        return tuple(np.zeros(0, np.int64) for _ in range(12))
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
@@ -115,11 +124,17 @@ def _anchors_of(texts: list[bytes], pieces: list[tuple[int, int, int, int, int]]
     sizes = np.array([len(texts[i]) for i in range(len(texts))])
     before, after = np.minimum(place, width - short), np.minimum(sizes[text] - place, width)
     with np.errstate(over="ignore"):
-        context = mix(Sums(data, "context").of(chosen - before, chosen + after) + (before * 4096 + after).astype(np.uint64))
+        sums = Sums(data, "context")
+        context = mix(sums.of(chosen - before, chosen + after) + (before * 4096 + after).astype(np.uint64))
     starts = np.concatenate([[True], (context[1:] != context[:-1]) | (key[chosen[1:]] != key[chosen[:-1]]) | (text[1:] != text[:-1])]) if len(text) else np.zeros(0, bool)
     runs = np.flatnonzero(starts)
     ends = np.append(runs[1:], len(text)) - 1 if len(runs) else runs
-    return text[runs], place[runs], place[ends], before[runs], after[runs], key[chosen[runs]].view(np.int64), context[runs].view(np.int64), ends - runs + 1
+    parts = []
+    for back, on in stretches(width, short):
+        there = (before[runs] >= back) & (after[runs] >= on)
+        low = np.where(there, chosen[runs] - back, 0)
+        parts.append(np.where(there, (sums.of(low, np.where(there, chosen[runs] + on, 0)) & np.uint64(0x7FFFFFFF)).astype(np.int64) | 1, 0))
+    return text[runs], place[runs], place[ends], before[runs], after[runs], key[chosen[runs]].view(np.int64), context[runs].view(np.int64), ends - runs + 1, *parts
 
 
 def multikey_order(rows: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -234,7 +249,7 @@ def compare_bucket(batches: Iterator[pa.RecordBatch], width: int, short: int, li
 
 def _across(far: DataFrame, width: int, short: int, scratch: Scratch) -> DataFrame:
     """key, context, low and high of the windows repeated in groups that no single bucket holds."""
-    steps = {"after": [*range(short, width, 48), width], "before": [*range(48, width - short, 48), width - short]}
+    steps = {"after": [*range(short, width, 24), width], "before": [*range(24, width - short, 24), width - short]}
     part = {"after": lambda n: F.substring("after", 1, n), "before": lambda n: F.substring("before", -n, n)}
     lengths = [F.when(F.octet_length(side) >= n, F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), F.xxhash64(part[side](n)).alias("hash"))) for side, all_n in steps.items() for n in all_n]
     each = scratch.save(far.select("key", "context", F.explode(F.filter(F.array(*lengths), lambda x: x.isNotNull())).alias("p")).select("key", "context", "p.*"), "lengths")
@@ -274,16 +289,22 @@ def repeated_spans(texts: DataFrame, width: int, short: int, scratch: Scratch, l
                 part = batch.slice(k, 1024)
                 text, *columns = anchors(part.column("data").to_pylist(), width, short)
                 at = pa.array(text)
-                rest = [pa.array(c.astype(np.int64)) for c in columns]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("copies").take(at), *rest], names=["id", "copies", "first", "last", "before", "after", "key", "context", "times"])
+                rest = [pa.array(c.astype(np.int64)) for c in columns[:7]] + [pa.array(c.astype(np.int32)) for c in columns[7:]]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("copies").take(at), *rest], names=["id", "copies", "first", "last", "before", "after", "key", "context", "times", *parts])
 
-    schema = "id string, copies long, first long, last long, before long, after long, key long, context long, times long"
+    parts = [f"part_{k}" for k in range(4)]
+    schema = "id string, copies long, first long, last long, before long, after long, key long, context long, times long, " + ", ".join(f"{c} int" for c in parts)
     table = scratch.save(texts.where(F.octet_length("data") >= width).select("id", "copies", "data").mapInArrow(scan, schema), "anchors")
     place = F.struct("id", "first", "before", "after")
-    kinds = table.groupBy("key", "context").agg(F.min(place).alias("place"), F.sum(F.col("copies") * F.col("times")).alias("times"), F.count("*").alias("rows"))
+    kinds = table.groupBy("key", "context").agg(F.min(place).alias("place"), F.sum(F.col("copies") * F.col("times")).alias("times"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in parts])
     kinds = scratch.save(kinds, "kinds")
     mixed = scratch.save(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select("key", "kinds"), "mixed")
-    wanted = join_heavy(kinds.select("key", "context", "place"), mixed, ["key"], "kinds", kinds.count())
+    maybe = scratch.save(join_heavy(kinds.select("key", "context", "place", *parts), mixed, ["key"], "kinds", kinds.count()).drop("kinds"), "maybe")
+    stretch = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("hash")) for k, c in enumerate(parts)])
+    each = maybe.select("key", "context", F.explode(F.filter(stretch, lambda x: x["hash"] != 0)).alias("s")).select("key", "context", "s.*")
+    met = scratch.save(each.groupBy("key", "k", "hash").agg(F.count("*").alias("n")).where("n > 1"), "met")
+    good = join_heavy(each, met, ["key", "k", "hash"], "n", each.count()).select("key", "context").distinct()
+    wanted = scratch.save(maybe.drop(*parts).join(good, ["key", "context"], "left_semi"), "wanted")
     lists = wanted.groupBy("place.id").agg(F.collect_list(F.struct("key", "context", "place.first", "place.before", "place.after")).alias("cuts"))  # of one text
 
     def contexts(batches):
@@ -305,9 +326,9 @@ def repeated_spans(texts: DataFrame, width: int, short: int, scratch: Scratch, l
     settled = kinds.where("times > 1").select("key", "context", "rows", F.lit(None).cast("array<struct<low:int,high:int>>").alias("spans"))
     single = near.unionByName(across).join(kinds.where("times = 1").select("key", "context", "rows"), ["key", "context"]).select("key", "context", "rows", "spans")
     results = scratch.save(settled.unionByName(single), "results")
-    met = join_heavy(table.where("copies = 1"), results, ["key", "context"], "rows", table.count())
+    found = join_heavy(table.where("copies = 1"), results, ["key", "context"], "rows", table.count())
     whole = F.array(F.struct((-F.col("before")).alias("low"), (F.col("last") - F.col("first") + F.col("after")).alias("high")))
-    spans = met.select("id", "first", F.explode(F.coalesce(F.col("spans").cast("array<struct<low:bigint,high:bigint>>"), whole)).alias("s"))
+    spans = found.select("id", "first", F.explode(F.coalesce(F.col("spans").cast("array<struct<low:bigint,high:bigint>>"), whole)).alias("s"))
     return spans.select("id", (F.col("first") + F.col("s.low")).alias("low"), (F.col("first") + F.col("s.high")).alias("high"))
 
 
@@ -342,7 +363,7 @@ def cleaned(docs: DataFrame, scratch: Scratch, width: int = WIDTH, short: int =
     schema = f"id string, copies long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"
     found = scratch.save(texts.join(by_text, "id", "left").select("id", "copies", "data", "spans").mapInArrow(cut, schema), "cleaned")
     docs.sparkSession.sql(f"DROP TABLE {name}")
-    for name in ("texts", "anchors", "kinds", "mixed", "compared", "lengths", "lengths-twice", "windows", "windows-again", "results"):
+    for name in ("texts", "anchors", "kinds", "mixed", "maybe", "met", "wanted", "compared", "lengths", "lengths-twice", "windows", "windows-again", "results"):
         scratch.drop(name)
     return found
 
