@@ -112,8 +112,3 @@ def test_windows_that_no_neighbour_proves():
                 want = full and any((b[:at], a[: 10 - at]) == (c[:at], d[: 10 - at]) and len(c) >= at for c, d in contexts[:k] + contexts[k + 1 :])
                 assert got[k, at] == want
 
-
-def test_each_window_holds_a_stretch():
-    for width, short in ((400, 64), (20, 6), (33, 8), (9, 8), (8, 8)):
-        for at in range(width - short + 1):
-            assert any(back <= at and on <= width - at for back, on in suffix.stretches(width, short))

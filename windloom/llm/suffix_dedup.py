@@ -7,16 +7,14 @@ Suffixes. Of the short strings of ``SHORT`` bytes inside each full window the on
 window's anchor, so equal windows have their anchors at the same place: the suffixes that start at anchors, about one in 130
 bytes, are enough. Around an anchor its windows reach ``width - SHORT`` bytes back and ``width`` on; that stretch is its
 context. Anchors whose short string occurs once are dropped; contexts that occur several times are settled (all of the
-context is repeated), and one of them goes on, if its short string has other contexts. A repeated window holds one of
-four stretches around its anchor, which are about three quarters as long, so contexts of which no such stretch occurs twice
-are dropped as well.
+context is repeated), and one of them goes on, if its short string has other contexts.
 
-Sort. ``repartitionByRange`` samples splitters and deals the suffixes out by their leading bytes. A bucket sorts its suffixes by
-multikey quicksort, eight bytes at a time among those still tied, and in each group of equal short strings what stands before
+Sort. ``repartitionByRange`` samples splitters and deals the suffixes out by their leading bytes, so that a splitter cuts no group
+of equal short strings. A bucket sorts its suffixes by multikey quicksort, eight bytes at a time among those still tied, and in each group of equal short strings what stands before
 them likewise, read backwards. Longest matches with the neighbours in both orders prove most windows repeated, and bound
 what a window may reach at most; a window within the bounds that no neighbour proves is compared with all others of its group.
-Groups that a splitter may have cut, and those too large for a task, are compared across buckets: lengths at which their
-parts still occur twice bound the windows again, and these are counted by hash, as an aggregation.
+Groups too large for a bucket never go to one: they are compared across tasks. Lengths at which their parts still occur twice
+bound the windows again, and these are counted by hash, as an aggregation.
 
 Contexts are equal by two 64-bit hashes, texts by md5; inside a bucket bytes are compared.
 
@@ -40,21 +38,14 @@ from .common import Scratch, join_heavy, text_or_empty, whole_row
 from .substring_dedup import mix
 
 WIDTH, SHORT = 400, 64
-#: Bytes scanned at once, and the suffixes that a bucket compares at once. A larger group is compared across buckets.
-PIECE, SUFFIXES = 1 << 18, 16384
+#: Bytes scanned at once, suffixes that a bucket compares at once, and the most of one group; larger groups (of 48 MB and more) are compared across buckets.
+PIECE, AT_ONCE, GROUP = 1 << 18, 4096, 1 << 16
 _LOCAL = np.uint64((1 << 24) - 1)
 _BASES = {k: (np.uint64(b), np.uint64(pow(b, -1, 2**64))) for k, b in {"short": 0x5851F42D4C957F2D, "context": 0xD1342543DE82EF95}.items()}
 #: A 64-bit number for each byte.
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def stretches(width: int, short: int) -> list[tuple[int, int]]:
-    """(bytes before, bytes from the anchor on) of four stretches, one of which lies in each window around the anchor."""
-    reach = width - short
-    firsts = [-(-(reach + 1) * k // 4) for k in range(5)]
-    return [(low, width - high + 1) for low, high in zip(firsts, firsts[1:])]
-
-
 class Sums:
     """Hashes of any stretch of an array of bytes, by running sums."""
 
@@ -90,7 +81,7 @@ def _pieces(texts: list[bytes], width: int, size: int) -> Iterator[tuple[int, in
 
 
 def anchors(texts: list[bytes], width: int = WIDTH, short: int = SHORT, size: int = PIECE) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring anchors of one context: text, first and last place, bytes before and after in the context, two hashes, how many, and the hashes of its four stretches (0: beyond it)."""
+    """Runs of neighbouring anchors of one context: text, first and last place, bytes before and after in the context, two hashes, how many."""
     found, held, volume = [], [], 0
     done = np.full(len(texts), -1)
     for piece in _pieces(texts, width, size):
@@ -102,7 +93,7 @@ def anchors(texts: list[bytes], width: int = WIDTH, short: int = SHORT, size: in
     if held:
         found.append(_anchors_of(texts, held, done, width, short))
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(12))
+        return tuple(np.zeros(0, np.int64) for _ in range(8))
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
@@ -124,17 +115,11 @@ def _anchors_of(texts: list[bytes], pieces: list[tuple[int, int, int, int, int]]
     sizes = np.array([len(texts[i]) for i in range(len(texts))])
     before, after = np.minimum(place, width - short), np.minimum(sizes[text] - place, width)
     with np.errstate(over="ignore"):
-        sums = Sums(data, "context")
-        context = mix(sums.of(chosen - before, chosen + after) + (before * 4096 + after).astype(np.uint64))
+        context = mix(Sums(data, "context").of(chosen - before, chosen + after) + (before * 4096 + after).astype(np.uint64))
     starts = np.concatenate([[True], (context[1:] != context[:-1]) | (key[chosen[1:]] != key[chosen[:-1]]) | (text[1:] != text[:-1])]) if len(text) else np.zeros(0, bool)
     runs = np.flatnonzero(starts)
     ends = np.append(runs[1:], len(text)) - 1 if len(runs) else runs
-    parts = []
-    for back, on in stretches(width, short):
-        there = (before[runs] >= back) & (after[runs] >= on)
-        low = np.where(there, chosen[runs] - back, 0)
-        parts.append(np.where(there, (sums.of(low, np.where(there, chosen[runs] + on, 0)) & np.uint64(0x7FFFFFFF)).astype(np.int64) | 1, 0))
-    return text[runs], place[runs], place[ends], before[runs], after[runs], key[chosen[runs]].view(np.int64), context[runs].view(np.int64), ends - runs + 1, *parts
+    return text[runs], place[runs], place[ends], before[runs], after[runs], key[chosen[runs]].view(np.int64), context[runs].view(np.int64), ends - runs + 1
 
 
 def multikey_order(rows: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -170,7 +155,7 @@ def repeated_windows(classes: np.ndarray, before: np.ndarray, n_before: np.ndarr
     ``before`` holds the bytes before the anchors, read backwards, and ``after`` those from the anchors on.
     """
     n, reach = before.shape
-    proven = np.zeros((n, reach + 2), np.int32)
+    proven = np.zeros((n, reach + 2), np.int8)  # at most four neighbours
     most = {}
     for name, rows, sizes in (("after", after, n_after), ("before", before, n_before)):
         order = multikey_order(rows, classes, sizes)
@@ -184,7 +169,7 @@ def repeated_windows(classes: np.ndarray, before: np.ndarray, n_before: np.ndarr
             good = left + right >= width
             np.add.at(proven, (rows_of[good], np.maximum(width - right[good], 0)), 1)
             np.add.at(proven, (rows_of[good], left[good] + 1), -1)
-    proven = proven.cumsum(axis=1)[:, : reach + 1] > 0
+    proven = proven.cumsum(axis=1, dtype=np.int8)[:, : reach + 1] > 0
     at = np.arange(reach + 1)
     possible = (at >= (width - most["after"])[:, None]) & (at <= most["before"][:, None])
     open_ = possible & ~proven
@@ -196,7 +181,7 @@ def repeated_windows(classes: np.ndarray, before: np.ndarray, n_before: np.ndarr
     return proven
 
 
-FOUND = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("far", pa.bool_()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32())), ("before", pa.binary()), ("after", pa.binary())])
+FOUND = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("spans", pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))])
 
 
 def _matrix(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,39 +197,26 @@ def _compared(rows: list[dict], width: int, short: int) -> pa.RecordBatch:
     (row, first), (_, end) = np.nonzero(step == 1), np.nonzero(step == -1)
     offsets = pa.array(np.searchsorted(row, np.arange(len(rows) + 1)).astype(np.int32))
     # windows of first to end - 1 bytes before the anchor cover what lies from 1 - end to width - first
-    low, high = (pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (1 - end, width - first))
-    none = pa.nulls(len(rows), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r["key"] for r in rows]), pa.array([r["context"] for r in rows]), pa.array([False] * len(rows)), low, high, none, none], schema=FOUND)
-
+    spans = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (1 - end, width - first)], names=["low", "high"])
+    found = pa.RecordBatch.from_arrays([pa.array([r["key"] for r in rows]), pa.array([r["context"] for r in rows]), pa.ListArray.from_arrays(offsets, spans)], schema=FOUND)
+    return found.filter(pa.array(again.any(axis=1)))
 
-def compare_bucket(batches: Iterator[pa.RecordBatch], width: int, short: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Stretches repeated around the anchors of a bucket sorted by short string; the groups at its ends, and those of over ``limit`` suffixes, go on as they are."""
 
-    def far(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(rows), 1024):
-            yield pa.RecordBatch.from_pylist([r | {"far": True, "low": [], "high": []} for r in rows[k : k + 1024]], FOUND)
-
-    whole, group, first, large = [], [], True, False
+def compare_bucket(batches: Iterator[pa.RecordBatch], width: int, short: int) -> Iterator[pa.RecordBatch]:
+    """Stretches repeated around the anchors of a bucket, which comes sorted by short string; whole groups are compared at once."""
+    held, group = [], []
     for batch in batches:
         for k in range(0, batch.num_rows, 1024):
             for row in batch.slice(k, 1024).to_pylist():
                 if group and row["key"] != group[-1]["key"]:
-                    if first or large:
-                        yield from far(group)
-                    else:
-                        whole += group
-                    group, first, large = [], False, False
-                    if len(whole) >= limit:
-                        yield _compared(whole, width, short)
-                        whole = []
+                    held += group
+                    group = []
+                    if len(held) >= AT_ONCE:
+                        yield _compared(held, width, short)
+                        held = []
                 group.append(row)
-                if len(group) > limit:
-                    large = True
-                    yield from far(group[:-1])
-                    group = group[-1:]
-    yield from far(group)
-    if whole:
-        yield _compared(whole, width, short)
+    if held or group:
+        yield _compared(held + group, width, short)
 
 
 def _across(far: DataFrame, width: int, short: int, scratch: Scratch) -> DataFrame:
@@ -273,14 +245,14 @@ def _across(far: DataFrame, width: int, short: int, scratch: Scratch) -> DataFra
 def distinct_texts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     """id (md5), copies and data (bytes) of each text, and the name of that table: in buckets by id, so that later joins leave the texts where they are."""
     spark = docs.sparkSession
-    rows = docs.select(text_or_empty().cast("binary").alias("data")).select(F.md5("data").alias("id"), "data")
+    rows = docs.select(text_or_empty().cast("binary").alias("data")).select(F.unhex(F.md5("data")).alias("id"), "data")
     name = f"texts_{uuid.uuid4().hex}"
     found = rows.groupBy("id").agg(F.first("data").alias("data"), F.count("*").alias("copies"))
     found.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").option("path", scratch.path("texts")).saveAsTable(name)
     return spark.table(name), name
 
 
-def repeated_spans(texts: DataFrame, width: int, short: int, scratch: Scratch, limit: int = SUFFIXES) -> DataFrame:
+def repeated_spans(texts: DataFrame, width: int, short: int, scratch: Scratch, limit: int = GROUP) -> DataFrame:
     """id, low and high (bytes) of the stretches to remove from the texts that occur once; they may overlap. Other long texts go whole."""
 
     def scan(batches):
@@ -289,23 +261,17 @@ def repeated_spans(texts: DataFrame, width: int, short: int, scratch: Scratch, l
                 part = batch.slice(k, 1024)
                 text, *columns = anchors(part.column("data").to_pylist(), width, short)
                 at = pa.array(text)
-                rest = [pa.array(c.astype(np.int64)) for c in columns[:7]] + [pa.array(c.astype(np.int32)) for c in columns[7:]]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("copies").take(at), *rest], names=["id", "copies", "first", "last", "before", "after", "key", "context", "times", *parts])
+                rest = [pa.array(c.astype(np.int64)) for c in columns]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("copies").take(at), *rest], names=["id", "copies", "first", "last", "before", "after", "key", "context", "times"])
 
-    parts = [f"part_{k}" for k in range(4)]
-    schema = "id string, copies long, first long, last long, before long, after long, key long, context long, times long, " + ", ".join(f"{c} int" for c in parts)
+    schema = "id binary, copies long, first long, last long, before long, after long, key long, context long, times long"
     table = scratch.save(texts.where(F.octet_length("data") >= width).select("id", "copies", "data").mapInArrow(scan, schema), "anchors")
     place = F.struct("id", "first", "before", "after")
-    kinds = table.groupBy("key", "context").agg(F.min(place).alias("place"), F.sum(F.col("copies") * F.col("times")).alias("times"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in parts])
+    kinds = table.groupBy("key", "context").agg(F.min(place).alias("place"), F.sum(F.col("copies") * F.col("times")).alias("times"), F.count("*").alias("rows"))
     kinds = scratch.save(kinds, "kinds")
     mixed = scratch.save(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select("key", "kinds"), "mixed")
-    maybe = scratch.save(join_heavy(kinds.select("key", "context", "place", *parts), mixed, ["key"], "kinds", kinds.count()).drop("kinds"), "maybe")
-    stretch = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("hash")) for k, c in enumerate(parts)])
-    each = maybe.select("key", "context", F.explode(F.filter(stretch, lambda x: x["hash"] != 0)).alias("s")).select("key", "context", "s.*")
-    met = scratch.save(each.groupBy("key", "k", "hash").agg(F.count("*").alias("n")).where("n > 1"), "met")
-    good = join_heavy(each, met, ["key", "k", "hash"], "n", each.count()).select("key", "context").distinct()
-    wanted = scratch.save(maybe.drop(*parts).join(good, ["key", "context"], "left_semi"), "wanted")
-    lists = wanted.groupBy("place.id").agg(F.collect_list(F.struct("key", "context", "place.first", "place.before", "place.after")).alias("cuts"))  # of one text
+    wanted = scratch.save(join_heavy(kinds.select("key", "context", "place"), mixed, ["key"], "kinds", kinds.count()), "wanted")
+    lists = wanted.groupBy("place.id").agg(F.collect_list(F.struct("key", "context", (F.col("kinds") > limit).alias("far"), "place.first", "place.before", "place.after")).alias("cuts"))  # of one text
 
     def contexts(batches):
         for batch in batches:
@@ -313,19 +279,20 @@ def repeated_spans(texts: DataFrame, width: int, short: int, scratch: Scratch, l
                 data, cuts = batch.column("data")[k].as_py(), batch.column("cuts")[k].as_py()
                 for m in range(0, len(cuts), 4096):
                     some = cuts[m : m + 4096]
-                    columns = [[c["key"] for c in some], [c["context"] for c in some], [data[c["first"] - c["before"] : c["first"]] for c in some], [data[c["first"] : c["first"] + c["after"]] for c in some]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["key", "context", "before", "after"])
-
-    suffixes = texts.select("id", "data").join(lists, "id").mapInArrow(contexts, "key long, context long, before binary, after binary")
-    dealt = suffixes.repartitionByRange("after", "before").sortWithinPartitions(F.substring("after", 1, short), "key")
-    found = "key long, context long, far boolean, low array<int>, high array<int>, before binary, after binary"
-    compared = scratch.save(dealt.mapInArrow(lambda batches: compare_bucket(batches, width, short, limit), found), "compared")
-    near = compared.where("not far and size(low) > 0").select("key", "context", F.arrays_zip("low", "high").alias("spans"))
-    across = _across(compared.where("far").select("key", "context", "before", "after"), width, short, scratch)
+                    columns = [[c["key"] for c in some], [c["context"] for c in some], [c["far"] for c in some], [data[c["first"] - c["before"] : c["first"]] for c in some], [data[c["first"] : c["first"] + c["after"]] for c in some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], names=["key", "context", "far", "before", "after"])
+
+    suffixes = texts.select("id", "data").join(lists, "id").mapInArrow(contexts, "key long, context long, far boolean, before binary, after binary")
+    dealt = suffixes.where("not far").drop("far").withColumn("lead", F.substring("after", 1, short)).repartitionByRange("lead").sortWithinPartitions("lead", "key").drop("lead")
+    near = dealt.mapInArrow(lambda batches: compare_bucket(batches, width, short), "key long, context long, spans array<struct<low:int,high:int>>")
+    if not mixed.where(F.col("kinds") > limit).isEmpty():
+        near = near.unionByName(_across(scratch.save(suffixes.where("far").drop("far"), "far"), width, short, scratch))
     # a context that occurs several times is repeated whole, whatever else was found about it
     settled = kinds.where("times > 1").select("key", "context", "rows", F.lit(None).cast("array<struct<low:int,high:int>>").alias("spans"))
-    single = near.unionByName(across).join(kinds.where("times = 1").select("key", "context", "rows"), ["key", "context"]).select("key", "context", "rows", "spans")
+    single = near.join(kinds.where("times = 1").select("key", "context", "rows"), ["key", "context"]).select("key", "context", "rows", "spans")
     results = scratch.save(settled.unionByName(single), "results")
+    for name in ("kinds", "mixed", "wanted", "far", "lengths", "lengths-twice", "windows", "windows-again"):
+        scratch.drop(name)
     found = join_heavy(table.where("copies = 1"), results, ["key", "context"], "rows", table.count())
     whole = F.array(F.struct((-F.col("before")).alias("low"), (F.col("last") - F.col("first") + F.col("after")).alias("high")))
     spans = found.select("id", "first", F.explode(F.coalesce(F.col("spans").cast("array<struct<low:bigint,high:bigint>>"), whole)).alias("s"))
@@ -344,7 +311,7 @@ def _stay(data: bytes, whole: bool, spans: list[dict] | None) -> tuple[int, int,
     return int(gone.sum()), int((np.diff(gone) == 1).sum()), np.frombuffer(data, np.uint8)[gone[1:-1] == 0].tobytes()
 
 
-def cleaned(docs: DataFrame, scratch: Scratch, width: int = WIDTH, short: int = SHORT, digest: bool = False, limit: int = SUFFIXES) -> DataFrame:
+def cleaned(docs: DataFrame, scratch: Scratch, width: int = WIDTH, short: int = SHORT, digest: bool = False, limit: int = GROUP) -> DataFrame:
     """id, copies, n_bytes, n_removed, n_spans and kept (or, as ``digest``, its sha256) of each distinct text."""
     texts, name = distinct_texts(docs, scratch)
     by_text = repeated_spans(texts, width, short, scratch, limit).distinct().groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))  # of one text
@@ -360,17 +327,17 @@ def cleaned(docs: DataFrame, scratch: Scratch, width: int = WIDTH, short: int =
                 columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary()))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), *columns], names=["id", "copies", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    schema = f"id string, copies long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"
+    schema = f"id binary, copies long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"
     found = scratch.save(texts.join(by_text, "id", "left").select("id", "copies", "data", "spans").mapInArrow(cut, schema), "cleaned")
     docs.sparkSession.sql(f"DROP TABLE {name}")
-    for name in ("texts", "anchors", "kinds", "mixed", "maybe", "met", "wanted", "compared", "lengths", "lengths-twice", "windows", "windows-again", "results"):
+    for name in ("texts", "anchors", "results"):
         scratch.drop(name)
     return found
 
 
-def mark(docs: DataFrame, width: int = WIDTH, short: int = SHORT, columns: list[str] | None = None, digest: bool = False, limit: int = SUFFIXES) -> DataFrame:
+def mark(docs: DataFrame, width: int = WIDTH, short: int = SHORT, columns: list[str] | None = None, digest: bool = False, limit: int = GROUP) -> DataFrame:
     """row (the document's columns, or those named), n_bytes, n_removed, n_spans and kept (the bytes that stay, or, as ``digest``, their sha256)."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     found = cleaned(docs, scratch, width, short, digest, limit)
-    rows = docs.select(whole_row(docs if columns is None else docs.select(*columns)), F.md5(text_or_empty().cast("binary")).alias("id"))
+    rows = docs.select(whole_row(docs if columns is None else docs.select(*columns)), F.unhex(F.md5(text_or_empty().cast("binary"))).alias("id"))
     return join_heavy(rows, found, ["id"], "copies", docs.count()).select("row", "n_bytes", "n_removed", "n_spans", "kept")
