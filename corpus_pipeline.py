@@ -31,8 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep one document of each group: the one of the least doc_id, and of its rows the one whose text has the least hash."""
     kept = simhash.near_duplicates(docs).where("is_first").select(F.col("doc_id").alias("kept_id"), F.col("tie").alias("kept_tie")).distinct()
     rows = docs.select(whole_row(docs), F.col("doc_id").alias("id"), F.xxhash64(text_or_empty()).alias("tie"))
-    stay = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("tie") == F.col("kept_tie")), "left_semi")
-    return stay.dropDuplicates(["id", "tie"]).select("row.*")
+    one = rows.groupBy("id", "tie").agg(F.first("row").alias("row"))  # repeated rows meet within each task before any of them travels
+    return one.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("tie") == F.col("kept_tie")), "left_semi").select("row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
