@@ -93,8 +93,8 @@ def _crossing_height(a: str, b: str) -> Column:
     e, f = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     ux, uy, vx, vy = e("x2") - e("x1"), e("y2") - e("y1"), f("x2") - f("x1"), f("y2") - f("y1")
     d, wx, wy = ux * vy - uy * vx, f("x1") - e("x1"), f("y1") - e("y1")
-    t, u = (wx * vy - wy * vx) / d, (wx * uy - wy * ux) / d
-    return F.when((d != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1), e("y1") + t * uy)
+    t, u = F.try_divide(wx * vy - wy * vx, d), F.try_divide(wx * uy - wy * ux, d)  # parallel edges: NULL
+    return F.when((t > 0) & (t < 1) & (u > 0) & (u < 1), e("y1") + t * uy)
 
 
 def _boxes_meet(a: str, b: str, room: float = 0.0) -> Column:
@@ -105,13 +105,13 @@ def _boxes_meet(a: str, b: str, room: float = 0.0) -> Column:
 def _own_heights(sides: DataFrame, group: list[str], size: int) -> DataFrame:
     """Heights of the corners, and of the crossings with the sides of the cell (cx, cy)."""
     x = lambda k: (F.col("cx") + k) * size
-    at = lambda k: F.when((F.least("x1", "x2") < x(k)) & (F.greatest("x1", "x2") > x(k)), F.col("y1") + (x(k) - F.col("x1")) * (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
+    at = lambda k: F.when((F.least("x1", "x2") < x(k)) & (F.greatest("x1", "x2") > x(k)), F.col("y1") + F.try_divide((x(k) - F.col("x1")) * (F.col("y2") - F.col("y1")), F.col("x2") - F.col("x1")))
     return sides.select(*group, F.explode(F.array(F.col("y1"), at(0), at(1))).alias("y"))
 
 
 def _passing(sides: DataFrame, slabs: DataFrame, group: list[str]) -> DataFrame:
     """Where sides pass the middle of each slab (x)."""
-    x = F.col("x1") + (F.col("mid") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    x = F.col("x1") + F.try_divide((F.col("mid") - F.col("y1")) * (F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1"))
     return sides.join(slabs, group).where((F.col("y1") > F.col("mid")) != (F.col("y2") > F.col("mid"))).withColumn("x", x)
 
 
@@ -192,7 +192,7 @@ def _off(x: Column, y: Column, e: Column) -> Column:
     """Squared distance of a point from an edge."""
     ux, uy = e["x2"] - e["x1"], e["y2"] - e["y1"]
     size = ux * ux + uy * uy
-    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e["x1"]) * ux + (y - e["y1"]) * uy) / size))).otherwise(F.lit(0.0))
+    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((x - e["x1"]) * ux + (y - e["y1"]) * uy, size)))).otherwise(F.lit(0.0))
     dx, dy = x - e["x1"] - t * ux, y - e["y1"] - t * uy
     return dx * dx + dy * dy
 
@@ -219,7 +219,7 @@ def stretches(routes: DataFrame, shapes: DataFrame) -> DataFrame:
     def where_met(e: Column) -> Column:
         vx, vy, wx, wy = e["x2"] - e["x1"], e["y2"] - e["y1"], e["x1"] - x1, e["y1"] - y1
         d = ux * vy - uy * vx
-        t, u = (wx * vy - wy * vx) / d, (wx * uy - wy * ux) / d
+        t, u = F.try_divide(wx * vy - wy * vx, d), F.try_divide(wx * uy - wy * ux, d)
         on_line = F.abs(wx * uy - wy * ux) <= TOLERANCE * F.col("length")
         along = lambda x, y: ((x - x1) * ux + (y - y1) * uy) / (F.col("length") * F.col("length"))
         return F.when(d != 0, F.when((u >= 0) & (u <= 1), F.array(t))).when(on_line, F.array(along(e["x1"], e["y1"]), along(e["x2"], e["y2"])))
@@ -230,7 +230,7 @@ def stretches(routes: DataFrame, shapes: DataFrame) -> DataFrame:
     middle = (F.col("part.t0") + F.col("part.t1")) / 2
     parts = parts.withColumn("mx", x1 + middle * ux).withColumn("my", y1 + middle * uy)
     along = F.exists("outline", lambda e: _off(F.col("mx"), F.col("my"), e) <= TOLERANCE * TOLERANCE)
-    passed = lambda e: ((e["y1"] > F.col("my")) != (e["y2"] > F.col("my"))) & (e["x1"] + (F.col("my") - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]) > F.col("mx"))
+    passed = lambda e: ((e["y1"] > F.col("my")) != (e["y2"] > F.col("my"))) & (e["x1"] + F.try_divide((F.col("my") - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"]) > F.col("mx"))
     right = F.size(F.filter("outline", passed)) % 2 == 1
     place = lambda t: F.col("from") + F.col(f"part.{t}") * F.col("length")
     parts = parts.select(*keys, "layer", place("t0").alias("begin"), place("t1").alias("end"), along.alias("along"), right.alias("right"))
