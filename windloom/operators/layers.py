@@ -18,7 +18,7 @@ from windloom.sources import bindings
 
 #: Penalty of an interaction with an owner, and the share of a parcel's present value that routing pays.
 OWNER_PENALTY, VALUE_SHARE = 20.0, 1e-4
-#: Cells of the spatial join and of the raster, in metres, and the site's width.
+#: Cells of the spatial join and of the raster, in metres, and the width of the surface that is rasterised (test binding).
 CELL, SITE = 500, 20000
 
 
@@ -74,26 +74,32 @@ def within(x: Column, y: Column, reach: Column) -> Column:
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
-    """A row (col, row) for each cell that the bounding box of ring and clearance meets, within the site."""
+    """A row (col, row) for each cell that the bounding box of ring and clearance meets, wherever it lies."""
     low = lambda c: F.ceil((F.array_min(F.transform("ring", lambda p: p[c])) - F.col("buffer_m")) / CELL) - 1
     high = lambda c: F.floor((F.array_max(F.transform("ring", lambda p: p[c])) + F.col("buffer_m")) / CELL)
-    span = lambda c: F.explode(F.sequence(F.greatest(low(c), F.lit(0)), F.least(high(c), F.lit(SITE // CELL - 1))))
-    return rows.withColumn("col", span("x")).withColumn("row", span("y"))
+    return rows.withColumn("col", F.explode(F.sequence(low("x"), high("x")))).withColumn("row", F.explode(F.sequence(low("y"), high("y"))))
+
+
+def covering(points: DataFrame, layers: DataFrame) -> DataFrame:
+    """Points (project, turbine_id, x, y) and the layers that cover them, clearance and boundary included; met by cells, no other pairs."""
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    near = edges_of(points.withColumns({"col": cell("x"), "row": cell("y")}).join(cells_of(layers), ["project", "col", "row"]))
+    x, y = F.col("x"), F.col("y")
+    inside = F.bool_or(within(x, y, F.col("buffer_m"))) | (F.sum(crosses(x, y).cast("int")) % 2 == 1)
+    return near.groupBy("turbine_id", "layer").agg(inside.alias("inside")).where("inside").drop("inside")
 
 
 def hard_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turbines that a hard layer with its clearance covers, and the layers."""
-    hard = cells_of(polygons(spark, sf_dir).where("is_hard"))
-    t = bindings.turbines(spark, sf_dir).select("project", "turbine_id", "x", "y", F.floor(F.col("x") / CELL).alias("col"), F.floor(F.col("y") / CELL).alias("row"))
-    near = edges_of(t.join(hard, ["project", "col", "row"]))
-    x, y = F.col("x"), F.col("y")
-    covered = near.groupBy("turbine_id", "layer").agg((F.bool_or(within(x, y, F.col("buffer_m"))) | (F.sum(crosses(x, y).cast("int")) % 2 == 1)).alias("inside")).where("inside")
+    covered = covering(bindings.turbines(spark, sf_dir).select("project", "turbine_id", "x", "y"), polygons(spark, sf_dir).where("is_hard"))
     return covered.groupBy("turbine_id").agg(F.count("*").alias("n_layers"), F.array_join(F.array_sort(F.collect_list("layer")).cast("array<string>"), ",").alias("layers"))  # of one turbine
 
 
-def layer_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells that layers with their clearance touch in any point: blocked if one is hard, and the summed weight of the soft ones."""
-    cells = edges_of(cells_of(polygons(spark, sf_dir)))
+def raster(layers: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """Cells of each project's surface (project, west, south, east, north in metres) that layers with their clearance touch in any point: blocked if one is hard, and the summed weight of the soft ones."""
+    inside = lambda c, low, high: (F.col(c) * CELL < F.col(high)) & ((F.col(c) + 1) * CELL > F.col(low))
+    on = cells_of(layers).join(surfaces, "project")
+    cells = edges_of(on.where(inside("col", "west", "east") & inside("row", "south", "north")).drop("west", "south", "east", "north"))
     x1, y1, x2, y2, reach = (F.col(c) for c in ("x1", "y1", "x2", "y2", "buffer_m"))
     left, low = F.col("col") * CELL, F.col("row") * CELL
     corners = [(left, low), (left + CELL, low), (left, low + CELL), (left + CELL, low + CELL)]
@@ -106,6 +112,13 @@ def layer_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return touched.groupBy("project", "row", "col").agg(F.bool_or("is_hard").alias("blocked"), F.coalesce(F.sum("weight"), F.lit(0)).alias("soft_weight"), F.count("*").alias("n_layers"))
 
 
+def layer_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raster of the polygon layers."""
+    layers = polygons(spark, sf_dir)
+    site = layers.select("project").distinct().select("project", F.lit(0).alias("west"), F.lit(0).alias("south"), F.lit(SITE).alias("east"), F.lit(SITE).alias("north"))
+    return raster(layers, site)
+
+
 def land_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcel layers as routing sees them: unavailable land is hard, other soft land costs more by its owner and its price."""
     k = F.col("parcel_id")
@@ -148,11 +161,7 @@ def pole_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parcel_poles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turbine poles on each soft layer's land and its owner, if known; a pole may stand on several."""
-    soft = cells_of(polygons(spark, sf_dir).where("not is_hard").withColumn("buffer_m", F.lit(0)))
-    t = bindings.turbines(spark, sf_dir).select("project", "turbine_id", "x", "y", F.floor(F.col("x") / CELL).alias("col"), F.floor(F.col("y") / CELL).alias("row"))
-    x, y = F.col("x"), F.col("y")
-    inside = (F.bool_or(within(x, y, F.lit(0))) | (F.sum(crosses(x, y).cast("int")) % 2 == 1)).alias("inside")
-    on = edges_of(t.join(soft, ["project", "col", "row"])).groupBy("turbine_id", "layer").agg(inside).where("inside")
+    on = covering(bindings.turbines(spark, sf_dir).select("project", "turbine_id", "x", "y"), polygons(spark, sf_dir).where("not is_hard").withColumn("buffer_m", F.lit(0)))
     owner = F.when(F.col("layer") % 5 != 0, F.concat(pick(["A", "B", "C"], F.col("layer") % 3), (F.col("layer") % 40).cast("string")))
     return on.groupBy("layer", owner.alias("owner")).agg(F.count("*").alias("n_poles"))
 

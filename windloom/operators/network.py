@@ -93,34 +93,40 @@ def path_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ancestors(tree, key).join(edge, [*key, "above"]).groupBy(*key, "node").agg(F.sum("change").alias("change_micropct"), F.max("depth").alias("depth"))
 
 
-#: Cell sizes in metres of the search for the nearest place; the last one's neighbourhood is the whole site.
-RINGS = (500, 2000, 8000, 32000)
+def nearest(points: DataFrame, places: DataFrame, step: int = 8) -> DataFrame:
+    """The nearest place (project, place_id, px, py) of each point (project, point_id, x, y) by squared distance, ties to the lower id; NULL if the project has none.
 
-
-def nearest(points: DataFrame, places: DataFrame) -> DataFrame:
-    """The nearest place (project, place_id, px, py) of each point (project, point_id, x, y) by squared distance, ties to the lower id.
-
-    Points look into the nine cells around them, small cells first. A place within one cell's size can't be beaten from
-    outside of these, so only points without such a place go on to larger cells.
+    Points look into the nine cells around them. A place within one cell's size can't be beaten from outside of these, so only
+    points without such a place go on to cells ``step`` times as large, the last of which reach over everything. The first
+    size follows from the places' density: twice the side of the square that holds one of them.
     """
-    out, left = None, points
-    for size in RINGS:
+    box = lambda rows, x, y: rows.groupBy("project").agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.count("*").alias("n"))
+    side = lambda a, b: (F.col(b) - F.col(a)).cast("double")
+    first = box(places, "px", "py").agg(F.avg(F.sqrt(side("x0", "x1") * side("y0", "y1") / F.col("n")))).first()[0]
+    ends = box(places, "px", "py").drop("n").unionByName(box(points, "x", "y").drop("n")).groupBy("project").agg(*[f(c).alias(c) for c, f in (("x0", F.min), ("x1", F.max), ("y0", F.min), ("y1", F.max))])
+    reach = ends.agg(F.max(F.greatest(side("x0", "x1"), side("y0", "y1")))).first()[0] or 1.0
+    size, out = max(2 * (first or reach), 1.0), None
+    left = points.join(places.select("project").distinct(), "project", "left_semi")
+    while True:
+        last = size > reach
         cell = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
         around = F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
         near = left.select("*", around.alias("c")).select("*", "c.cx", "c.cy").drop("c").join(places.withColumns({"cx": cell("px"), "cy": cell("py")}), ["project", "cx", "cy"])
         d = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
         best = near.groupBy("point_id").agg(F.min(F.struct(d.alias("d"), "place_id")).alias("b"))
-        found = (best if size == RINGS[-1] else best.where(F.col("b.d") <= size * size)).select("point_id", "b.place_id", "b.d")
+        found = (best if last else best.where(F.col("b.d") <= size * size)).select("point_id", "b.place_id", "b.d").persist(StorageLevel.MEMORY_AND_DISK)
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select("point_id"), "point_id", "left_anti")
-    return out
+        if last:
+            break
+        left, size = left.join(found.select("point_id"), "point_id", "left_anti"), size * step
+    return points.select("point_id").join(out, "point_id", "left")
 
 
 def nearest_substation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of a nation's substations to each turbine by squared distance, ties to the lower id."""
     s = bindings.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("project"), F.col("s_suppkey").alias("place_id"), (F.col("s_suppkey") * 6151 % 20000).alias("px"), (F.col("s_suppkey") * 3079 % 20000).alias("py"))
     t = bindings.turbines(spark, sf_dir).select("project", F.col("turbine_id").alias("point_id"), "x", "y")
-    return nearest(t, s).select(F.col("point_id").alias("turbine_id"), F.col("place_id").alias("substation_id"), F.col("d").alias("distance_sq"))
+    return nearest(t, s).where("place_id is not null").select(F.col("point_id").alias("turbine_id"), F.col("place_id").alias("substation_id"), F.col("d").alias("distance_sq"))
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
