@@ -58,16 +58,20 @@ def edges_of(rows: DataFrame) -> DataFrame:
     return rows.withColumn("e", F.explode(edge)).select(*[c for c in rows.columns if c != "ring"], "e.*")
 
 
-def crosses(x: Column, y: Column) -> Column:
-    """Whether a ray from (x, y) to the right meets the edge."""
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+def _ends(edge: Column | None) -> list[Column]:
+    return [F.col(c) if edge is None else edge[c] for c in ("x1", "y1", "x2", "y2")]
+
+
+def crosses(x: Column, y: Column, edge: Column | None = None) -> Column:
+    """Whether a ray from (x, y) to the right meets the edge (a struct, or else the row's)."""
+    x1, y1, x2, y2 = _ends(edge)
     side = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
     return ((y1 > y) != (y2 > y)) & F.when(y2 > y1, side > 0).otherwise(side < 0)
 
 
-def within(x: Column, y: Column, reach: Column) -> Column:
-    """Whether (x, y) is within ``reach`` of the edge."""
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+def within(x: Column, y: Column, reach: Column, edge: Column | None = None) -> Column:
+    """Whether (x, y) is within ``reach`` of the edge (a struct, or else the row's)."""
+    x1, y1, x2, y2 = _ends(edge)
     dot, size = (x - x1) * (x2 - x1) + (y - y1) * (y2 - y1), (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)
     side = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
     return F.when(dot <= 0, (x - x1) * (x - x1) + (y - y1) * (y - y1) <= reach * reach).when(dot >= size, (x - x2) * (x - x2) + (y - y2) * (y - y2) <= reach * reach).otherwise(side * side <= reach * reach * size)
@@ -83,10 +87,12 @@ def cells_of(rows: DataFrame) -> DataFrame:
 def covering(points: DataFrame, layers: DataFrame) -> DataFrame:
     """Points (project, turbine_id, x, y) and the layers that cover them, clearance and boundary included; met by cells, no other pairs."""
     cell = lambda c: F.floor(F.col(c) / CELL)
-    near = edges_of(points.withColumns({"col": cell("x"), "row": cell("y")}).join(cells_of(layers), ["project", "col", "row"]))
-    x, y = F.col("x"), F.col("y")
-    inside = F.bool_or(within(x, y, F.col("buffer_m"))) | (F.sum(crosses(x, y).cast("int")) % 2 == 1)
-    return near.groupBy("turbine_id", "layer").agg(inside.alias("inside")).where("inside").drop("inside")
+    after = lambda i: F.get("ring", F.pmod(i + 1, F.size("ring")))
+    outline = F.transform("ring", lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), after(i)["x"].alias("x2"), after(i)["y"].alias("y2")))
+    x, y, reach = F.col("x"), F.col("y"), F.col("buffer_m")
+    near = points.withColumns({"col": cell("x"), "row": cell("y")}).join(cells_of(layers.select("project", "layer", "ring", "buffer_m")).withColumn("outline", outline), ["project", "col", "row"])
+    inside = F.exists("outline", lambda e: within(x, y, reach, e)) | (F.size(F.filter("outline", lambda e: crosses(x, y, e))) % 2 == 1)
+    return near.where(inside).select("turbine_id", "layer")  # a point lies in one cell
 
 
 def hard_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:

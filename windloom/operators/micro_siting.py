@@ -6,6 +6,8 @@ network's layout is accepted as a whole, by aggregates, only if it got better.
 
 from __future__ import annotations
 
+from math import hypot
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -49,14 +51,14 @@ def candidates(poles: DataFrame, radius: int = RADIUS, spacing: int = SPACING) -
 
 def standing_on(places: DataFrame, parcels: DataFrame, owners: DataFrame, hard: DataFrame) -> DataFrame:
     """Places with the parcels they stand on (project, layer, ring, unavailable), the known owners (layer, owner), and whether a pole may stand there."""
-    named = places.withColumn("turbine_id", F.struct("project", "feeder", "pole_id", "at"))
-    points = named.select("project", "turbine_id", "x", "y")
-    on = covering(points, parcels.select("project", "layer", "ring", F.lit(0).alias("buffer_m"))).join(parcels.select("layer", "unavailable"), "layer").join(owners, "layer", "left")
-    land = on.groupBy("turbine_id").agg(F.array_sort(F.collect_set("layer")).alias("parcels"), F.array_sort(F.collect_set("owner")).alias("owners"), F.bool_or("unavailable").alias("unavailable"))  # of one place
-    shut = covering(points, hard).select("turbine_id").distinct().withColumn("blocked", F.lit(True))
-    none = lambda c: F.coalesce(F.size(c), F.lit(0)).alias(f"n_{c}")
-    found = named.join(land, "turbine_id", "left").join(shut, "turbine_id", "left")
-    return found.select(*places.columns, "parcels", "owners", none("parcels"), none("owners"), (~(F.coalesce("blocked", F.lit(False)) | F.coalesce("unavailable", F.lit(False)))).alias("free"))
+    key = ["project", "feeder", "pole_id", "at"]
+    points = places.select("project", F.struct(*key).alias("turbine_id"), "x", "y")
+    both = parcels.select("project", "layer", "ring", F.lit(0).alias("buffer_m")).unionByName(hard.select("project", "layer", "ring", F.col("buffer_m").cast("int")))
+    facts = parcels.select("layer", "unavailable", F.col("layer").alias("parcel")).join(owners, "layer", "left").unionByName(hard.select("layer", F.lit(True).alias("unavailable")), allowMissingColumns=True)
+    land = covering(points, both).join(facts, "layer").groupBy(*[F.col(f"turbine_id.{c}").alias(c) for c in key])
+    land = land.agg(F.array_sort(F.collect_set("parcel")).alias("parcels"), F.array_sort(F.collect_set("owner")).alias("owners"), F.bool_or("unavailable").alias("shut"))  # of one place
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(f"n_{c}")
+    return places.join(land, key, "left").select(*places.columns, "parcels", "owners", count("parcels"), count("owners"), (~F.coalesce("shut", F.lit(False))).alias("free"))
 
 
 def descend(poles: list[np.ndarray], start: list[int], passes: int = PASSES, improvement: float = IMPROVEMENT, target: float = TARGET_SPAN, shortest: float = MIN_SPAN, longest: float = MAX_SPAN) -> list[int]:
@@ -65,23 +67,21 @@ def descend(poles: list[np.ndarray], start: list[int], passes: int = PASSES, imp
     Pole after pole takes the best candidate between its neighbours: fewer owners, then fewer parcels, then spans nearer to the
     target by more than ``improvement``, then the smaller move. Candidates belong to the original place, so no pole drifts away.
     """
-    taken = list(start)
+    places, taken = [rows.tolist() for rows in poles], list(start)
     for _ in range(passes):
         moved = False
-        for k in range(1, len(poles) - 1):
-            rows = poles[k]
-            if len(rows) < 2:
+        for k in range(1, len(places) - 1):
+            if len(places[k]) < 2:
                 continue
-            before, after = poles[k - 1][taken[k - 1]], poles[k + 1][taken[k + 1]]
-            spans = [np.hypot(rows[:, 1] - p[1], rows[:, 2] - p[2]) for p in (before, after)]
-            quality, away = sum(np.abs(s - target) for s in spans), np.abs(rows[:, 0] - rows[start[k], 0])
-            good = (rows[:, 5] > 0) & (rows[:, 0] > before[0]) & (rows[:, 0] < after[0]) & np.logical_and.reduce([(s >= shortest) & (s <= longest) for s in spans])
+            before, after, original = places[k - 1][taken[k - 1]], places[k + 1][taken[k + 1]], places[k][start[k]][0]
+            spans = [(hypot(x - before[1], y - before[2]), hypot(x - after[1], y - after[2])) for _, x, y, *_ in places[k]]
+            worth = [(owners, parcels, abs(u - target) + abs(v - target), abs(at - original)) for (at, _, _, owners, parcels, _), (u, v) in zip(places[k], spans)]
             best = taken[k]
-            for c in np.flatnonzero(good):
-                land, held = tuple(rows[c, 3:5]), tuple(rows[best, 3:5])
-                near = quality[c] < quality[best] - improvement or (abs(quality[c] - quality[best]) <= improvement and away[c] < away[best])
-                if land < held or (land == held and near):
-                    best = int(c)
+            for c, (at, _, _, _, _, free) in enumerate(places[k]):
+                if free and before[0] < at < after[0] and all(shortest <= s <= longest for s in spans[c]):
+                    gain, away = worth[best][2] - worth[c][2], worth[best][3] - worth[c][3]
+                    if worth[c][:2] < worth[best][:2] or (worth[c][:2] == worth[best][:2] and (gain > improvement or (abs(gain) <= improvement and away > 0))):
+                        best = c
             moved |= best != taken[k]
             taken[k] = best
         if not moved:
@@ -92,11 +92,12 @@ def descend(poles: list[np.ndarray], start: list[int], passes: int = PASSES, imp
 def _move(route: pd.DataFrame) -> pd.DataFrame:
     """Chosen and original place of each pole of one route."""
     route = route.sort_values(["original", "pole_id", "at"])
-    groups = [g for _, g in route.groupby(["original", "pole_id"], sort=False)]
-    rows = [g[["at", "x", "y", "n_owners", "n_parcels", "free"]].to_numpy(float) for g in groups]
-    start = [int(np.flatnonzero((g["at"] == g["original"]).to_numpy())[0]) for g in groups]
-    taken = descend(rows, start)
-    return pd.DataFrame([(g["project"].iloc[0], g["feeder"].iloc[0], g["pole_id"].iloc[0], g["at"].iloc[t]) for g, t in zip(groups, taken)], columns=["project", "feeder", "pole_id", "chosen"])
+    names, rows = route["pole_id"].to_numpy(), route[["at", "x", "y", "n_owners", "n_parcels", "free"]].to_numpy(float)
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    ends = np.append(first[1:], len(rows))
+    original = route["original"].to_numpy()
+    taken = descend([rows[a:z] for a, z in zip(first, ends)], [int(np.flatnonzero(rows[a:z, 0] == original[a])[0]) for a, z in zip(first, ends)])
+    return pd.DataFrame({"project": route["project"].iloc[0], "feeder": route["feeder"].iloc[0], "pole_id": names[first], "chosen": rows[first + np.array(taken), 0].astype(np.int64)})
 
 
 def _objective(layout: DataFrame) -> DataFrame:
