@@ -817,3 +817,30 @@ def test_pipeline_drops_what_its_models_reject(spark):
         part = np.array([*ids[r.doc_id], 0], "<u4")[r.start : r.start + r.length]
         assert len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32
     check_packing(rows, 2048)
+
+
+LONG = "A long paragraph with many words, which says something. " * 6
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div role="main"><p>Short one.</p><p>Two.</p></div>', "Short one. Two."),
+        ('<main id="search-page"><p>Hello there.</p></main>', "Hello there."),
+        ("<body><nav><a href=x>Home</a></nav><ul><li>First thing</li><li>Second thing</li></ul></body>", "First thing Second thing"),
+        ("<body><p>Short.</p><p>Also short</p></body>", "Short. Also short"),
+    ],
+)
+def test_main_parts_by_role_and_pages_that_mark_none(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_the_cut_decides_where_classes_do_not():
+    """A line of links between two long paragraphs of one parent leans to boilerplate alone, and is content by its neighbours."""
+    page = f"<body><div><p>{LONG}</p><p><a href=x>See the other part</a></p><p>{LONG}</p></div><div><a href=a>Home</a> <a href=b>News</a></div></body>"
+    blocks = html_extract.blocks_of(page)
+    margins = [html_extract.margin(b, False) for b in blocks]
+    labels = html_extract.minimum_cut(margins, html_extract.edges_of(blocks))
+    assert [v > 0 for v in margins] == [True, False, True, False]
+    assert labels == [True, True, True, False]
+    assert html_extract.main_text(page) == " ".join([LONG.strip(), "See the other part", LONG.strip()])

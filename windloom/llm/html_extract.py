@@ -73,7 +73,9 @@ def _frame_of(name: str, attributes: str, parent: tuple, number: int) -> tuple:
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
-        elif key in ("class", "id", "role"):
+        elif key == "role" and value == "main":
+            region, main = number, True
+        elif key in ("class", "id", "role") and name != "main":  # a page's one main element is that by its tag
             for token in value.split():
                 words = _WORDS.findall(token)
                 if not words or words[0] in _STATES:
@@ -199,10 +201,13 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def margin(b: Block) -> float:
-    """Above 0: content, below: boilerplate. Length and sentence marks of the whole block count, ever less as they grow."""
+def margin(b: Block, marked: bool = True) -> float:
+    """Above 0: content, below: boilerplate. Length and sentence marks of the whole block count, ever less as they grow.
+
+    On a page that marks no main part, what stands outside of boilerplate may be short: its links and its neighbours tell more.
+    """
     n, stops = len(b.text), sum(map(b.text.count, _STOPS))
-    value = -0.6 + 2.4 * n / (n + 300) + 1.2 * stops / (stops + 4) - 3.0 * min(1.0, b.linked / n)
+    value = (-0.6 if marked else 0.2) + 2.4 * n / (n + 300) + 1.2 * stops / (stops + 4) - 3.0 * min(1.0, b.linked / n)
     if b.heading:
         value += 0.8
     if b.main:
@@ -282,7 +287,8 @@ def _source_side(value: dict[int, float], near: dict[int, dict[int, float]]) ->
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    keep = minimum_cut([margin(b) for b in blocks], edges_of(blocks))
+    marked = any(b.main for b in blocks)
+    keep = minimum_cut([margin(b, marked) for b in blocks], edges_of(blocks))
     return " ".join(b.text for b, k in zip(blocks, keep) if k)
 
 
