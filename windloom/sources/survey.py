@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import zipfile
 from collections import Counter
 from xml.etree import ElementTree
@@ -19,19 +20,20 @@ OTHERS = ("Track", "MultiTrack", "Model", "LinearRing")
 MAX_BYTES = 64 << 20
 
 
-def _local(tag: str) -> str:
+def local_name(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
 def coordinates(text: str | None) -> list[tuple[float, float]]:
-    """White-space separated lon,lat[,height] tuples; malformed ones are dropped."""
+    """White-space separated lon,lat[,height] tuples; malformed and non-finite ones are dropped."""
     out = []
     for part in (text or "").split():
         try:
             lon, lat = (float(x) for x in part.split(",")[:2])
         except ValueError:
             continue
-        out.append((lon, lat))
+        if math.isfinite(lon) and math.isfinite(lat):
+            out.append((lon, lat))
     return out
 
 
@@ -39,12 +41,41 @@ def extended_data(node) -> dict[str, str]:
     """Names and values of a placemark's Data and SimpleData elements."""
     out = {}
     for d in node.iter():
-        if _local(d.tag) in ("Data", "SimpleData") and d.get("name"):
-            value = next((c.text for c in d if _local(c.tag) == "value"), None) if _local(d.tag) == "Data" else d.text
+        if local_name(d.tag) in ("Data", "SimpleData") and d.get("name"):
+            value = next((c.text for c in d if local_name(c.tag) == "value"), None) if local_name(d.tag) == "Data" else d.text
             out[d.get("name")] = (value or "").strip()
     return out
 
 
+def name_of(node) -> str:
+    return next((c.text or "" for c in node if local_name(c.tag) == "name"), "").strip()
+
+
+def _ring_text(geometry) -> str | None:
+    """The coordinates of a geometry; of a polygon those of its outer boundary, wherever that stands."""
+    outer = next((c for c in geometry.iter() if local_name(c.tag) == "outerBoundaryIs"), geometry) if local_name(geometry.tag) == "Polygon" else geometry
+    return next((c.text for c in outer.iter() if local_name(c.tag) == "coordinates"), None)
+
+
+def placemark(node) -> tuple[list[tuple], list[str]]:
+    """(name, geometry type, vertices, properties) of each geometry of a placemark, and its faults."""
+    out, faults, name, properties = [], [], name_of(node), extended_data(node)
+    rings = {id(r) for p in node.iter() if local_name(p.tag) == "Polygon" for r in p.iter()}
+    for g in node.iter():
+        what = local_name(g.tag)
+        if what in OTHERS and id(g) not in rings:
+            faults.append(f"SKIPPED_{what}")
+        if what in NEEDED:
+            points = coordinates(_ring_text(g))
+            if what == "Polygon" and points and points[0] != points[-1]:
+                points.append(points[0])
+            if len(points) >= NEEDED[what]:
+                out.append((name, what, points, properties))
+            else:
+                faults.append(f"TOO_FEW_VERTICES_{what}")
+    return out, faults
+
+
 def document(content: bytes) -> tuple[list[tuple], Counter]:
     """(name, folder path, geometry type, vertices, properties) in document order, and the faults with their numbers.
 
@@ -73,24 +104,13 @@ def document(content: bytes) -> tuple[list[tuple], Counter]:
     out: list[tuple] = []
 
     def walk(node, folders: tuple[str, ...]) -> None:
-        kind = _local(node.tag)
-        name = next((c.text or "" for c in node if _local(c.tag) == "name"), "").strip()
+        kind = local_name(node.tag)
         if kind == "Placemark":
-            properties = extended_data(node)
-            rings = {id(r) for p in node.iter() if _local(p.tag) == "Polygon" for r in p.iter()}
-            for g in node.iter():
-                what = _local(g.tag)
-                if what in OTHERS and id(g) not in rings:
-                    faults[f"SKIPPED_{what}"] += 1
-                if what in NEEDED:
-                    points = coordinates(next((c.text for c in g.iter() if _local(c.tag) == "coordinates"), None))
-                    if what == "Polygon" and points and points[0] != points[-1]:
-                        points.append(points[0])
-                    if len(points) >= NEEDED[what]:
-                        out.append((name, " / ".join(folders), what, points, properties))
-                    else:
-                        faults[f"TOO_FEW_VERTICES_{what}"] += 1
+            rows, left = placemark(node)
+            out.extend((name, " / ".join(folders), *rest) for name, *rest in rows)
+            faults.update(left)
             return
+        name = name_of(node)
         below = (*folders, name) if kind == "Folder" and name else folders
         for c in node:
             walk(c, below)
