@@ -4,72 +4,11 @@ import itertools
 
 import numpy as np
 
-from windloom.operators import grouping, loadflow, routing, survey_rules
+from windloom.operators import grouping, loadflow, survey_rules
 
 SF = "/root/testdata/sf0.001"
 
 
-def cheapest(cost, start, goal, box):
-    """Bellman-Ford over the same steps."""
-    cells = [(r, c) for r in range(box[0], box[1] + 1) for c in range(box[2], box[3] + 1)]
-    at = lambda c: cost.get(c, 1.0)
-    best = {c: np.inf for c in cells} | {start: 0.0}
-    for _ in cells:
-        for r, c in cells:
-            for dr, dc in itertools.product((-1, 0, 1), repeat=2):
-                to = (r + dr, c + dc)
-                if to in best and (dr or dc) and at(to) < np.inf and not (dr and dc and (at((r + dr, c)) == np.inf or at((r, c + dc)) == np.inf)):
-                    best[to] = min(best[to], best[(r, c)] + routing.CELL * (2**0.5 if dr and dc else 1.0) * at(to))
-    return best[goal]
-
-
-def test_least_cost_path_equals_relaxation():
-    rng = np.random.default_rng(3)
-    box = (0, 6, 0, 6)
-    for _ in range(15):
-        cost = {(int(r), int(c)): float(v) for r, c, v in zip(rng.integers(0, 7, 25), rng.integers(0, 7, 25), rng.choice([np.inf, 21.0, 41.0], 25))}
-        start, goal = (0, 0), (6, 6)
-        cost.pop(start, None), cost.pop(goal, None)
-        got, want = routing.least_cost_path(cost, start, goal, box), cheapest(cost, start, goal, box)
-        assert (got is None and want == np.inf) or abs(got[0] - want) < 1e-6
-
-
-def test_path_of_one_cell_and_walled_in():
-    assert routing.least_cost_path({}, (2, 2), (2, 2), (0, 4, 0, 4)) == (0.0, [(2, 2)])
-    wall = {(r, 2): np.inf for r in range(5)}
-    assert routing.least_cost_path(wall, (2, 0), (2, 4), (0, 4, 0, 4)) is None
-
-
-def test_touched_cells():
-    assert routing.touched((0, 0), (0, 2)) == [(0, 0), (0, 1), (0, 2)]
-    assert set(routing.touched((0, 0), (1, 1))) == {(0, 0), (0, 1), (1, 0), (1, 1)}  # both cells at the corner count
-
-
-def test_shortcuts_keep_clear_of_blocked_cells():
-    cost = {(1, 1): np.inf}
-    path = [(0, 0), (0, 1), (0, 2), (1, 2), (2, 2)]
-    short = routing.shorten(path, cost)
-    assert short[0] == path[0] and short[-1] == path[-1] and len(short) == 3
-    assert routing.shorten(path, {}) == [(0, 0), (2, 2)]
-
-
-def test_every_edge_is_routed_or_named(spark):
-    rows = routing.astar_routes(spark, SF).collect()
-    assert len(rows) == 150 and {r.state for r in rows} <= {"ROUTED", "NO_PATH"}
-    refined = {(r.project, r.feeder, r.node): r for r in routing.route_refine(spark, SF).collect()}
-    assert all(refined[r.project, r.feeder, r.node].n_vertices <= r.n_vertices for r in rows)
-
-
-def test_routes_detour_over_the_whole_site(spark, monkeypatch):
-    edges = "project int, feeder int, node int, x1 int, y1 int, x2 int, y2 int"
-    monkeypatch.setattr(routing, "tree_edges", lambda *_: spark.createDataFrame([(0, 3, 1, 5250, 5250, 7250, 5250), (1, 3, 1, 5250, 5250, 7250, 5250), (2, 3, 1, 5250, 5250, 7250, 5250)], edges))
-    wall = [(0, r, 12, True, 0.0) for r in range(39)] + [(1, r, 12, False, 9000.0) for r in range(39)]  # open in row 39 only
-    monkeypatch.setattr(routing, "raster_constraints", lambda *_: spark.createDataFrame(wall, "project int, row long, col long, blocked boolean, added double"))
-    got = {r.project: r for r in routing.astar_routes(spark, SF).collect()}
-    want = [routing.least_cost_path({(r, 12): dear for r in range(39)}, (10, 10), (10, 14), (0, 39, 0, 39))[0] for dear in (np.inf, 9001.0, 1.0)]
-    assert want[1] < 9001.0 * routing.CELL and [(got[p].state, got[p].cost) for p in range(3)] == [("ROUTED", round(w, 3)) for w in want]
-
-
 def test_load_flow_balances_power():
     parent, kw, km = np.array([-1, 0, 0, 1]), np.array([3000.0, 2500.0, 4000.0, 2000.0]), np.array([5.0, 2.0, 3.0, 1.0])
     cable = loadflow.smallest(parent, kw)

@@ -1,12 +1,7 @@
-"""Routes over a cost raster: constraint layers, least-cost paths, refinement, corridors and crossings."""
+"""Constraint discs, tree edges as lines, corridors along them and the roads they cross."""
 
 from __future__ import annotations
 
-import heapq
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +11,6 @@ from windloom.sources import bindings
 
 #: Width of a cell and extent of a site, in metres.
 CELL, EXTENT = 500, 20000
-#: Feeders whose edges one task's group holds.
-FEEDERS = 10
 #: Fixed value: weight that a soft layer adds to a cell.
 SOFT_WEIGHT = 20.0
 ROOT = 10000
@@ -45,106 +38,6 @@ def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.join(parent, [*key, "parent"], "left").select(*key, "node", F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce("x2", F.lit(ROOT)).alias("x2"), F.coalesce("y2", F.lit(ROOT)).alias("y2"))
 
 
-def least_cost_path(cost: dict[tuple[int, int], float], start: tuple[int, int], goal: tuple[int, int], box: tuple[int, int, int, int]) -> tuple[float, list[tuple[int, int]]] | None:
-    """Cheapest path over eight neighbours: a step costs its length times the entered cell's cost, corners of blocked cells aren't cut.
-
-    ``cost`` holds cells unlike 1; infinite ones are blocked. Equal estimates leave in order of arrival.
-    """
-    at = lambda c: cost.get(c, 1.0)
-    left = lambda c: CELL * math.hypot(c[0] - goal[0], c[1] - goal[1])
-    best, came, heap, n = {start: 0.0}, {}, [(left(start), 0, start)], 0
-    done = set()
-    while heap:
-        _, _, here = heapq.heappop(heap)
-        if here == goal:
-            path = [here]
-            while path[-1] in came:
-                path.append(came[path[-1]])
-            return best[goal], path[::-1]
-        if here in done:
-            continue
-        done.add(here)
-        r, c = here
-        for dr in (-1, 0, 1):
-            for dc in (-1, 0, 1):
-                to = (r + dr, c + dc)
-                if to == here or not (box[0] <= to[0] <= box[1] and box[2] <= to[1] <= box[3]) or at(to) == np.inf:
-                    continue
-                if dr and dc and (at((r + dr, c)) == np.inf or at((r, c + dc)) == np.inf):
-                    continue
-                spent = best[here] + CELL * (2**0.5 if dr and dc else 1.0) * at(to)
-                if spent < best.get(to, np.inf):
-                    n += 1
-                    best[to], came[to] = spent, here
-                    heapq.heappush(heap, (spent + left(to), n, to))
-    return None
-
-
-def touched(a: tuple[int, int], b: tuple[int, int]) -> list[tuple[int, int]]:
-    """Cells that the line between two cell centres meets, corners included."""
-    (r1, c1), (r2, c2) = a, b
-    out = []
-    for r in range(min(r1, r2), max(r1, r2) + 1):
-        for c in range(min(c1, c2), max(c1, c2) + 1):
-            # the line meets the cell's square unless all four corners lie strictly on one side
-            sides = [(c2 - c1) * (2 * r + i - 2 * r1) - (r2 - r1) * (2 * c + j - 2 * c1) for i in (-1, 1) for j in (-1, 1)]
-            if min(sides) <= 0 <= max(sides):
-                out.append((r, c))
-    return out
-
-
-def shorten(path: list[tuple[int, int]], cost: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
-    """Straight shortcuts to the farthest cell seen over cells that all cost alike and are open."""
-    out, i = [path[0]], 0
-    while i < len(path) - 1:
-        j = len(path) - 1
-        while j > i + 1 and any(cost.get(c, 1.0) > min(cost.get(p, 1.0) for p in path[i : j + 1]) for c in touched(path[i], path[j])):
-            j -= 1
-        out.append(path[j])
-        i = j
-    return out
-
-
-def _routes(spark: SparkSession, sf_dir: str, refine: bool) -> DataFrame:
-    """Each route is searched over the whole site. A group is FEEDERS feeders with their project's raster: edges spread evenly,
-    whatever the size of a project."""
-    cell, share = lambda c: F.floor(F.col(c) / CELL), F.floor(F.col("feeder") / FEEDERS).alias("share")
-    edges = tree_edges(spark, sf_dir).select("*", share, cell("y1").alias("r1"), cell("x1").alias("c1"), cell("y2").alias("r2"), cell("x2").alias("c2"))
-    raster = edges.select("project", "share").distinct().join(raster_constraints(spark, sf_dir), "project")
-    raster = raster.select(*[F.col(c).alias(f"in_{c}") for c in ("project", "share")], "row", "col", "blocked", "added")
-    site = (0, EXTENT // CELL - 1) * 2
-
-    def solve(edges, raster):
-        rows, cells = [], {} if raster.empty else {(int(c.row), int(c.col)): np.inf if c.blocked else 1.0 + c.added for c in raster.itertuples(index=False)}
-        for e in edges.itertuples(index=False):
-            cost, start, goal = dict(cells), (int(e.r1), int(e.c1)), (int(e.r2), int(e.c2))
-            for end in (start, goal):  # an asset stands where it stands
-                if cost.get(end) == np.inf:
-                    cost[end] = 1.0
-            got = least_cost_path(cost, start, goal, site)
-            if got is None:
-                rows.append((e.project, e.feeder, e.node, "NO_PATH", None, 0, None, None))
-                continue
-            path = shorten(got[1], cost) if refine else got[1]
-            xy = [(float(e.x1), float(e.y1))] + [(c * CELL + CELL / 2, r * CELL + CELL / 2) for r, c in path[1:-1]] + [(float(e.x2), float(e.y2))]
-            length = sum(float(np.hypot(b[0] - a[0], b[1] - a[1])) for a, b in zip(xy, xy[1:]))
-            rows.append((e.project, e.feeder, e.node, "ROUTED", round(got[0], 3), len(xy), round(length, 3), [c for p in xy for c in p]))
-        return pd.DataFrame(rows, columns=["project", "feeder", "node", "state", "cost", "n_vertices", "length_m", "xy"])
-
-    met = edges.groupBy("project", "share").cogroup(raster.groupBy("in_project", "in_share"))
-    return met.applyInPandas(solve, "project int, feeder int, node int, state string, cost double, n_vertices int, length_m double, xy array<double>")
-
-
-def astar_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cheapest route of each tree edge with its traversal cost and its length from end to end."""
-    return _routes(spark, sf_dir, False).drop("xy")
-
-
-def route_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes after shortcuts that raise no cell's cost."""
-    return _routes(spark, sf_dir, True).drop("xy")
-
-
 def legs_in_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part of each tree edge inside each layer it meets, as a range of its length between 0 and 1; met by cells of 2,000 m, no other pairs."""
     block = 2000
@@ -187,4 +80,4 @@ def road_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("project", "feeder").agg(F.count("*").alias("n_crossings"), F.count_distinct("road").alias("n_roads"))
 
 
-QUERIES = (raster_constraints, astar_routes, route_refine, row_overlaps, road_crossings)
+QUERIES = (raster_constraints, row_overlaps, road_crossings)
