@@ -90,6 +90,18 @@ def request_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 _POINT = "type string, coordinates array<double>, properties map<string,string>, geometry struct<type:string,coordinates:array<double>>"
 
 
+def repeated(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Rows with ``is_repeated``: whether another one has the same values of ``by``; never so if ``name``, one of these, is blank or NULL.
+
+    Values are counted by partial aggregates and the repeated ones joined back, so that no task gets all rows of a value; blank
+    ones take no part.
+    """
+    named = F.when(F.col(name) != "", F.col(name))
+    twice = rows.where(F.col(name) != "").groupBy(*[F.col(c).alias(f"same_{c}") for c in by]).agg(F.count("*").alias("n_same")).where("n_same > 1")
+    on = [F.col(f"same_{c}") == (named if c == name else F.col(c)) for c in by]
+    return rows.join(twice, on, "left").select(*rows.columns, F.col("n_same").isNotNull().alias("is_repeated"))
+
+
 def request_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with each point of a request; a bare geometry is a point without properties."""
     read = request_points(spark, sf_dir).withColumn("f", F.from_json("feature", _POINT))
@@ -97,10 +109,10 @@ def request_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     prop = lambda *names: F.coalesce(*[F.try_element_at(F.col("f.properties"), F.lit(n)) for n in names])
     rows = read.select("project", "ordinal", F.trim(prop("turbine_id", "id")).alias("id"), prop("capacity_mw").alias("capacity"), at[0].alias("lon"), at[1].alias("lat"))
     number = F.expr("try_cast(capacity as double)")
-    same = F.count("*").over(Window.partitionBy("project", "id"))
+    rows = repeated(rows, ["project", "id"], "id")
     found = F.array(
         F.when(F.coalesce("id", F.lit("")) == "", "BLANK_ID"),
-        F.when((F.col("id") != "") & (same > 1), "DUPLICATE_ID"),
+        F.when(F.col("is_repeated"), "DUPLICATE_ID"),
         F.when(F.col("capacity").isNotNull() & (number.isNull() | F.isnan(number) | (number <= 0)), "CAPACITY"),
         F.when((F.abs("lon") > 180) | (F.abs("lat") > 90), "COORDINATES"),
     )
@@ -188,8 +200,8 @@ def layer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.when(k % 5 == 0, F.lit(" "))
     digest = F.concat(F.lit("constraint-"), F.substring(F.sha2(F.concat_ws("|", F.lit("order"), k.cast("string"), "o_orderpriority"), 256), 1, 16))
     rows = bindings.table(spark, sf_dir, "orders").select(k.alias("feature"), F.trim(F.coalesce(first, second, third, digest)).alias("layer_id"))
-    twice = F.count("*").over(Window.partitionBy("layer_id")) > 1
-    return rows.select("feature", "layer_id", F.when(F.col("layer_id") == "", "EMPTY_ID").when(twice, "DUPLICATE_ID").alias("error"))
+    rows = repeated(rows, ["layer_id"], "layer_id")
+    return rows.select("feature", "layer_id", F.when(F.col("layer_id") == "", "EMPTY_ID").when(F.col("is_repeated"), "DUPLICATE_ID").alias("error"))
 
 
 def same_point_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
