@@ -190,26 +190,39 @@ def login_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def least_tree(xy: np.ndarray, names: list[int]) -> list[tuple[int, int, float]]:
-    """Minimum spanning tree of a complete graph; ties by node names."""
-    rest, inside, out = set(range(1, len(xy))), [0], []
-    while rest:
-        d, _, _, a, b = min((float(np.hypot(*(xy[a] - xy[b]))), min(names[a], names[b]), max(names[a], names[b]), a, b) for a in inside for b in rest)
-        out.append((min(names[a], names[b]), max(names[a], names[b]), d))
-        inside.append(b)
-        rest.remove(b)
+    """Minimum spanning tree of a complete graph; ties by node names, the lower one first.
+
+    Each node outside keeps its best link to the tree, so a step looks at one distance a node.
+    """
+    names = np.asarray(names)
+    rest, out = np.arange(1, len(xy)), []
+    link = lambda a, to: (np.hypot(*(xy[to] - xy[a]).T), np.minimum(names[to], names[a]), np.maximum(names[to], names[a]))
+    far, low, high = link(0, rest)
+    while len(rest):
+        k = np.lexsort((high, low, far))[0]
+        out.append((int(low[k]), int(high[k]), float(far[k])))
+        new, others = rest[k], np.arange(len(rest)) != k
+        rest, far, low, high = (v[others] for v in (rest, far, low, high))
+        f, lo, hi = link(new, rest)
+        better = (f < far) | ((f == far) & ((lo < low) | ((lo == low) & (hi < high))))
+        far, low, high = (np.where(better, u, v) for u, v in ((f, far), (lo, low), (hi, high)))
     return out
 
 
 def feeder_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tree of least length over each feeder's turbines and the substation (node 0), a task for each group of feeders."""
-
-    def grow(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("turbine_id")
-        xy = np.vstack([[10000.0, 10000.0], group[["x", "y"]].to_numpy(float)])
-        edges = least_tree(xy, [0, *group.turbine_id.tolist()])
-        return pd.DataFrame([(group.project.iloc[0], group.feeder.iloc[0], a, b, round(d, 3)) for a, b, d in edges], columns=["project", "feeder", "u", "v", "length_m"])
-
-    return bindings.turbines(spark, sf_dir).select("project", "feeder", "turbine_id", "x", "y").groupBy("project", "feeder").applyInPandas(grow, "project int, feeder int, u long, v long, length_m double")
+    """Tree of least length over each feeder's turbines and the substation (node 0); a feeder is one row of arrays, a task grows batches of these."""
+    nodes = bindings.turbines(spark, sf_dir).groupBy("project", "feeder").agg(F.array_sort(F.collect_list(F.struct("turbine_id", "x", "y"))).alias("nodes"))  # of one feeder
+    feeders = nodes.select("project", "feeder", *[F.col(f"nodes.{c}").alias(c) for c in ("turbine_id", "x", "y")])
+
+    def grow(batches):
+        for batch in batches:
+            rows = []
+            for f in batch.itertuples(index=False):
+                xy = np.vstack([[10000.0, 10000.0], np.column_stack([f.x, f.y]).astype(float)])
+                rows += [(f.project, f.feeder, a, b, round(d, 3)) for a, b, d in least_tree(xy, [0, *f.turbine_id])]
+            yield pd.DataFrame(rows, columns=["project", "feeder", "u", "v", "length_m"])
+
+    return feeders.mapInPandas(grow, "project int, feeder int, u long, v long, length_m double")
 
 
 QUERIES = (geojson_parse, complete_graph, downstream_power, cable_sizing, path_voltage, nearest_substation, polyline_length, deflection_angles, span_plan, grid_cells, point_in_polygon, login_window, feeder_mst)
