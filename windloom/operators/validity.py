@@ -77,7 +77,8 @@ def checked(rings: DataFrame, by: list[str]) -> DataFrame:
     """State of each ring (keyed by ``by``, points in ``ring``), wrong contacts and area after repair.
 
     VALID; REPAIRED (edges met, the area is that of its pieces); rejected, without an area: NOT_KNOWN (a ring or coordinate is
-    NULL), TOO_FEW_POINTS (fewer than three different ones), NO_AREA. Keys must be there and name one ring each.
+    NULL), TOO_FEW_POINTS (fewer than three different ones), NO_AREA (none to a millionth of a square metre: points in one line
+    leave slivers of rounding). Keys must be there and name one ring each.
     """
     edges = clean_edges(rings, by)
     touches = contacts(edges, by)
@@ -85,8 +86,8 @@ def checked(rings: DataFrame, by: list[str]) -> DataFrame:
     area = pieces(edges, touches, by).groupBy(*by).agg(F.sum("area").alias("area"))
     known = F.coalesce(F.forall("ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull()), F.lit(False))
     rows = rings.select(*by, known.alias("known"), F.size(F.array_distinct("ring")).alias("points")).join(found, by, "left").join(area, by, "left")
-    state = F.when(~F.col("known"), "NOT_KNOWN").when(F.col("points") < 3, "TOO_FEW_POINTS").when(F.coalesce("area", F.lit(0.0)) <= 0, "NO_AREA").when(F.col("n_contacts") > 0, "REPAIRED").otherwise("VALID")
-    return rows.select(*by, state.alias("state"), F.coalesce("n_contacts", F.lit(0)).alias("n_contacts"), F.round("area", 2).alias("area_m2"))
+    state = F.when(~F.col("known"), "NOT_KNOWN").when(F.col("points") < 3, "TOO_FEW_POINTS").when(F.coalesce(F.round("area", 6), F.lit(0.0)) <= 0, "NO_AREA").when(F.col("n_contacts") > 0, "REPAIRED").otherwise("VALID")
+    return rows.select(*by, state.alias("state"), F.coalesce("n_contacts", F.lit(0)).alias("n_contacts"), F.when(F.round("area", 6) > 0, F.round("area", 2)).alias("area_m2"))
 
 
 def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
