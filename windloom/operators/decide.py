@@ -41,11 +41,11 @@ def reasons(rows: DataFrame) -> DataFrame:
 
 
 def scored(rows: DataFrame) -> DataFrame:
-    """Eligible candidates with their benefits and weighted total, rounded to nine decimals."""
+    """Eligible candidates with their benefits, rounded to nine decimals, and weighted total, rounded half up to six in whole numbers."""
     good = with_limits(reasons(rows).where("eligible"), METRICS)
     good = good.select("*", *[F.round(benefit(m, up), 9).alias(f"b_{m}") for m, up in METRICS.items()])
-    total = sum(F.col(f"b_{m}") * w for m, w in WEIGHTS.items())
-    return good.withColumn("total", F.round(total, 6))
+    total = sum(F.round(F.col(f"b_{m}") * 1_000_000_000).cast("long") * round(w * 100) for m, w in WEIGHTS.items())
+    return good.withColumn("total", F.floor((total + 50_000) / 100_000) / 1_000_000)
 
 
 def normalise_benefit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +65,15 @@ def cohort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_aware_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total blended with the normalised cost advantage; rank by blend, total, cost, length, losses, id."""
-    hi, lo, c = F.col("hi_cost"), F.col("lo_cost"), F.col("cost")
-    saved = F.when(hi > lo, (hi - c).cast("double") / (hi - lo).cast("double")).otherwise(0.0)
-    blend = F.round(ENGINEERING_WEIGHT * F.col("total") + COST_WEIGHT * F.round(saved, 9), 6)
+    """Total blended with the normalised cost advantage; rank by blend, total, cost, length, losses, id.
+
+    Rounded half up in whole numbers: the advantage in billionths, the blend in millionths, so that no tie is left to doubles.
+    """
+    saved = F.when(F.col("hi_cost") > F.col("lo_cost"), F.expr("(2000000000 * (hi_cost - cost) + (hi_cost - lo_cost)) div (2 * (hi_cost - lo_cost))")).otherwise(0)
+    total = F.round(F.col("total") * 1_000_000).cast("long")
+    blend = F.floor((round(ENGINEERING_WEIGHT * 10) * 1000 * total + round(COST_WEIGHT * 10) * saved + 5000) / 10_000)
     order = Window.partitionBy("cohort").orderBy(F.desc("final"), F.desc("total"), "cost", "length_m", "losses_kw", "candidate_id")
-    return with_limits(scored(bindings.candidates(spark, sf_dir)), ["cost"]).withColumn("final", blend).withColumn("rank", F.row_number().over(order)).select("cohort", "candidate_id", "final", "rank")
+    return with_limits(scored(bindings.candidates(spark, sf_dir)), ["cost"]).withColumn("final", blend / 1_000_000).withColumn("rank", F.row_number().over(order)).select("cohort", "candidate_id", "final", "rank")
 
 
 def runner_up(spark: SparkSession, sf_dir: str) -> DataFrame:
