@@ -48,3 +48,18 @@ def test_three_points_in_line_have_no_area(spark):
     rows = spark.createDataFrame([(837, ring)], "layer int, ring array<struct<x:int,y:int>>")
     got = validity.checked(rows, ["layer"]).first()
     assert (got.state, got.area_m2) == ("NO_AREA", None)
+
+
+def test_turbines_at_one_place_are_tested_once(spark):
+    points = spark.createDataFrame([(1, 10, 5, 5), (1, 11, 5, 5), (1, 12, 90, 5), (2, 13, 5, 5)], "project int, turbine_id long, x long, y long")
+    rings = spark.createDataFrame([(1, 7, [(0, 0), (10, 0), (10, 10), (0, 10)], 0), (1, 8, [(80, 0), (82, 0), (82, 9)], 8)], "project int, layer long, ring array<struct<x:long,y:long>>, buffer_m int")
+    turbines, places = layers.places_of(points)
+    assert places.count() == 3
+    found = layers.covering(places, rings).withColumnRenamed("turbine_id", "place").join(turbines, "place")
+    assert {(r.turbine_id, r.layer) for r in found.collect()} == {(10, 7), (11, 7), (12, 8)}
+
+
+def test_moves_are_known_in_their_cell(spark):
+    """No pair travels: nothing is shuffled after the turbines of a cell have met."""
+    plan = topology.reassign_mutations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan.splitlines()[0] and "Join" not in plan.split("FlatMapCoGroupsInArrow")[0]

@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from windloom.operators.catalogue import pick
@@ -84,21 +87,57 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return rows.withColumn("col", F.explode(F.sequence(low("x"), high("x")))).withColumn("row", F.explode(F.sequence(low("y"), high("y"))))
 
 
+def _outline(ring: list) -> np.ndarray:
+    return np.array([(p["x"], p["y"], q["x"], q["y"]) for p, q in zip(ring, [*ring[1:], *ring[:1]])])
+
+
+def _cover(points: pa.Table, layers: pa.Table, most: int = 2_000_000) -> pa.Table:
+    """Pairs (turbine_id, layer) of the points and layers of one cell, by the tests of ``crosses`` and ``within``."""
+    at = [points[c].to_numpy() for c in ("x", "y")]
+    found_points, found_layers = [], []
+    for number, (ring, reach) in enumerate(zip(layers["ring"].to_pylist(), layers["buffer_m"].to_pylist())):
+        if not ring or reach is None or any(p["x"] is None or p["y"] is None for p in ring):
+            continue
+        x1, y1, x2, y2 = (c[:, None] for c in _outline(ring).T)
+        low, high = (np.minimum(x1, x2).min() - reach, np.minimum(y1, y2).min() - reach), (np.maximum(x1, x2).max() + reach, np.maximum(y1, y2).max() + reach)
+        near = np.flatnonzero((at[0] >= low[0]) & (at[0] <= high[0]) & (at[1] >= low[1]) & (at[1] <= high[1]))
+        step = max(1, most // len(ring))
+        for some in (near[k : k + step] for k in range(0, len(near), step)):
+            x, y = at[0][some], at[1][some]
+            side = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+            odd = (((y1 > y) != (y2 > y)) & np.where(y2 > y1, side > 0, side < 0)).sum(axis=0) % 2 == 1
+            dot, size = (x - x1) * (x2 - x1) + (y - y1) * (y2 - y1), (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)
+            to = lambda a, b: (x - a) * (x - a) + (y - b) * (y - b) <= reach * reach
+            close = np.where(dot <= 0, to(x1, y1), np.where(dot >= size, to(x2, y2), side * side <= reach * reach * size))
+            inside = some[odd | close.any(axis=0)]
+            found_points.append(inside)
+            found_layers.append(np.full(len(inside), number))
+    rows, numbers = (np.concatenate(f) if f else np.array([], np.int64) for f in (found_points, found_layers))
+    return pa.table({"turbine_id": points["turbine_id"].take(pa.array(rows)), "layer": layers["layer"].take(pa.array(numbers))})
+
+
 def covering(points: DataFrame, layers: DataFrame) -> DataFrame:
     """Points (project, turbine_id, x, y) and the layers that cover them, clearance and boundary included; met by cells, no other pairs."""
     cell = lambda c: F.floor(F.col(c) / CELL)
-    after = lambda i: F.get("ring", F.pmod(i + 1, F.size("ring")))
-    outline = F.transform("ring", lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), after(i)["x"].alias("x2"), after(i)["y"].alias("y2")))
-    x, y, reach = F.col("x"), F.col("y"), F.col("buffer_m")
-    near = points.withColumns({"col": cell("x"), "row": cell("y")}).join(cells_of(layers.select("project", "layer", "ring", "buffer_m")).withColumn("outline", outline), ["project", "col", "row"])
-    inside = F.exists("outline", lambda e: within(x, y, reach, e)) | (F.size(F.filter("outline", lambda e: crosses(x, y, e))) % 2 == 1)
-    return near.where(inside).select("turbine_id", "layer")  # a point lies in one cell
+    here = points.where("x is not null and y is not null").select("project", "turbine_id", "x", "y", cell("x").alias("col"), cell("y").alias("row"))
+    there = cells_of(layers.select("project", "layer", "ring", "buffer_m")).withColumnsRenamed({"project": "in_project", "col": "in_col", "row": "in_row"})
+    schema = T.StructType([here.schema["turbine_id"], there.schema["layer"]])
+    return here.groupBy("project", "col", "row").cogroup(there.groupBy("in_project", "in_col", "in_row")).applyInArrow(lambda a, b: _cover(a, b), schema)  # a point lies in one cell
+
+
+def places_of(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points with the place (a struct: project, x, y) where they stand, and a point at each of these, so that those at one place are tested once."""
+    at = F.struct("project", "x", "y")
+    rows = points.withColumn("place", at)
+    return rows, rows.select("project", "x", "y").distinct().select("project", at.alias("turbine_id"), "x", "y")
 
 
 def hard_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turbines that a hard layer with its clearance covers, and the layers."""
-    covered = covering(bindings.turbines(spark, sf_dir).select("project", "turbine_id", "x", "y"), polygons(spark, sf_dir).where("is_hard"))
-    return covered.groupBy("turbine_id").agg(F.count("*").alias("n_layers"), F.array_join(F.array_sort(F.collect_list("layer")).cast("array<string>"), ",").alias("layers"))  # of one turbine
+    turbines, places = places_of(bindings.turbines(spark, sf_dir).select("project", "turbine_id", "x", "y"))
+    covered = covering(places, polygons(spark, sf_dir).where("is_hard")).withColumnRenamed("turbine_id", "place")
+    found = covered.groupBy("place").agg(F.count("*").alias("n_layers"), F.array_join(F.array_sort(F.collect_list("layer")).cast("array<string>"), ",").alias("layers"))  # of one place
+    return turbines.join(found, "place").select("turbine_id", "n_layers", "layers")
 
 
 def raster(layers: DataFrame, surfaces: DataFrame) -> DataFrame:
@@ -167,9 +206,11 @@ def pole_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parcel_poles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turbine poles on each soft layer's land and its owner, if known; a pole may stand on several."""
-    on = covering(bindings.turbines(spark, sf_dir).select("project", "turbine_id", "x", "y"), polygons(spark, sf_dir).where("not is_hard").withColumn("buffer_m", F.lit(0)))
+    turbines, places = places_of(bindings.turbines(spark, sf_dir).select("project", "turbine_id", "x", "y"))
+    poles = turbines.groupBy("place").agg(F.count("*").alias("n"))
+    on = covering(places, polygons(spark, sf_dir).where("not is_hard").withColumn("buffer_m", F.lit(0))).withColumnRenamed("turbine_id", "place").join(poles, "place")
     owner = F.when(F.col("layer") % 5 != 0, F.concat(pick(["A", "B", "C"], F.col("layer") % 3), (F.col("layer") % 40).cast("string")))
-    return on.groupBy("layer", owner.alias("owner")).agg(F.count("*").alias("n_poles"))
+    return on.groupBy("layer", owner.alias("owner")).agg(F.sum("n").alias("n_poles"))
 
 
 QUERIES = (layer_scan, hard_endpoints, layer_raster, land_layers, bent_route_poles, pole_spans, parcel_poles)
