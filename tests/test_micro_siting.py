@@ -78,3 +78,46 @@ def test_layouts_are_accepted_by_network(spark):
     assert len(got) == 8
     assert got[1, "P1"]["accepted"] and got[1, "P1"]["at"] == 90_000
     assert not got[2, "P1"]["accepted"] and all(r["at"] == r["original"] for (p, _), r in got.items() if p == 2)
+
+
+def test_routes_of_a_share_are_sited_as_by_joins(spark):
+    """Places and acceptance are those of the joins over all candidates."""
+    from pyspark.sql import functions as F
+
+    from windloom.operators.layers import bent_route_poles, polygons
+
+    sf = "/root/testdata/sf0.001"
+    poles = bent_route_poles(spark, sf)
+    layers = polygons(spark, sf)
+    parcels = layers.where("not is_hard").select("project", "layer", "ring", (F.col("layer") % 6 == 0).alias("unavailable"))
+    owners = parcels.where("layer % 5 <> 0").select("layer", F.concat(F.element_at(F.array(*map(F.lit, "ABC")), (F.col("layer") % 3 + 1).cast("int")), (F.col("layer") % 40).cast("string")).alias("owner"))
+    places = siting.at_chainage(siting.candidates(poles), siting.route_legs(spark, sf))
+    want = siting.sited(siting.standing_on(places, parcels, owners, layers.where("is_hard").select("project", "layer", "ring", "buffer_m")))
+    found = siting.micro_siting(spark, sf)
+    got = [tuple(r) for r in found.select(*want.columns).collect()]
+    assert len(got) > 1000 and sorted(got) == sorted(tuple(r) for r in want.collect())
+
+
+def test_places_are_rounded_as_in_sql():
+    assert siting.half_up(np.array([0.0005, 1.0015, 2.0025, -0.0005, 123.4565, 7.25])).tolist() == [0.001, 1.002, 2.003, -0.001, 123.457, 7.25]
+
+
+def test_layouts_of_shares_are_accepted_by_network(spark):
+    """As by joins: many made projects, of which some are accepted and some not."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(4)
+    poles = [(p, f, f"P{f}-{k}", k * 100_000, "terminal" if k in (0, 5) else "intermediate") for p in range(30) for f in (1, 17) for k in range(6)]
+    line = "project int, feeder int, `from` long, `to` long, leg long, x1 long, y1 long, x2 long, y2 long"
+    legs = spark.createDataFrame([(p, f, s * 250_000, (s + 1) * 250_000, 250_000, s * 250, f * 3000, (s + 1) * 250, f * 3000) for p in range(30) for f in (1, 17) for s in (0, 1)], line)
+    square = lambda x, y, a: [(x - a, y - a), (x + a, y - a), (x + a, y + a), (x - a, y + a)]
+    land = [(p, 100 * p + n, square(rnd.randrange(0, 500), rnd.choice([3000, 51000]), rnd.randrange(3, 25))) for p in range(30) for n in range(8)]
+    parcels = spark.createDataFrame([r for r in land if r[1] % 4], RING).withColumn("unavailable", F.col("layer") % 9 == 0)
+    hard = spark.createDataFrame([r for r in land if not r[1] % 4], RING).withColumn("buffer_m", F.lit(3))
+    owners = spark.createDataFrame([(r[1], f"O{r[1] % 3}") for r in land if r[1] % 4 == 1], "layer int, owner string")
+    rows = spark.createDataFrame(poles, POLE)
+    want = siting.sited(siting.standing_on(siting.at_chainage(siting.candidates(rows), legs), parcels, owners, hard))
+    got = siting.sited_routes(rows, legs, parcels, owners, hard).select(*want.columns)
+    got, want = sorted(tuple(r) for r in got.collect()), sorted(tuple(r) for r in want.collect())
+    assert got == want and len(got) == 360
+    assert {r[-1] for r in got} == {True, False} and any(r[4] != r[5] for r in got)

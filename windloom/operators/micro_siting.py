@@ -1,27 +1,35 @@
 """Micro-siting of poles: intermediate poles move along their route to fewer owners, fewer parcels, better spans, in this order.
 
-What candidates stand on is a spatial join; the moves of one route are made by one task, which sees only its candidates; a
-network's layout is accepted as a whole, by aggregates, only if it got better.
+Routes of neighbouring feeders and the layers that their box meets come together in Arrow batches, where candidates are placed,
+judged and moved; candidates never travel. A network's layout is accepted as a whole, by aggregates, only if it got better.
+``standing_on`` and ``sited`` do the same for places and layers of any source, by joins.
 """
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
 from math import hypot
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from windloom.operators.catalogue import pick
-from windloom.operators.layers import bent_route_poles, covering, polygons
+from windloom.operators.layers import _cover, bent_route_poles, covering, polygons
 from windloom.operators.network import MAX_SPAN, MIN_SPAN, TARGET_SPAN
+from windloom.operators.routing import meeting, spread
 from windloom.sources import bindings
 from windloom.sources.lineage import cut
 
 #: Search radius and spacing of candidates in millimetres, passes over a route, and what counts as better, in metres.
 RADIUS, SPACING, PASSES, IMPROVEMENT = 15_000, 5_000, 2, 1.0
+#: Feeders whose routes one task's group holds.
+FEEDERS = 16
+LAYOUT = "struct<owners:array<string>,parcels:array<long>,penalty:double>"
+SITED = f"project int, poles array<struct<feeder:int,pole_id:string,kind:string,original:long,chosen:long>>, before {LAYOUT}, after {LAYOUT}"
 
 
 def route_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,14 +130,94 @@ def sited(places: DataFrame) -> DataFrame:
     return rows.select(*key, "kind", "original", F.when(F.col("accepted"), F.col("chosen")).otherwise(F.col("original")).alias("at"), "accepted")
 
 
+def half_up(values: np.ndarray, digits: int = 3) -> np.ndarray:
+    """Values rounded as SQL rounds doubles: by their shortest decimal form, halves away from zero."""
+    scaled = values * 10**digits
+    whole = np.floor(scaled + 0.5)
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        whole[i] = int(Decimal(repr(float(values[i]))).scaleb(digits).to_integral_value(ROUND_HALF_UP))
+    return whole / 10**digits
+
+
+def _placed(poles: list[dict], legs: list[dict]) -> np.ndarray:
+    """Candidates (pole, at, x, y) of one route: those of ``candidates`` that ``at_chainage`` finds on it."""
+    reach = RADIUS // SPACING
+    steps = [range(-reach, reach + 1) if p["kind"] == "intermediate" else (0,) for p in poles]
+    pole, at = np.array([(i, p["original"] + s * SPACING) for i, (p, some) in enumerate(zip(poles, steps)) for s in some], np.int64).T
+    begin, to, leg, x1, y1, x2, y2 = (np.array([line[c] for line in legs]) for c in ("from", "to", "leg", "x1", "y1", "x2", "y2"))
+    on = (at >= begin[0]) & (at <= to[-1])
+    pole, at = pole[on], at[on]
+    n = np.minimum(np.searchsorted(to, at, side="right"), len(to) - 1)
+    share = (at - begin[n]) / leg[n]
+    return np.column_stack([pole, at, half_up(x1[n] + share * (x2[n] - x1[n])), half_up(y1[n] + share * (y2[n] - y1[n]))])
+
+
+def _site(routes: pa.Table, layers: pa.Table) -> pa.Table:
+    """Chosen places of the poles of some routes, and the owners, parcels and span penalty of their layout before and after, as one row."""
+    routes = sorted(routes.to_pylist(), key=lambda r: r["feeder"])
+    found = [_placed(r["poles"], r["legs"]) for r in routes]
+    ends = np.cumsum([len(f) for f in found])
+    pole, at, x, y = np.concatenate(found).T
+    covers = _cover(pa.table({"turbine_id": np.arange(len(at)), "x": x, "y": y}), layers.set_column(layers.schema.get_field_index("layer"), "layer", pa.array(np.arange(len(layers)))))
+    who, which = (covers[c].to_numpy() for c in ("turbine_id", "layer"))
+    names, owners = layers["layer"].to_numpy(), np.array(layers["owner"].to_pylist(), object)
+    codes = {"parcels": np.where(layers["is_parcel"].to_numpy(), np.unique(names, return_inverse=True)[1], -1), "owners": pd.factorize(owners)[0]}
+    pairs, count = {}, {}
+    for name, code in codes.items():
+        own = code[which] >= 0
+        pairs[name] = np.unique(np.column_stack([who[own], code[which[own]]]), axis=0) if name == "owners" else np.column_stack([who[own], code[which[own]]])
+        count[name] = np.bincount(pairs[name][:, 0], minlength=len(at))
+    free = np.bincount(who[layers["unavailable"].to_numpy()[which]], minlength=len(at)) == 0
+    rows = np.column_stack([at, x, y, count["owners"], count["parcels"], free])
+    poles, stand, penalty = [], {"before": np.zeros(len(at), bool), "after": np.zeros(len(at), bool)}, {"before": 0.0, "after": 0.0}
+    for r, a, z in zip(routes, np.concatenate([[0], ends]), ends):
+        first = np.flatnonzero(np.diff(pole[a:z], prepend=-1)) + a
+        last, original = np.append(first[1:], z), np.array([p["original"] for p in r["poles"]])[pole[first].astype(int)]
+        start = [int(np.flatnonzero(at[i:j] == o)[0]) for i, j, o in zip(first, last, original)]
+        taken = descend([rows[i:j] for i, j in zip(first, last)], start)
+        for layout, places in (("before", first + start), ("after", first + taken)):
+            stand[layout][places] = True
+            penalty[layout] += float(np.abs(np.hypot(np.diff(x[places]), np.diff(y[places])) - TARGET_SPAN).sum())
+        poles += [{"feeder": r["feeder"], **r["poles"][int(p)], "chosen": int(c)} for p, c in zip(pole[first], at[first + taken])]
+    values = {"parcels": np.unique(names), "owners": pd.factorize(owners)[1]}
+    held = lambda layout, name: values[name][np.unique(pairs[name][stand[layout][pairs[name][:, 0]], 1])].tolist()
+    layout_type = pa.struct([("owners", pa.list_(pa.string())), ("parcels", pa.list_(pa.int64())), ("penalty", pa.float64())])
+    pole_type = pa.struct([("feeder", pa.int32()), ("pole_id", pa.string()), ("kind", pa.string()), ("original", pa.int64()), ("chosen", pa.int64())])
+    schema = pa.schema([("project", pa.int32()), ("poles", pa.list_(pole_type)), ("before", layout_type), ("after", layout_type)])
+    layouts = {layout: {"owners": held(layout, "owners"), "parcels": held(layout, "parcels"), "penalty": penalty[layout]} for layout in stand}
+    return pa.Table.from_pylist([{"project": routes[0]["project"], "poles": poles, **layouts}], schema)
+
+
+def sited_routes(poles: DataFrame, legs: DataFrame, parcels: DataFrame, owners: DataFrame, hard: DataFrame) -> DataFrame:
+    """``sited`` for the poles and legs of routes: feeders of one share and the layers their box meets are one group, whatever the size of a project."""
+    key, share = ["project", "feeder"], F.floor(F.col("feeder") / FEEDERS).alias("share")
+    routes = poles.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("original"), "pole_id", "kind"))).alias("poles"))  # of one feeder
+    routes = routes.join(legs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("from", "to", "leg", "x1", "y1", "x2", "y2"))).alias("legs")), key).select("*", share)
+    box = legs.groupBy("project", share).agg(*[g(f(f"{c}1"), f(f"{c}2")).alias(n) for n, c, f, g in (("w", "x", F.min, F.least), ("e", "x", F.max, F.greatest), ("s", "y", F.min, F.least), ("n", "y", F.max, F.greatest))])
+    layers = parcels.join(owners, "layer", "left").select("project", "layer", "ring", F.lit(0).alias("buffer_m"), F.lit(True).alias("is_parcel"), "unavailable", "owner")
+    layers = layers.unionByName(hard.select("project", "layer", "ring", F.col("buffer_m").cast("int"), F.lit(False).alias("is_parcel"), F.lit(True).alias("unavailable"), F.lit(None).cast("string").alias("owner")))
+    end = lambda f, c, s: f(F.transform("ring", lambda p: p[c])) + s * F.col("buffer_m")
+    here, there = spread(box, "a", F.col("w"), F.col("e"), F.col("s"), F.col("n")), spread(layers, "b", end(F.array_min, "x", -1), end(F.array_max, "x", 1), end(F.array_min, "y", -1), end(F.array_max, "y", 1))
+    met = meeting(here, there).select(F.col("project").alias("in_project"), F.col("share").alias("in_share"), "layer", "ring", "buffer_m", "is_parcel", "unavailable", "owner")
+    found = cut(routes.groupBy("project", "share").cogroup(met.groupBy("in_project", "in_share")).applyInArrow(_site, SITED))
+
+    def objective(layout: str) -> DataFrame:
+        count = lambda c: found.select("project", F.explode(f"{layout}.{c}").alias("c")).groupBy("project").agg(F.count_distinct("c").alias(f"n_{c}"))
+        total = found.groupBy("project").agg(F.round(F.sum(f"{layout}.penalty"), 6).alias("penalty")).join(count("owners"), "project", "left").join(count("parcels"), "project", "left")
+        return total.select("project", F.struct(F.coalesce("n_owners", F.lit(0)), F.coalesce("n_parcels", F.lit(0)), "penalty").alias(layout))
+
+    better = objective("before").join(objective("after"), "project").select("project", (F.col("after") < F.col("before")).alias("accepted"))
+    rows = found.select("project", F.explode("poles").alias("p")).select("project", "p.*").join(F.broadcast(better), "project")
+    return rows.select("project", "feeder", "pole_id", "kind", "original", F.when(F.col("accepted"), F.col("chosen")).otherwise(F.col("original")).alias("at"), "accepted")
+
+
 def micro_siting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each pole of each feeder's line stands after micro-siting. Soft layers stand for parcels, every sixth of them unavailable."""
     k = F.col("layer")
     layers = polygons(spark, sf_dir)
     parcels = layers.where("not is_hard").select("project", "layer", "ring", (k % 6 == 0).alias("unavailable"))
     owners = parcels.where(k % 5 != 0).select("layer", F.concat(pick(["A", "B", "C"], k % 3), (k % 40).cast("string")).alias("owner"))
-    places = cut(at_chainage(candidates(bent_route_poles(spark, sf_dir)), route_legs(spark, sf_dir)))
-    return sited(cut(standing_on(places, parcels, owners, layers.where("is_hard").select("project", "layer", "ring", "buffer_m"))))
+    return sited_routes(bent_route_poles(spark, sf_dir), route_legs(spark, sf_dir), parcels, owners, layers.where("is_hard").select("project", "layer", "ring", "buffer_m"))
 
 
 QUERIES = (micro_siting,)
