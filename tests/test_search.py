@@ -175,3 +175,44 @@ def test_legs_cost_what_the_kernel_says(spark):
         want = search.leg_cost(a, b, cost) if min(x1, y1) >= 0 else np.inf
         assert got[i].n_cells == len(within) and got[i].is_open == np.isfinite(want)
         assert got[i].cost is None if np.isinf(want) else abs(got[i].cost - want * 100) < 0.002
+
+
+def test_search_by_distances_opens_fewer_cells_and_takes_the_same_path():
+    from array import array
+
+    rng = np.random.default_rng(3)
+    opened = {True: 0, False: 0}
+    for n in range(30):
+        cost = made(rng, (14, 11))
+        goals = [(13, 10), (0, 5), (7, 7)]
+        for cell in [(0, 0), *goals]:
+            cost[cell] = 1.0
+        found, wall, slack = search.distances(cost, goals)
+        cells = search.bordered(cost)
+
+        class Counted(array):
+            def __getitem__(self, i):
+                opened[way] += 1
+                return array.__getitem__(self, i)
+
+        for k, goal in enumerate(goals):
+            away, size = array("d", (found[:, k] * 20.0).tobytes()), 20.0
+            least = away[cells[1] + 1]
+            way = False
+            want = search.walk(Counted("f", cells[0]), *cells[1:], (0, 0), goal, size)
+            assert (want is None) == (least >= wall * size)
+            if want:
+                way = True
+                assert abs(least - want[0]) <= slack * size
+                assert search.walk(Counted("f", cells[0]), *cells[1:], (0, 0), goal, size, away, least + slack * size) == want
+    assert opened[True] * 2 < opened[False]
+
+
+def test_bounds_of_legs_hold():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        cost = made(rng, (12, 12))
+        a, ends = rng.integers(0, 25, 2) / 2, rng.integers(0, 25, (30, 2)) / 2
+        exact = np.array([search.leg_cost(a, b, cost) for b in ends])
+        assert (search.at_least(a, ends, cost) <= exact * (1 + 1e-9) + 1e-9).all()
+        assert np.isinf(exact[~search.unblocked(a, ends, cost)]).all()
