@@ -199,6 +199,8 @@ def sited_routes(poles: DataFrame, legs: DataFrame, parcels: DataFrame, owners:
     end = lambda f, c, s: f(F.transform("ring", lambda p: p[c])) + s * F.col("buffer_m")
     here, there = spread(box, "a", F.col("w"), F.col("e"), F.col("s"), F.col("n")), spread(layers, "b", end(F.array_min, "x", -1), end(F.array_max, "x", 1), end(F.array_min, "y", -1), end(F.array_max, "y", 1))
     met = meeting(here, there).select(F.col("project").alias("in_project"), F.col("share").alias("in_share"), "layer", "ring", "buffer_m", "is_parcel", "unavailable", "owner")
+    n = 4 * int(poles.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as few bytes stand for much work here and would be put together
+    routes, met = routes.repartition(n, "project", "share"), met.repartition(n, "in_project", "in_share")
     found = cut(routes.groupBy("project", "share").cogroup(met.groupBy("in_project", "in_share")).applyInArrow(_site, SITED))
 
     def objective(layout: str) -> DataFrame:
