@@ -844,3 +844,12 @@ def test_the_cut_decides_where_classes_do_not():
     assert [v > 0 for v in margins] == [True, False, True, False]
     assert labels == [True, True, True, False]
     assert html_extract.main_text(page) == " ".join([LONG.strip(), "See the other part", LONG.strip()])
+
+
+def test_toxicity_model_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets the model, not the labelled rows."""
+    docs = spark.createDataFrame([(i, "vile words" if i % 2 else "kind words") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: pytest.fail("rows on the driver"))
+    assert toxicity.fit(docs, labels).w is not None
+    assert toxicity.fit(docs, labels.where("false")).w is None

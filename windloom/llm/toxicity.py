@@ -17,6 +17,7 @@ document columns pass through inside ``row``, whatever their names.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -157,14 +158,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Factori
                 lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(c, pa.int32())) for c in (slot, count)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, z - a), batch.column(2).slice(a, z - a), *lists], names=["label", "key", "slots", "counts"])
 
+    def learn(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()  # the same rows give the same model
+        slots, counts = rows["slots"].combine_chunks(), rows["counts"].combine_chunks()
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(slots).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        model = FactorizationMachine.fit(first, slots.flatten().to_numpy(), counts.flatten().to_numpy(), rows["label"].to_numpy().astype(np.float64))
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
     scratch = Scratch(docs.sparkSession, "toxicity")
     texts = training_rows(docs, labels, "toxic", max_rows, balanced=True).select("text", "label", F.xxhash64("text").alias("key"))
     saved = scratch.save(texts.mapInArrow(sparse, "label int, key long, slots array<int>, counts array<int>"), "rows")
-    rows = saved.toArrow().sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()  # max_rows at most; the same rows give the same model
+    found = saved.groupBy().applyInArrow(learn, "model binary").collect()  # max_rows at most, in one task, so that the driver holds the model only
     scratch.drop("rows")
-    slots, counts = rows["slots"].combine_chunks(), rows["counts"].combine_chunks()
-    first = np.concatenate([[0], np.cumsum(pc.list_value_length(slots).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return FactorizationMachine.fit(first, slots.flatten().to_numpy(), counts.flatten().to_numpy(), rows["label"].to_numpy().astype(np.float64))
+    return pickle.loads(found[0]["model"]) if found else FactorizationMachine.fit(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
