@@ -34,3 +34,13 @@ def test_layers_beyond_the_site(spark):
     surface = spark.createDataFrame([(1, -60_500, -1000, -59_000, 0)], "project int, west int, south int, east int, north int")
     cells = {(r["row"], r["col"]): r["blocked"] for r in layers.raster(rows, surface).collect()}
     assert cells == {(row, col): True for row in (-2, -1) for col in (-121, -120)}
+
+
+def test_pairs_are_never_aggregated_by_point(spark):
+    """A point looks into its cell's array of places; places at one spot are one, the least id of them."""
+    points = spark.range(400).selectExpr("1 AS project", "id AS point_id", "id % 20 AS x", "id DIV 20 AS y")
+    places = spark.range(300).selectExpr("1 AS project", "id AS place_id", "id % 3 * 7 AS px", "5L AS py")
+    got = network.nearest(points, places)
+    assert "key=[point_id" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {k: min(((k % 20 - p % 3 * 7) ** 2 + (k // 20 - 5) ** 2, p) for p in range(300)) for k in range(400)}
+    assert {r["point_id"]: (r["d"], r["place_id"]) for r in got.collect()} == want

@@ -96,30 +96,34 @@ def path_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest(points: DataFrame, places: DataFrame, step: int = 8) -> DataFrame:
     """The nearest place (project, place_id, px, py) of each point (project, point_id, x, y) by squared distance, ties to the lower id; NULL if the project has none.
 
-    Points look into the nine cells around them. A place within one cell's size can't be beaten from outside of these, so only
-    points without such a place go on to cells ``step`` times as large, the last of which reach over everything. The first
-    size follows from the places' density: twice the side of the square that holds one of them.
+    Each cell holds the places of the nine cells around it as one array, and a point looks into its cell's, so that no pair is a row and
+    nothing is sorted or aggregated by point. A place within one cell's size can't be beaten from outside, so only points without
+    such a place go on to cells ``step`` times as large, the last of which reach over everything. The first size follows from
+    the places' density: twice the side of the square that holds one of them. Of places at one spot the least id stands for all.
     """
     box = lambda rows, x, y: rows.groupBy("project").agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.count("*").alias("n"))
     side = lambda a, b: (F.col(b) - F.col(a)).cast("double")
+    places = places.groupBy("project", "px", "py").agg(F.min("place_id").alias("place_id"))
     first = box(places, "px", "py").agg(F.avg(F.sqrt(side("x0", "x1") * side("y0", "y1") / F.col("n")))).first()[0]
     ends = box(places, "px", "py").drop("n").unionByName(box(points, "x", "y").drop("n")).groupBy("project").agg(*[f(c).alias(c) for c, f in (("x0", F.min), ("x1", F.max), ("y0", F.min), ("y1", F.max))])
     reach = ends.agg(F.max(F.greatest(side("x0", "x1"), side("y0", "y1")))).first()[0] or 1.0
-    size, out = max(2 * (first or reach), 1.0), None
-    left = points.join(places.select("project").distinct(), "project", "left_semi")
+    size, n = max(2 * (first or reach), 1.0), int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = F.broadcast(places.select("project").distinct())
+    left, out = points.join(known, "project", "left_semi"), points.join(known, "project", "left_anti").select("point_id", F.lit(None).cast(places.schema["place_id"].dataType).alias("place_id"))
+    d = lambda p: (F.col("x") - p["px"]) * (F.col("x") - p["px"]) + (F.col("y") - p["py"]) * (F.col("y") - p["py"])
     while True:
         last = size > reach
         cell = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
-        around = F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        near = left.select("*", around.alias("c")).select("*", "c.cx", "c.cy").drop("c").join(places.withColumns({"cx": cell("px"), "cy": cell("py")}), ["project", "cx", "cy"])
-        d = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-        best = near.groupBy("point_id").agg(F.min(F.struct(d.alias("d"), "place_id")).alias("b"))
-        found = (best if last else best.where(F.col("b.d") <= size * size)).select("point_id", "b.place_id", "b.d").persist(StorageLevel.MEMORY_AND_DISK)
-        out = found if out is None else out.unionByName(found)
+        around = F.explode(F.array(*[F.struct((cell("px") + i).alias("cx"), (cell("py") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        held = places.select("*", around.alias("c")).groupBy("project", "c.cx", "c.cy").agg(F.collect_list(F.struct("place_id", "px", "py")).alias("near"))
+        at = left.select("project", "point_id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy")).repartition(n, "project", "cx", "cy")  # by a named number, so that Spark doesn't put them together
+        best = F.array_min(F.transform("near", lambda p: F.struct(d(p).alias("d"), p["place_id"].alias("place_id"))))
+        met = at.join(held, ["project", "cx", "cy"], "left").select("project", "point_id", "x", "y", best.alias("b")).persist(StorageLevel.MEMORY_AND_DISK)
+        enough = F.lit(True) if last else F.coalesce(F.col("b.d") <= size * size, F.lit(False))
+        out = out.unionByName(met.where(enough).select("point_id", "b.place_id", "b.d"), allowMissingColumns=True)
         if last:
-            break
-        left, size = left.join(found.select("point_id"), "point_id", "left_anti"), size * step
-    return points.select("point_id").join(out, "point_id", "left")
+            return out
+        left, size = met.where(~enough), size * step
 
 
 def nearest_substation(spark: SparkSession, sf_dir: str) -> DataFrame:
