@@ -114,3 +114,10 @@ def test_reports_of_no_candidates(spark):
 
     rows = spark.createDataFrame([], "cohort int, candidate_id long, total double, length_m long, losses_kw long, cost decimal(16,2), parcels long, crossings long")
     assert winners(rows).collect() == [] and compare(rows, rows).collect() == []
+
+
+def test_beam_search_shuffles_requests_only(spark):
+    """Rounds shuffle nothing, and each kernel runs once: the requests are the only thing dealt, into a named number of partitions."""
+    plan = grouping.beam_search(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInPandas") == 1 + grouping.ROUNDS
+    assert "Join" not in plan and "Window" not in plan.split("Exchange")[0] and "REPARTITION_BY_NUM" in plan

@@ -9,10 +9,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from windloom.sources import bindings
 
@@ -20,15 +18,19 @@ from windloom.sources import bindings
 SITE, CAPACITY = 500, 36000
 #: Rounds, states kept and changes tried for each state.
 ROUNDS, BEAM, NEIGHBOURS = 2, 3, 5
-STATE = "project int, site int, label array<int>, cost double"
+#: Turbines whose exchanges are priced at once.
+STRIP = 25
+#: The groupings of a request.
+STATES = "array<struct<cost:double,label:array<int>>>"
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests with their turbines as an array in the order of x, y, id."""
+    """Requests with their turbines as an array in the order of x, y, id; partitions by a named number, so that Spark doesn't put them together."""
     t = bindings.turbines(spark, sf_dir)
     site = F.floor((F.col("feeder") * 10 + F.col("k") - 1) / SITE).cast("int")
     rows = t.select("project", site.alias("site"), F.struct("x", "y", "turbine_id", "kw").alias("t"))
-    return rows.groupBy("project", "site").agg(F.sort_array(F.collect_list("t")).alias("turbines"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "project", "site").groupBy("project", "site").agg(F.sort_array(F.collect_list("t")).alias("turbines"))
 
 
 def cost_of(xy: np.ndarray, label: np.ndarray) -> float:
@@ -39,8 +41,10 @@ def cost_of(xy: np.ndarray, label: np.ndarray) -> float:
 def spread_seeds(xy: np.ndarray, k: int) -> np.ndarray:
     """First the turbine nearest to the middle, then always the one farthest from all seeds; ties to the first."""
     seeds = [int(((xy - xy.mean(axis=0)) ** 2).sum(axis=1).argmin())]
+    near = np.full(len(xy), np.inf)
     while len(seeds) < k:
-        seeds.append(int(np.min([((xy - xy[s]) ** 2).sum(axis=1) for s in seeds], axis=0).argmax()))
+        near = np.minimum(near, ((xy - xy[seeds[-1]]) ** 2).sum(axis=1))
+        seeds.append(int(near.argmax()))
     return xy[seeds]
 
 
@@ -52,22 +56,23 @@ def assign(xy: np.ndarray, kw: np.ndarray, centres: np.ndarray) -> np.ndarray |
     room, label = np.full(len(centres), float(CAPACITY)), np.full(len(xy), -1)
     for i in np.lexsort((np.arange(len(xy)), -loss, -kw)):
         fits = np.where(room >= kw[i], d[i], np.inf)
-        if np.isinf(fits).all():
+        j = int(fits.argmin())
+        if fits[j] == np.inf:
             return None
-        label[i] = int(fits.argmin())
-        room[label[i]] -= kw[i]
+        label[i] = j
+        room[j] -= kw[i]
     return label
 
 
 def group(xy: np.ndarray, kw: np.ndarray) -> np.ndarray:
     """Labels of the fewest feeders for which an assignment is found, centres moved to their turbines until nothing changes."""
     for k in range(max(1, math.ceil(kw.sum() / CAPACITY)), len(xy) + 1):
-        centres, best = spread_seeds(xy, k), None
+        centres, best, least = spread_seeds(xy, k), None, math.inf
         for _ in range(20):
             label = assign(xy, kw, centres)
-            if label is None or (best is not None and cost_of(xy, label) >= cost_of(xy, best) - 1e-12):
+            if label is None or (cost := cost_of(xy, label)) >= least - 1e-12:
                 break
-            best = label
+            best, least = label, cost
             centres = np.array([xy[label == j].mean(axis=0) if (label == j).any() else centres[j] for j in range(k)])
         if best is not None:
             used = sorted(np.unique(best), key=lambda j: tuple(xy[best == j].mean(axis=0)))
@@ -80,77 +85,88 @@ def changes(xy: np.ndarray, kw: np.ndarray, label: np.ndarray) -> list[np.ndarra
 
     A feeder's share of the cost is its summed squares less the square of its sum over its size, so a change is priced from sums.
     """
-    xy, k = xy - xy.mean(axis=0), int(label.max()) + 1
+    xy, k, n = xy - xy.mean(axis=0), int(label.max()) + 1, len(xy)
     load, size = np.bincount(label, weights=kw), np.bincount(label)
-    total = np.array([xy[label == j].sum(axis=0) for j in range(k)])
-    part = lambda sums, n: (sums**2).sum(axis=-1) / np.maximum(n, 1)
-    held = part(total, size)
-    move = held[label][:, None] + held[None] - part(total[label] - xy, size[label] - 1)[:, None] - part(total[None] + xy[:, None], size[None] + 1)
-    move[(load[None] + kw[:, None] > CAPACITY) | (label[:, None] == np.arange(k))] = np.inf
-    shift, watts = xy[None] - xy[:, None], kw[None] - kw[:, None]  # what the first one's feeder gains
-    own, other = label[:, None], label[None]
-    swap = held[own] + held[other] - part(total[own] + shift, size[own]) - part(total[other] - shift, size[other])
-    swap[(own >= other) | (load[own] + watts > CAPACITY) | (load[other] - watts > CAPACITY)] = np.inf
-    price = np.round(np.concatenate([move.ravel(), swap.ravel()]), 3)
-    found = []
-    for at in np.argsort(price, kind="stable")[:NEIGHBOURS]:
+    (x, y), (tx, ty) = xy.T.copy(), np.array([xy[label == j].sum(axis=0) for j in range(k)]).T.copy()
+    part = lambda sx, sy, n: (sx * sx + sy * sy) / np.maximum(n, 1)
+    held, price = part(tx, ty, size), np.empty(n * k + n * n)
+    move, swap = price[: n * k].reshape(n, k), price[n * k :].reshape(n, n)
+    for a in range(0, n, STRIP):  # strips of turbines, so that what is worked out stays in the processor's cache
+        i = slice(a, a + STRIP)
+        own = label[i, None]
+        move[i] = held[label[i]][:, None] + held[None] - part(tx[label[i]] - x[i], ty[label[i]] - y[i], size[label[i]] - 1)[:, None] - part(tx[None] + x[i, None], ty[None] + y[i, None], size[None] + 1)
+        move[i][(load[None] + kw[i, None] > CAPACITY) | (own == np.arange(k))] = np.inf
+        dx, dy, watts = x[None] - x[i, None], y[None] - y[i, None], kw[None] - kw[i, None]  # what the first one's feeder gains
+        swap[i] = held[own] + held[label][None] - part(tx[own] + dx, ty[own] + dy, size[own]) - part(tx[label][None] - dx, ty[label][None] - dy, size[label][None])
+        swap[i][(own >= label[None]) | (load[own] + watts > CAPACITY) | (load[label][None] - watts > CAPACITY)] = np.inf
+    np.round(price, 3, out=price)
+    found, few = [], min(NEIGHBOURS, len(price)) - 1
+    near = np.flatnonzero(price <= np.partition(price, few)[few])  # the cheapest and all that equal the last of them, in their order
+    for at in near[np.argsort(price[near], kind="stable")][:NEIGHBOURS]:
         if np.isinf(price[at]):
             break
         new = label.copy()
         if at < move.size:
             new[at // k] = at % k
         else:
-            i, o = divmod(at - move.size, len(xy))
+            i, o = divmod(at - move.size, n)
             new[i], new[o] = label[o], label[i]
         found.append(new)
     return found
 
 
-def _points(turbines) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([(t["x"], t["y"]) for t in turbines], float), np.array([t["kw"] for t in turbines], float)
+def _points(r) -> tuple[np.ndarray, np.ndarray]:
+    return np.column_stack([r.x, r.y]).astype(float), np.asarray(r.kw, float)
 
 
-def first_states(work: DataFrame) -> DataFrame:
-    def start(batches):
+def _mapped(work: DataFrame, name: str, kind: str, of) -> DataFrame:
+    """The requests with one more column: what ``of`` gives for each."""
+
+    def run(batches):
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                xy, kw = _points(r.turbines)
-                label = group(xy, kw)
-                rows.append((r.project, r.site, label.tolist(), round(cost_of(xy, label), 6)))
-            yield pd.DataFrame(rows, columns=["project", "site", "label", "cost"])
+            yield batch.assign(**{name: [of(r) for r in batch.itertuples(index=False)]})
+
+    return work.mapInPandas(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in work.schema.fields], f"{name} {kind}"]))
+
+
+def first_states(work: DataFrame) -> DataFrame:
+    """Requests as arrays, each with its first grouping as its only state."""
+
+    def start(r):
+        xy, kw = _points(r)
+        label = group(xy, kw)
+        return [{"cost": round(cost_of(xy, label), 6), "label": label.tolist()}]
 
-    return work.mapInPandas(start, STATE)
+    arrays = work.select("project", "site", *[F.col(f"turbines.{c}").cast("array<long>").alias(c) for c in ("turbine_id", "x", "y", "kw")])
+    return _mapped(arrays, "states", STATES, start)
 
 
 def capacity_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeder of each turbine, feeders numbered by their centroids."""
-    work = requests(spark, sf_dir)
-    both = first_states(work).join(work, ["project", "site"])
-    rows = both.select("project", "site", F.explode(F.arrays_zip("turbines", "label")).alias("z"))
-    return rows.select("project", "site", F.col("z.turbines.turbine_id").alias("turbine_id"), F.col("z.label").alias("feeder"), F.col("z.turbines.kw").alias("kw"))
+    both = first_states(requests(spark, sf_dir)).withColumn("label", F.col("states")[0]["label"])
+    rows = both.select("project", "site", F.explode(F.arrays_zip("turbine_id", "kw", "label")).alias("z"))
+    return rows.select("project", "site", F.col("z.turbine_id").alias("turbine_id"), F.col("z.label").alias("feeder"), F.col("z.kw").alias("kw"))
 
 
 def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best grouping of each request after two rounds of changes: equal groupings are tried once, the three cheapest go on."""
-    work = requests(spark, sf_dir)
-    states = first_states(work)
-    initial = states.select("project", "site", F.col("cost").alias("first_cost"))
+    """Best grouping of each request after two rounds of changes: equal groupings are tried once, the three cheapest go on.
 
-    def expand(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                xy, kw = _points(r.turbines)
-                rows += [(r.project, r.site, m.tolist(), round(cost_of(xy, m), 6)) for m in changes(xy, kw, np.array(r.label))]
-            yield pd.DataFrame(rows, columns=["project", "site", "label", "cost"])
-
-    order = Window.partitionBy("project", "site").orderBy("cost", "label")
-    for _ in range(ROUNDS):  # a fixed, small number of rounds: the lineage stays short
-        tried = states.join(work, ["project", "site"]).mapInPandas(expand, STATE)
-        states = states.unionByName(tried).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= BEAM).drop("n")
-    best = states.groupBy("project", "site").agg(F.min(F.struct("cost", "label")).alias("b"))
-    return best.join(initial, ["project", "site"]).select("project", "site", "first_cost", F.col("b.cost").alias("best_cost"), F.col("b.label").alias("label"))
+    A request and its states are one row, so that a round shuffles nothing and no round works out another one again. What was
+    changed in an earlier round isn't changed again: its changes were better than the states kept then, or were cut by them.
+    """
+
+    def expand(r):
+        xy, kw = _points(r)
+        found = [m for s in r.fresh for m in changes(xy, kw, np.array(s["label"]))]
+        return [{"cost": round(cost_of(xy, m), 6), "label": m.tolist()} for m in found]
+
+    rows = first_states(requests(spark, sf_dir)).withColumn("first_cost", F.col("states")[0]["cost"]).withColumn("fresh", F.col("states"))
+    for _ in range(ROUNDS):
+        tried = _mapped(rows, "tried", STATES, expand)
+        pool = tried.withColumn("pool", F.slice(F.array_sort(F.array_distinct(F.concat("states", "tried"))), 1, BEAM))
+        rows = pool.withColumn("fresh", F.array_except("pool", "states")).withColumn("states", F.col("pool")).drop("tried", "pool")
+    best = F.col("states")[0]
+    return rows.select("project", "site", "first_cost", best["cost"].alias("best_cost"), best["label"].alias("label"))
 
 
 QUERIES = (capacity_grouping, beam_search)
