@@ -16,6 +16,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyarrow import orc
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -853,3 +854,11 @@ def test_toxicity_model_is_fitted_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "toArrow", lambda self: pytest.fail("rows on the driver"))
     assert toxicity.fit(docs, labels).w is not None
     assert toxicity.fit(docs, labels.where("false")).w is None
+
+
+def test_finer_keys_are_small_code(spark):
+    """The keys of crowded buckets compile: the driver isn't given a method that the JVM rejects."""
+    rows = spark.range(9).selectExpr("id AS key", "cast(id % 6 AS int) AS pair", "transform(sequence(0, 15), i -> i + id) AS parts")
+    keys = rows.withColumn("free", simhash._free(F.col("parts"), F.col("pair"))).select(simhash._finer(F.col("free"), F.col("key")).alias("keys"))
+    code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(keys._jdf.queryExecution().executedPlan())
+    assert len(code) < 300_000 and all(len(set(r["keys"])) == 28 for r in keys.collect())

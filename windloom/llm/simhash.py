@@ -112,26 +112,32 @@ def _blocks(parts: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("pair"), F.xxhash64(F.lit(i), four[a], four[b]).alias("key")) for i, (a, b) in enumerate(combinations(range(4), 2))])
 
 
-def _finer(parts: Column, key: Column, pair: Column) -> Column:
-    """28 keys: the key and the coordinates of six of the eight groups outside of its two blocks."""
-    keys = F.lit(None)
+def _free(parts: Column, pair: Column) -> Column:
+    """The coordinates of the eight groups outside of the two blocks of a key."""
+    free = F.lit(None)
     for i, (a, b) in enumerate(combinations(range(4), 2)):
-        free = [4 * k + j for k in range(4) if k not in (a, b) for j in range(4)]
-        named = [F.xxhash64(key, F.lit(n), *[parts[g] for g in free if g not in left]) for n, left in enumerate(combinations(free, 2))]
-        keys = F.when(pair == i, F.array(*named)).otherwise(keys)
-    return keys
+        free = F.when(pair == i, F.concat(*[F.slice(parts, 4 * k + 1, 4) for k in range(4) if k not in (a, b)])).otherwise(free)
+    return free
+
+
+def _finer(free: Column, key: Column) -> Column:
+    """28 keys: the key and the coordinates of six of the eight groups outside of its two blocks."""
+    return F.array(*[F.xxhash64(key, F.lit(n), *[free[g] for g in range(8) if g not in left]) for n, left in enumerate(combinations(range(8), 2))])
 
 
 def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v): all pairs of fingerprints within RADIUS bits of each other."""
     table = scratch.save(classes.select("fp", *[p.alias(n) for p, n in zip(pivot_row(F.col("fp")), PIVOTS)]), "pivots")
-    named = table.withColumn("parts", F.array(*[_group(g) for g in range(GROUPS)]))
+    named = scratch.save(table.withColumn("parts", F.array(*[_group(g) for g in range(GROUPS)])), "parts")  # written, as three plans read it
+    scratch.drop("pivots")
     rows = named.select("*", F.explode(_blocks(F.col("parts"))).alias("k")).select("fp", *PIVOTS, "parts", "k.pair", "k.key")
     sizes = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     met = scratch.save(join_heavy(rows, sizes, ["key"], "n", 6 * classes.count()), "bucket-rows")
-    split = met.where(F.col("n") > BUCKET).withColumn("key", F.explode(_finer(F.col("parts"), F.col("key"), F.col("pair"))))
+    crowded = scratch.save(met.where(F.col("n") > BUCKET).select("key", "fp", *PIVOTS, _free(F.col("parts"), F.col("pair")).alias("free")), "crowded")
+    split = crowded.withColumn("key", F.explode(_finer(F.col("free"), F.col("key"))))
     bucket = scratch.save(met.where(F.col("n") <= BUCKET).select("key", "fp", *PIVOTS).unionByName(split.select("key", "fp", *PIVOTS)), "buckets")
-    scratch.drop("bucket-rows")
+    for name in ("parts", "bucket-rows", "crowded"):
+        scratch.drop(name)
     pairs = bucket.alias("a").join(bucket.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _near("a", "b"))
     verified = pairs.where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
     return verified.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
