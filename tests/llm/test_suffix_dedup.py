@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from windloom.llm import queries
 from windloom.llm import suffix_dedup as suffix
 
 
@@ -73,6 +74,22 @@ def test_digest(spark):
     assert {r["row"]["doc_id"]: r["kept"] for r in rows} == {k: hashlib.sha256(w[3]).hexdigest() for k, w in enumerate(by_brute_force(texts, 20))}
 
 
+def test_query_judges_passages_by_their_bytes(spark, tmp_path):
+    """Over 50 words shared by two documents go from both at 400 bytes and stay in both at 399; n_bytes is the input's length either way."""
+    rnd = random.Random(8)
+    words = lambda: " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(80))
+    texts = [words(), words()]
+    for n in (399, 400):
+        passage = words()[:n]
+        assert len(passage.split()) > 50
+        texts += [f"{words()}{blank}{passage}{blank}{words()}" for blank in " \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(queries.op13_suffix_array_dedup(spark, str(tmp_path)).collect())
+    assert [(r.n_removed, r.n_spans) for r in rows] == [(0, 0)] * 4 + [(400, 1)] * 2
+    assert [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == [(k, *w[:3], hashlib.sha256(w[3]).hexdigest()) for k, w in enumerate(by_brute_force(texts, 400))]
+    assert [r.n_bytes for r in rows] == [len(t) for t in texts]
+
+
 def test_anchors_do_not_depend_on_the_pieces():
     rnd = random.Random(5)
     texts = ["".join(rnd.choice("abc") for _ in range(n)).encode() for n in (5000, 30, 700, 0, 20_000)] + [b"ab" * 3000]
