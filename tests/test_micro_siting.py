@@ -121,3 +121,25 @@ def test_layouts_of_shares_are_accepted_by_network(spark):
     got, want = sorted(tuple(r) for r in got.collect()), sorted(tuple(r) for r in want.collect())
     assert got == want and len(got) == 360
     assert {r[-1] for r in got} == {True, False} and any(r[4] != r[5] for r in got)
+
+
+def test_covered_places_are_not_tried_again():
+    """Shut places and touched layers against all pairs, which are tried in full only where little is covered."""
+    import pyarrow as pa
+
+    from windloom.operators.layers import _cover
+
+    rng = np.random.default_rng(5)
+    rings = [[(-r, -r), (r, -r), (r, r), (0, 0), (-r, r)][: int(rng.integers(3, 6))] for r in rng.integers(20, 120, 60)]
+    rings = [[{"x": int(x + a), "y": int(y + b)} for x, y in ring] for ring, a, b in zip(rings, rng.integers(0, 900, 60), rng.integers(0, 900, 60))]
+    layers = pa.table({"layer": np.arange(60), "ring": rings, "buffer_m": rng.integers(0, 3, 60) * 20})
+    x, y = rng.uniform(0, 900, (2, 500)).round(3)
+    pairs = _cover(pa.table({"turbine_id": np.arange(500), "x": x, "y": y}), layers)
+    point, layer = (pairs[c].to_numpy() for c in ("turbine_id", "layer"))
+    land, some = siting._Land(layers), np.arange(0, 60, 2)
+    assert (land.shut(x, y, some, most=2000) == np.isin(np.arange(500), point[layer % 2 == 0])).all()
+    assert (land.touched(x, y, some, most=2000) == np.unique(layer[layer % 2 == 0])).all()
+    tried, covers = [], land.covers
+    land.covers = lambda x, y, some: tried.append(len(x) * len(some)) or covers(x, y, some)
+    land.shut(x, y, np.repeat(np.arange(60), 20), most=2000)
+    assert sum(tried) < 500 * 1200 / 2

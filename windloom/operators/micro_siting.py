@@ -13,12 +13,13 @@ from math import hypot
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from windloom.operators.catalogue import pick
-from windloom.operators.layers import _cover, bent_route_poles, covering, polygons
+from windloom.operators.layers import _outline, bent_route_poles, covering, polygons
 from windloom.operators.network import MAX_SPAN, MIN_SPAN, TARGET_SPAN
 from windloom.operators.routing import meeting, spread
 from windloom.sources import bindings
@@ -76,10 +77,11 @@ def descend(poles: list[np.ndarray], start: list[int], passes: int = PASSES, imp
     target by more than ``improvement``, then the smaller move. Candidates belong to the original place, so no pole drifts away.
     """
     places, taken = [rows.tolist() for rows in poles], list(start)
+    open_ = [len(rows) > 1 and any(row[5] for row in rows) for rows in places]
     for _ in range(passes):
         moved = False
         for k in range(1, len(places) - 1):
-            if len(places[k]) < 2:
+            if not open_[k]:
                 continue
             before, after, original = places[k - 1][taken[k - 1]], places[k + 1][taken[k + 1]], places[k][start[k]][0]
             spans = [(hypot(x - before[1], y - before[2]), hypot(x - after[1], y - after[2])) for _, x, y, *_ in places[k]]
@@ -139,12 +141,14 @@ def half_up(values: np.ndarray, digits: int = 3) -> np.ndarray:
     return whole / 10**digits
 
 
-def _placed(poles: list[dict], legs: list[dict]) -> np.ndarray:
+def _placed(original: np.ndarray, moves: np.ndarray, legs: dict[str, np.ndarray]) -> np.ndarray:
     """Candidates (pole, at, x, y) of one route: those of ``candidates`` that ``at_chainage`` finds on it."""
     reach = RADIUS // SPACING
-    steps = [range(-reach, reach + 1) if p["kind"] == "intermediate" else (0,) for p in poles]
-    pole, at = np.array([(i, p["original"] + s * SPACING) for i, (p, some) in enumerate(zip(poles, steps)) for s in some], np.int64).T
-    begin, to, leg, x1, y1, x2, y2 = (np.array([line[c] for line in legs]) for c in ("from", "to", "leg", "x1", "y1", "x2", "y2"))
+    count = np.where(moves, 2 * reach + 1, 1)
+    pole = np.repeat(np.arange(len(original)), count)
+    step = np.arange(len(pole)) - np.repeat(np.cumsum(count) - count, count) - np.where(moves, reach, 0)[pole]
+    at = original[pole] + step * SPACING
+    begin, to, leg, x1, y1, x2, y2 = (legs[c] for c in ("from", "to", "leg", "x1", "y1", "x2", "y2"))
     on = (at >= begin[0]) & (at <= to[-1])
     pole, at = pole[on], at[on]
     n = np.minimum(np.searchsorted(to, at, side="right"), len(to) - 1)
@@ -152,40 +156,111 @@ def _placed(poles: list[dict], legs: list[dict]) -> np.ndarray:
     return np.column_stack([pole, at, half_up(x1[n] + share * (x2[n] - x1[n])), half_up(y1[n] + share * (y2[n] - y1[n]))])
 
 
+class _Land:
+    """Layers (ring, buffer_m) that points are tried against by the tests of ``_cover``, pairs at a time."""
+
+    def __init__(self, layers: pa.Table):
+        known = lambda ring, reach: ring and reach is not None and not any(p["x"] is None or p["y"] is None for p in ring)
+        rows = [(k, _outline(ring), reach) for k, (ring, reach) in enumerate(zip(layers["ring"].to_pylist(), layers["buffer_m"].to_pylist())) if known(ring, reach)]
+        self.rows, self.reach = np.array([r[0] for r in rows], int), np.array([r[2] for r in rows], np.int64)
+        self.size = np.array([len(r[1]) for r in rows], int)
+        self.edges = {n: np.stack([r[1] for r in rows if len(r[1]) == n]) for n in set(self.size.tolist())}
+        self.place = np.zeros(len(rows), int)
+        for n in self.edges:
+            self.place[self.size == n] = np.arange((self.size == n).sum())
+        ends = np.array([(r[1][:, :2].min(axis=0) - r[2], r[1][:, :2].max(axis=0) + r[2]) for r in rows]).reshape(-1, 4)
+        self.west, self.south, self.east, self.north = ends.T
+
+    def covers(self, x: np.ndarray, y: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the points and of ``some`` of the layers that cover them, as places in both."""
+        layer, point = np.nonzero((x >= self.west[some, None]) & (x <= self.east[some, None]) & (y >= self.south[some, None]) & (y <= self.north[some, None]))
+        found = np.zeros(len(layer), bool)
+        for n, edges in self.edges.items():
+            k = np.flatnonzero(self.size[some[layer]] == n)
+            x1, y1, x2, y2 = np.moveaxis(edges[self.place[some[layer[k]]]], 2, 0)
+            px, py, reach = x[point[k], None], y[point[k], None], self.reach[some[layer[k]], None]
+            side = (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)
+            odd = (((y1 > py) != (y2 > py)) & np.where(y2 > y1, side > 0, side < 0)).sum(axis=1) % 2 == 1
+            dot, length = (px - x1) * (x2 - x1) + (py - y1) * (y2 - y1), (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)
+            to = lambda a, b: (px - a) * (px - a) + (py - b) * (py - b) <= reach * reach  # noqa: B023, E731
+            close = np.where(dot <= 0, to(x1, y1), np.where(dot >= length, to(x2, y2), side * side <= reach * reach * length))
+            found[k] = odd | close.any(axis=1)
+        return point[found], layer[found]
+
+    def shut(self, x: np.ndarray, y: np.ndarray, some: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+        """Whether any of the layers covers each point: a point that one covers isn't tried against the next ones."""
+        found, left, k = np.zeros(len(x), bool), np.arange(len(x)), 0
+        while len(left) and k < len(some):
+            step = max(1, most // len(left))
+            step = min(step, 32) if k == 0 else step
+            found[left[self.covers(x[left], y[left], some[k : k + step])[0]]] = True
+            left, k = left[~found[left]], k + step
+        return found
+
+    def touched(self, x: np.ndarray, y: np.ndarray, some: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+        """Those of the layers that cover any point: one that covers some isn't tried against the next ones, which are dealt all over."""
+        order, left, k, step = np.random.default_rng(0).permutation(len(x)), some, 0, 64
+        while len(left) and k < len(order):
+            at = order[k : k + step]
+            mark = np.zeros(len(left), bool)
+            mark[self.covers(x[at], y[at], left)[1]] = True
+            left, k = left[~mark], k + step
+            step = max(1, min(2 * step, most // max(1, len(left))))
+        return np.setdiff1d(some, left)
+
+
 def _site(routes: pa.Table, layers: pa.Table) -> pa.Table:
-    """Chosen places of the poles of some routes, and the owners, parcels and span penalty of their layout before and after, as one row."""
-    routes = sorted(routes.to_pylist(), key=lambda r: r["feeder"])
-    found = [_placed(r["poles"], r["legs"]) for r in routes]
-    ends = np.cumsum([len(f) for f in found])
+    """Chosen places of the poles of some routes, and the owners, parcels and span penalty of their layout before and after, as one row.
+
+    Parcels and owners are counted only where a pole may move to, and where it then stands.
+    """
+    routes = routes.take(pa.array(np.argsort(routes["feeder"].to_numpy(), kind="stable")))
+    feeders, lists, lines = routes["feeder"].to_pylist(), routes["poles"].combine_chunks(), routes["legs"].combine_chunks()
+    poles, flat = lists.flatten(), lines.flatten()
+    originals, moves = poles.field("original").to_numpy(), pc.equal(poles.field("kind"), "intermediate").to_numpy(zero_copy_only=False)
+    legs = {c: flat.field(c).to_numpy() for c in ("from", "to", "leg", "x1", "y1", "x2", "y2")}
+    pole_ends, leg_ends = (np.cumsum([0, *np.diff(c.offsets.to_numpy())]) for c in (lists, lines))
+    found = [_placed(originals[a:z], moves[a:z], {c: v[i:j] for c, v in legs.items()}) + [a, 0, 0, 0] for a, z, i, j in zip(pole_ends, pole_ends[1:], leg_ends, leg_ends[1:])]
     pole, at, x, y = np.concatenate(found).T
-    covers = _cover(pa.table({"turbine_id": np.arange(len(at)), "x": x, "y": y}), layers.set_column(layers.schema.get_field_index("layer"), "layer", pa.array(np.arange(len(layers)))))
-    who, which = (covers[c].to_numpy() for c in ("turbine_id", "layer"))
-    names, owners = layers["layer"].to_numpy(), np.array(layers["owner"].to_pylist(), object)
-    codes = {"parcels": np.where(layers["is_parcel"].to_numpy(), np.unique(names, return_inverse=True)[1], -1), "owners": pd.factorize(owners)[0]}
-    pairs, count = {}, {}
-    for name, code in codes.items():
-        own = code[which] >= 0
-        pairs[name] = np.unique(np.column_stack([who[own], code[which[own]]]), axis=0) if name == "owners" else np.column_stack([who[own], code[which[own]]])
-        count[name] = np.bincount(pairs[name][:, 0], minlength=len(at))
-    free = np.bincount(who[layers["unavailable"].to_numpy()[which]], minlength=len(at)) == 0
-    rows = np.column_stack([at, x, y, count["owners"], count["parcels"], free])
-    poles, stand, penalty = [], {"before": np.zeros(len(at), bool), "after": np.zeros(len(at), bool)}, {"before": 0.0, "after": 0.0}
-    for r, a, z in zip(routes, np.concatenate([[0], ends]), ends):
-        first = np.flatnonzero(np.diff(pole[a:z], prepend=-1)) + a
-        last, original = np.append(first[1:], z), np.array([p["original"] for p in r["poles"]])[pole[first].astype(int)]
-        start = [int(np.flatnonzero(at[i:j] == o)[0]) for i, j, o in zip(first, last, original)]
-        taken = descend([rows[i:j] for i, j in zip(first, last)], start)
-        for layout, places in (("before", first + start), ("after", first + taken)):
-            stand[layout][places] = True
+    pole, ends = pole.astype(int), np.cumsum([0, *[len(c) for c in found]])
+    first = np.flatnonzero(np.diff(pole, prepend=-1))
+    last, start = np.append(first[1:], len(pole)), np.flatnonzero(at == originals[pole])
+    land, names, owners = _Land(layers), layers["layer"].to_numpy(), np.array(layers["owner"].to_pylist(), object)
+    owner = pd.factorize(owners)[0]
+    parcel = np.where(layers["is_parcel"].to_numpy(), np.unique(names, return_inverse=True)[1], -1)
+    closed = pc.fill_null(layers["unavailable"], False).to_numpy()[land.rows]
+    held = np.flatnonzero((parcel[land.rows] >= 0) | (owner[land.rows] >= 0))
+    free = ~land.shut(x, y, np.flatnonzero(closed))
+    own = np.repeat(np.arange(len(first)), last - first)  # the pole's place among those that have candidates
+    other = free.copy()
+    other[start] = False
+    open_ = np.bincount(own[other], minlength=len(first)) > 0
+    counts, wanted = np.zeros((len(at), 2)), np.flatnonzero(open_[own])
+    wanted = wanted[free[wanted] | np.isin(wanted, start)]
+    step = max(1, 1_000_000 // max(1, len(held)))
+    for some in (wanted[k : k + step] for k in range(0, len(wanted), step)):
+        point, layer = land.covers(x[some], y[some], held)
+        for c, code in enumerate((owner[land.rows[held[layer]]], parcel[land.rows[held[layer]]])):
+            pairs = np.unique(np.column_stack([point, code])[code >= 0], axis=0)
+            counts[some, c] = np.bincount(pairs[:, 0], minlength=len(some))
+    taken, penalty = start.copy(), {"before": 0.0, "after": 0.0}
+    for a, z in zip(ends, ends[1:]):
+        here = slice(*np.searchsorted(first, [a, z]))
+        if open_[here].any():
+            rows = np.column_stack([at[a:z], x[a:z], y[a:z], counts[a:z], free[a:z]])
+            taken[here] = first[here] + descend([rows[i - a : j - a] for i, j in zip(first[here], last[here])], (start[here] - first[here]).tolist())
+        for layout, places in (("before", start[here]), ("after", taken[here])):
             penalty[layout] += float(np.abs(np.hypot(np.diff(x[places]), np.diff(y[places])) - TARGET_SPAN).sum())
-        poles += [{"feeder": r["feeder"], **r["poles"][int(p)], "chosen": int(c)} for p, c in zip(pole[first], at[first + taken])]
-    values = {"parcels": np.unique(names), "owners": pd.factorize(owners)[1]}
-    held = lambda layout, name: values[name][np.unique(pairs[name][stand[layout][pairs[name][:, 0]], 1])].tolist()
+    covered = {"before": land.rows[land.touched(x[start], y[start], held)]}
+    covered["after"] = covered["before"] if (taken == start).all() else land.rows[land.touched(x[taken], y[taken], held)]
+    parcels = {k: np.unique(names[v[parcel[v] >= 0]]).tolist() for k, v in covered.items()}
+    known = {k: sorted(set(owners[v[owner[v] >= 0]].tolist())) for k, v in covered.items()}
+    of = pa.array(np.repeat(feeders, np.diff(pole_ends))[pole[first]], pa.int32())
+    out = poles.take(pa.array(pole[first]))
+    rows = pa.StructArray.from_arrays([of, *[out.field(c) for c in ("pole_id", "kind", "original")], pa.array(at[taken].astype(np.int64))], names=["feeder", "pole_id", "kind", "original", "chosen"])
     layout_type = pa.struct([("owners", pa.list_(pa.string())), ("parcels", pa.list_(pa.int64())), ("penalty", pa.float64())])
-    pole_type = pa.struct([("feeder", pa.int32()), ("pole_id", pa.string()), ("kind", pa.string()), ("original", pa.int64()), ("chosen", pa.int64())])
-    schema = pa.schema([("project", pa.int32()), ("poles", pa.list_(pole_type)), ("before", layout_type), ("after", layout_type)])
-    layouts = {layout: {"owners": held(layout, "owners"), "parcels": held(layout, "parcels"), "penalty": penalty[layout]} for layout in stand}
-    return pa.Table.from_pylist([{"project": routes[0]["project"], "poles": poles, **layouts}], schema)
+    layouts = {k: pa.array([{"owners": known[k], "parcels": parcels[k], "penalty": penalty[k]}], layout_type) for k in ("before", "after")}
+    return pa.table({"project": routes["project"][:1], "poles": pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), **layouts})
 
 
 def sited_routes(poles: DataFrame, legs: DataFrame, parcels: DataFrame, owners: DataFrame, hard: DataFrame) -> DataFrame:
